@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthcast import settings as S
-from monthcast.operators.trend import FROM_END, N, T, X, YEAR, forecast_steps
+from monthcast.operators.trend import YEAR, age, forecast_steps, length, position, step, value
 
 # --- fixed values -----------------------------------------------------------
 RECENT = 6
@@ -27,20 +27,20 @@ def centred_trend(filled: DataFrame) -> DataFrame:
     """
     ordered = Window.partitionBy("product_id").orderBy("MONAT")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    length = F.least(F.lit(YEAR), F.expr("n div 2"))
-    average = F.when(length <= 1, X)
+    width = F.least(F.lit(YEAR), F.expr("n div 2"))
+    average = F.when(width <= 1, value())
     for m in range(2, YEAR + 1):
         after = (m - 1) // 2
         before = m - 1 - after
-        full = (T >= before) & (FROM_END >= after)
+        full = (position() >= before) & (age() >= after)
         average = average.when(
-            (length == m) & full, F.avg("anz_produkt").over(ordered.rowsBetween(-before, after))
+            (width == m) & full, F.avg("anz_produkt").over(ordered.rowsBetween(-before, after))
         )
     first = F.first("_average", ignorenulls=True).over(whole)
     last = F.last("_average", ignorenulls=True).over(whole)
     return (
         filled.withColumn("_average", average)
-        .withColumn("trend", F.coalesce("_average", F.when(T < N / 2, first).otherwise(last)))
+        .withColumn("trend", F.coalesce("_average", F.when(position() < length() / 2, first).otherwise(last)))
         .drop("_average")
     )
 
@@ -48,37 +48,37 @@ def centred_trend(filled: DataFrame) -> DataFrame:
 def decompose(filled: DataFrame) -> DataFrame:
     """Columns ``trend``, ``seasonal`` (0 under a year of rows) and ``residual``."""
     same_month = Window.partitionBy("product_id", F.month("MONAT"))
-    season = F.when(N >= YEAR, F.avg(X - F.col("trend")).over(same_month)).otherwise(0.0)
+    season = F.when(length() >= YEAR, F.avg(value() - F.col("trend")).over(same_month)).otherwise(0.0)
     return (
         centred_trend(filled)
         .withColumn("seasonal", season)
-        .withColumn("residual", X - F.col("trend") - F.col("seasonal"))
+        .withColumn("residual", value() - F.col("trend") - F.col("seasonal"))
     )
 
 
 def decomposition_statistics(parts: DataFrame) -> DataFrame:
     """One row per product with what the three component forecasts need."""
-    recent = FROM_END < RECENT
-    offset = T - F.greatest(N - RECENT, F.lit(0))
+    recent = age() < RECENT
+    offset = position() - F.greatest(length() - RECENT, F.lit(0))
     ordered = Window.partitionBy("product_id").orderBy("MONAT")
     pairs = parts.withColumn("_before", F.lag("residual").over(ordered))
-    paired = (FROM_END < RECENT - 1) & (T > 0)
+    paired = (age() < RECENT - 1) & (position() > 0)
     newer, older = F.when(paired, F.col("residual")), F.when(paired, F.col("_before"))
     month = F.month("MONAT")
     return pairs.groupBy("product_id").agg(
         F.max("n").alias("n"),
         F.max("MONAT").alias("last_month"),
-        F.avg(X).alias("mean"),
-        F.stddev_pop(X).alias("deviation"),
-        F.min(X).alias("smallest"),
-        F.max(X).alias("largest"),
+        F.avg(value()).alias("mean"),
+        F.stddev_pop(value()).alias("deviation"),
+        F.min(value()).alias("smallest"),
+        F.max(value()).alias("largest"),
         F.regr_slope(F.when(recent, F.col("trend")), F.when(recent, offset)).alias("trend_slope"),
         F.regr_intercept(F.when(recent, F.col("trend")), F.when(recent, offset)).alias("trend_intercept"),
-        F.max(F.when(FROM_END == 0, F.col("trend"))).alias("trend_last"),
+        F.max(F.when(age() == 0, F.col("trend"))).alias("trend_last"),
         F.array(*[F.avg(F.when(month == m, F.col("seasonal"))) for m in range(1, YEAR + 1)]).alias(
             "month_season"
         ),
-        F.max(F.when(FROM_END == 0, F.col("residual"))).alias("residual_last"),
+        F.max(F.when(age() == 0, F.col("residual"))).alias("residual_last"),
         F.try_divide(
             F.covar_pop(older, newer), F.stddev_pop(older) * F.stddev_pop(newer)
         ).alias("_correlation"),
@@ -91,33 +91,30 @@ def decomposition_statistics(parts: DataFrame) -> DataFrame:
     ).drop("_correlation")
 
 
-STEP = F.col("step")
-
-
 def trend_extrapolation() -> Column:
     """Line through the last six trend values, continued past their end."""
-    length = F.least(N, F.lit(RECENT))
-    return F.when(N < 2, F.col("trend_last")).otherwise(
-        F.col("trend_slope") * (length + STEP + 1) + F.col("trend_intercept")
+    used = F.least(length(), F.lit(RECENT))
+    return F.when(length() < 2, F.col("trend_last")).otherwise(
+        F.col("trend_slope") * (used + step() + 1) + F.col("trend_intercept")
     )
 
 
 def seasonal_projection() -> Column:
     """Seasonal mean by calendar month; step 0 repeats the last observed month."""
-    index = (F.month("last_month") + STEP + 11) % YEAR
-    return F.when(N < YEAR, 0.0).otherwise(F.coalesce(F.get("month_season", index), F.lit(0.0)))
+    index = (F.month("last_month") + step() + 11) % YEAR
+    return F.when(length() < YEAR, 0.0).otherwise(F.coalesce(F.get("month_season", index), F.lit(0.0)))
 
 
 def residual_decay() -> Column:
     """Last residual times the first-order coefficient, once more each step."""
-    return F.when(N < 3, 0.0).otherwise(F.col("residual_last") * F.pow("coefficient", STEP + 1))
+    return F.when(length() < 3, 0.0).otherwise(F.col("residual_last") * F.pow("coefficient", step() + 1))
 
 
-def bounded(value: Column) -> Column:
+def bounded(forecast: Column) -> Column:
     """Within a tenth of the minimum and twice the maximum, extremes pulled in."""
     low = F.greatest(F.lit(0.0), F.col("smallest") * MIN_FLOOR_SHARE)
     high = F.col("largest") * MAX_CEILING
-    clamped = F.greatest(low, F.least(high, value))
+    clamped = F.greatest(low, F.least(high, forecast))
     mean, sigma = F.col("mean"), F.col("deviation")
     return (
         F.when(clamped > mean + EXTREME_SIGMAS * sigma, mean + EXTREME_SHIFT * sigma)
@@ -137,5 +134,5 @@ def decomposition_forecast(filled: DataFrame, horizon: int = S.HORIZON_MONTHS) -
         "product_id",
         "MONAT",
         "step",
-        F.when(N < RECENT, 0.0).otherwise(bounded(total)).alias("forecast"),
+        F.when(length() < RECENT, 0.0).otherwise(bounded(total)).alias("forecast"),
     )

@@ -15,11 +15,13 @@ from monthcast.functions.scalars import ratio
 from monthcast.functions.skew import salted_lookup
 from monthcast.operators.cleaning import covid_flag, covid_normalized
 
-ORDERED = Window.partitionBy("product_id").orderBy("MONAT")
+
+def _ordered():
+    return Window.partitionBy("product_id").orderBy("MONAT")
 
 
 def _previous(months: int):
-    return ORDERED.rowsBetween(-months, -1)
+    return _ordered().rowsBetween(-months, -1)
 
 
 def with_normalized_sales(
@@ -32,9 +34,9 @@ def with_normalized_sales(
 
 def lag_features(df: DataFrame, lags: Sequence[int] = S.LAGS) -> DataFrame:
     """``sales_lag_k`` and, where the table has it, ``sales_norm_lag_k``."""
-    cols = {f"sales_lag_{k}": F.lag("anz_produkt", k).over(ORDERED) for k in lags}
+    cols = {f"sales_lag_{k}": F.lag("anz_produkt", k).over(_ordered()) for k in lags}
     if "anz_produkt_normalized" in df.columns:
-        cols |= {f"sales_norm_lag_{k}": F.lag("anz_produkt_normalized", k).over(ORDERED) for k in lags}
+        cols |= {f"sales_norm_lag_{k}": F.lag("anz_produkt_normalized", k).over(_ordered()) for k in lags}
     return df.withColumns(cols)
 
 
@@ -60,9 +62,9 @@ def trend_features(df: DataFrame, months: int = 6, back: int = 3) -> DataFrame:
     """Slope of the past ``months`` rows, and its change over ``back`` rows."""
     slope = f"trend_{months}"
     return (
-        df.withColumn("_t", F.row_number().over(ORDERED))
+        df.withColumn("_t", F.row_number().over(_ordered()))
         .withColumn(slope, F.regr_slope("anz_produkt", "_t").over(_previous(months)))
-        .withColumn("trend_acceleration", F.col(slope) - F.lag(slope, back).over(ORDERED))
+        .withColumn("trend_acceleration", F.col(slope) - F.lag(slope, back).over(_ordered()))
         .drop("_t")
     )
 

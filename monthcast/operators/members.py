@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from monthcast.functions.skew import salted_lookup
 from monthcast.operators.features import check_columns
@@ -74,19 +75,30 @@ def _moments(features: Sequence[str], y: str) -> list[Column]:
     return [F.sum(cols[i] * cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]
 
 
-def least_squares(moments: np.ndarray, width: int) -> np.ndarray:
-    """Intercept and coefficients from one flattened triangle of sums."""
-    full = np.zeros((width, width))
-    full[np.triu_indices(width)] = moments
-    full = full + np.triu(full, 1).T
-    n = full[0, 0]
-    means = full[0, 1:] / n
-    centred = full[1:, 1:] - n * np.outer(means, means)
-    scale = np.sqrt(np.clip(np.diag(centred)[:-1], 0.0, None))
-    scale[scale <= 1e-9 * np.sqrt(n) * (1.0 + np.abs(means[:-1]))] = np.inf
-    gram = centred[:-1, :-1] / np.outer(scale, scale)
-    beta = np.linalg.pinv(gram, rcond=1e-10, hermitian=True) @ (centred[:-1, -1] / scale) / scale
-    return np.concatenate([[means[-1] - beta @ means[:-1]], beta])
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def least_squares(moments: pd.Series) -> pd.Series:
+    """Intercept and coefficients from flattened triangles of sums.
+
+    The smallest solution where features are collinear or rows too few, as a
+    least-squares solver on the rows themselves would give.
+    """
+    triangles = np.stack(moments.to_numpy()).astype(float)
+    width = int((np.sqrt(8 * triangles.shape[1] + 1) - 1) / 2)
+    upper = np.triu_indices(width)
+    sums = np.zeros((len(triangles), width, width))
+    sums[:, upper[0], upper[1]] = triangles
+    sums[:, upper[1], upper[0]] = triangles
+    n = sums[:, :1, 0]
+    means = sums[:, 0, 1:] / n
+    centred = sums[:, 1:, 1:] - n[:, :, None] * means[:, :, None] * means[:, None, :]
+    variance = np.clip(np.einsum("bii->bi", centred)[:, :-1], 0.0, None)
+    constant = variance <= 1e-18 * n * (1.0 + means[:, :-1] ** 2)
+    scale = np.where(constant, np.inf, np.sqrt(variance))
+    gram = centred[:, :-1, :-1] / (scale[:, :, None] * scale[:, None, :])
+    target = centred[:, :-1, -1] / scale
+    beta = np.einsum("bij,bj->bi", np.linalg.pinv(gram, rcond=1e-10, hermitian=True), target) / scale
+    intercept = means[:, -1] - np.einsum("bi,bi->b", beta, means[:, :-1])
+    return pd.Series(list(np.column_stack([intercept, beta])))
 
 
 def linear_models(folded: DataFrame, features: Sequence[str], y: str = "y") -> DataFrame:
@@ -106,12 +118,7 @@ def linear_models(folded: DataFrame, features: Sequence[str], y: str = "y") -> D
         (F.col("fold") + 1).alias("fold"),
         F.array(*[F.sum(p).over(upto) for p in parts]).alias("_m"),
     )
-
-    @F.pandas_udf("array<double>")
-    def solve(moments: pd.Series) -> pd.Series:
-        return moments.map(lambda m: least_squares(np.asarray(m, dtype=float), width))
-
-    return totals.select("level", "key", "fold", solve("_m").alias("coefficients"))
+    return totals.select("level", "key", "fold", least_squares("_m").alias("coefficients"))
 
 
 def linear_value(features: Sequence[str]) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_SERIES = 24
 
@@ -16,7 +17,7 @@ def ordered_values(position: str = "t", value: str = "anz_produkt") -> Column:
     return F.sort_array(F.collect_list(F.struct(position, value))).getField(value)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def strongest_frequency(series: pd.Series) -> pd.Series:
     """Index of the largest DFT magnitude among 1 .. n/2-1; null under 24 values.
 

@@ -28,8 +28,27 @@ NOISE_SHARE = 0.1
 TINY = 1e-8
 # --- end of fixed values ----------------------------------------------------
 
-X, T, N = F.col("anz_produkt"), F.col("t"), F.col("n")
-FROM_END = N - 1 - T  # 0 for the newest row
+
+def value() -> Column:
+    return F.col("anz_produkt")
+
+
+def position() -> Column:
+    return F.col("t")
+
+
+def length() -> Column:
+    return F.col("n")
+
+
+def age() -> Column:
+    """Months since, 0 for the newest row."""
+    return length() - 1 - position()
+
+
+def step() -> Column:
+    """Forecast step, 0 .. horizon-1."""
+    return F.col("step")
 
 
 def forecast_steps(per_product: DataFrame, horizon: int = S.HORIZON_MONTHS) -> DataFrame:
@@ -40,39 +59,39 @@ def forecast_steps(per_product: DataFrame, horizon: int = S.HORIZON_MONTHS) -> D
 
 
 def _mean_of(condition: Column) -> Column:
-    return F.avg(F.when(condition, X))
+    return F.avg(F.when(condition, value()))
 
 
 def series_statistics(filled: DataFrame) -> DataFrame:
     """All sums the forecasts need, in one aggregation per product."""
     ordered = Window.partitionBy("product_id").orderBy("MONAT")
     base = F.lag("anz_produkt", YEAR).over(ordered)
-    rows = filled.withColumn("_growth", F.when(base > 0, (X - base) / base))
+    rows = filled.withColumn("_growth", F.when(base > 0, (value() - base) / base))
 
     level_window = F.least(F.lit(LEVEL_MONTHS), F.expr("n div 2"))
-    in_level = F.when(level_window > 1, FROM_END < level_window).otherwise(FROM_END == 0)
+    in_level = F.when(level_window > 1, age() < level_window).otherwise(age() == 0)
     keep = 1 - SMOOTHING
-    weight = F.when(T == 0, F.pow(F.lit(keep), N - 1)).otherwise(SMOOTHING * F.pow(F.lit(keep), FROM_END))
+    weight = F.when(position() == 0, F.pow(F.lit(keep), length() - 1)).otherwise(SMOOTHING * F.pow(F.lit(keep), age()))
 
     stats = rows.groupBy("product_id").agg(
         F.max("n").alias("n"),
         F.max("MONAT").alias("last_month"),
-        F.avg(X).alias("mean"),
-        F.min(X).alias("smallest"),
-        F.max(X).alias("largest"),
-        F.stddev_pop(X).alias("deviation"),
-        F.regr_slope(X, T).alias("slope"),
-        F.regr_intercept(X, T).alias("intercept"),
-        F.max(F.when(T == 0, X)).alias("smooth_first"),
-        F.sum(weight * X).alias("smooth_last"),
+        F.avg(value()).alias("mean"),
+        F.min(value()).alias("smallest"),
+        F.max(value()).alias("largest"),
+        F.stddev_pop(value()).alias("deviation"),
+        F.regr_slope(value(), position()).alias("slope"),
+        F.regr_intercept(value(), position()).alias("intercept"),
+        F.max(F.when(position() == 0, value())).alias("smooth_first"),
+        F.sum(weight * value()).alias("smooth_last"),
         _mean_of(in_level).alias("level"),
-        F.array(*[_mean_of(T % YEAR == m) for m in range(YEAR)]).alias("position_means"),
+        F.array(*[_mean_of(position() % YEAR == m) for m in range(YEAR)]).alias("position_means"),
         F.avg("_growth").alias("_growth"),
-        _mean_of(FROM_END < 3).alias("_q1"),
-        _mean_of(FROM_END.between(3, 5)).alias("_q2"),
-        _mean_of(FROM_END.between(6, 8)).alias("_q3"),
-        _mean_of(FROM_END < 6).alias("_recent_mean"),
-        F.stddev_pop(F.when(FROM_END < 6, X)).alias("_recent_deviation"),
+        _mean_of(age() < 3).alias("_q1"),
+        _mean_of(age().between(3, 5)).alias("_q2"),
+        _mean_of(age().between(6, 8)).alias("_q3"),
+        _mean_of(age() < 6).alias("_recent_mean"),
+        F.stddev_pop(F.when(age() < 6, value())).alias("_recent_deviation"),
         ordered_values().alias("_values"),
     )
     index = F.transform(
@@ -94,27 +113,23 @@ def series_statistics(filled: DataFrame) -> DataFrame:
         "smooth_last",
         "level",
         index.alias("seasonal_index"),
-        F.when(N >= 2 * YEAR, F.coalesce("_growth", F.lit(0.0))).otherwise(0.0).alias("growth"),
-        F.when(N >= YEAR, quarter_change).otherwise(0.0).alias("acceleration"),
-        F.when(N >= 6, F.col("_recent_deviation") / (F.col("_recent_mean") + TINY))
+        F.when(length() >= 2 * YEAR, F.coalesce("_growth", F.lit(0.0))).otherwise(0.0).alias("growth"),
+        F.when(length() >= YEAR, quarter_change).otherwise(0.0).alias("acceleration"),
+        F.when(length() >= 6, F.col("_recent_deviation") / (F.col("_recent_mean") + TINY))
         .otherwise(0.0)
         .alias("volatility"),
-        (N / strongest_frequency("_values")).alias("period"),
+        (length() / strongest_frequency("_values")).alias("period"),
     )
 
 
-# Components at forecast step ``step`` (0 .. horizon-1).
-STEP = F.col("step")
-
-
 def linear_trend() -> Column:
     """Fitted line, one month beyond the next free position."""
-    return F.col("slope") * (N + STEP + 1) + F.col("intercept")
+    return F.col("slope") * (length() + step() + 1) + F.col("intercept")
 
 
 def smoothed_trend() -> Column:
-    rise = (F.col("smooth_last") - F.col("smooth_first")) / N
-    return F.col("smooth_last") + rise * (STEP + 1)
+    rise = (F.col("smooth_last") - F.col("smooth_first")) / length()
+    return F.col("smooth_last") + rise * (step() + 1)
 
 
 def moving_level() -> Column:
@@ -123,30 +138,30 @@ def moving_level() -> Column:
 
 def blended_trend() -> Column:
     parts = (linear_trend(), smoothed_trend(), moving_level())
-    return F.when(N < 2, 0.0).otherwise(sum(w * p for w, p in zip(TREND_WEIGHTS, parts)))
+    return F.when(length() < 2, 0.0).otherwise(sum(w * p for w, p in zip(TREND_WEIGHTS, parts)))
 
 
 def wave() -> Column:
     """Sine of the dominant period, a tenth of the mean high."""
-    angle = 2 * F.pi() * STEP / F.col("period")
+    angle = 2 * F.pi() * step() / F.col("period")
     return F.coalesce(WAVE_AMPLITUDE * F.sin(angle) * F.col("mean"), F.lit(0.0))
 
 
 def seasonal_blend() -> Column:
-    index = F.get(F.col("seasonal_index"), (N + STEP) % YEAR)
+    index = F.get(F.col("seasonal_index"), (length() + step()) % YEAR)
     blend = (
         (index - 1) * F.col("mean") * SEASONAL_SHARE
         + F.col("growth") * F.col("mean") * GROWTH_SHARE
         + wave() * WAVE_SHARE
     )
-    return F.when(N < YEAR, 0.0).otherwise(blend)
+    return F.when(length() < YEAR, 0.0).otherwise(blend)
 
 
 def seeded_noise(seed: int) -> Column:
     """Standard normal value fixed by product, step and seed (not by partition)."""
 
     def uniform(salt):
-        h = F.xxhash64("product_id", STEP, F.lit(seed), F.lit(salt))
+        h = F.xxhash64("product_id", step(), F.lit(seed), F.lit(salt))
         return (F.pmod(h, F.lit(2**40)) + 0.5) / float(2**40)
 
     return F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
@@ -154,10 +169,10 @@ def seeded_noise(seed: int) -> Column:
 
 def residual_adjustment(noise_seed: int | None = None) -> Column:
     """Acceleration and, with a seed, volatility noise; both fade with the step."""
-    push = F.col("acceleration") * (STEP + 1) * ACCELERATION_STEP
+    push = F.col("acceleration") * (step() + 1) * ACCELERATION_STEP
     if noise_seed is not None:
         push = push + seeded_noise(noise_seed) * F.col("volatility") * F.col("mean") * NOISE_SHARE
-    return F.when(N < 6, 0.0).otherwise(push * F.exp(-DECAY * STEP))
+    return F.when(length() < 6, 0.0).otherwise(push * F.exp(-DECAY * step()))
 
 
 def statistical_forecast(
@@ -169,5 +184,5 @@ def statistical_forecast(
         "product_id",
         "MONAT",
         "step",
-        F.when(N < 3, 0.0).otherwise(F.greatest(F.lit(0.0), total)).alias("forecast"),
+        F.when(length() < 3, 0.0).otherwise(F.greatest(F.lit(0.0), total)).alias("forecast"),
     )
