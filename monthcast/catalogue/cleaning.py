@@ -206,7 +206,7 @@ FROM fact f JOIN (SELECT product_id, avg(anz_produkt) AS m, stddev_samp(anz_prod
 WHERE s > 0 AND abs((anz_produkt - m) / s) <= 1.5""",
 )
 def c10_product(spark, sf):
-    df = filter_outliers(fact(spark, sf), "anz_produkt", "zscore", 1.5, keys=["product_id"])
+    df = filter_outliers(fact(spark, sf), "anz_produkt", "zscore", 1.5, keys=["product_id"], salts=1)
     return shown(df.select("product_id", "MONAT", "anz_produkt"))
 
 

@@ -14,6 +14,7 @@ from monthcast.operators import ensemble as E
 from monthcast.operators import members as B
 from monthcast.operators.features import lag_features, rolling_features
 from monthcast.operators.folds import FOLDS, fold_ranges, with_folds
+from monthcast.session import materialize
 
 MIN_ROWS = 26
 MEMBERS = list(B.BASELINES)
@@ -39,7 +40,8 @@ def baseline_rows(spark, sf):
 
 
 def folded(spark, sf):
-    return with_folds(baseline_rows(spark, sf), min_rows=MIN_ROWS)
+    """Read by the errors and by the lines, so it is written once."""
+    return materialize(with_folds(baseline_rows(spark, sf), min_rows=MIN_ROWS), "folded", "level")
 
 
 def scored(spark, sf):
@@ -149,7 +151,7 @@ def final_models(spark, sf):
     rows = folded(spark, sf)
     lines = B.line_statistics(rows, "sales_lag_1").where(F.col("fold") == FOLDS + 1).drop("fold")
     weights = E.inverse_error_weights(E.cross_validation_errors(B.with_line_member(rows), MEMBERS))
-    return E.wide_weights(weights, MEMBERS).join(lines, ["level", "key"])
+    return materialize(E.wide_weights(weights, MEMBERS).join(lines, ["level", "key"]), "models", "level")
 
 
 def predicted_rows(spark, sf):

@@ -79,6 +79,16 @@ def sales_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def supplier_regions(spark: SparkSession, sf: str) -> DataFrame:
+    nation = table(spark, sf, "nation")
+    region = F.concat(F.lit("F0"), (F.col("n_regionkey") % 4 + 1).cast("string"))
+    return (
+        table(spark, sf, "supplier")
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(F.col("s_suppkey").alias("l_suppkey"), region.alias("region"))
+    )
+
+
 def master(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(
         product_key("p_partkey").alias("product_id"), F.col("p_brand").alias("product_category_id")

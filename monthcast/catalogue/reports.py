@@ -16,8 +16,9 @@ from monthcast.catalogue.registry import (
     rnd,
     sales_lines,
     shown,
-    table,
+    supplier_regions,
 )
+from monthcast.functions.skew import salted_lookup
 from monthcast.operators import reporting as R
 from monthcast.operators.cleaning import collapse_months
 from monthcast.operators.trend import forecast_steps, moving_level, series_statistics
@@ -190,16 +191,7 @@ def regional_lines(spark, sf):
         .groupBy("product_id", "l_suppkey", F.trunc("MONAT", "MM").alias("MONAT"))
         .agg(F.sum("MENGE").alias("MENGE"))
     )
-    nation = table(spark, sf, "nation")
-    regions = (
-        table(spark, sf, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("s_suppkey").alias("l_suppkey"),
-            F.concat(F.lit("F0"), (F.col("n_regionkey") % 4 + 1).cast("string")).alias("region"),
-        )
-    )
-    return per_supplier.join(regions, "l_suppkey")
+    return salted_lookup(per_supplier, supplier_regions(spark, sf), ["l_suppkey"], ["product_id"], how="inner")
 
 
 REGIONAL = LINES + """,

@@ -17,9 +17,11 @@ from monthcast.catalogue.registry import (
     rnd,
     sales_lines,
     shown,
+    supplier_regions,
     table,
 )
 from monthcast.catalogue.reports import EXPORT, REGIONAL, level_forecast
+from monthcast.functions.skew import salted_lookup
 from monthcast.plans.forecasts import export_all
 from monthcast.session import scratch_path
 from monthcast.sources import exports, sales
@@ -29,16 +31,9 @@ from monthcast.sources.snapshots import SnapshotStore
 def write_regional_files(spark, sf) -> str:
     """The sales lines as regional CSV folders below a scratch root."""
     root = scratch_path(spark, "regional")
-    nation = table(spark, sf, "nation")
-    regions = (
-        table(spark, sf, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("s_suppkey").alias("l_suppkey"),
-            F.concat(F.lit("F0"), (F.col("n_regionkey") % 4 + 1).cast("string")).alias("region"),
-        )
+    lines = salted_lookup(
+        sales_lines(spark, sf), supplier_regions(spark, sf), ["l_suppkey"], ["product_id", "MONAT"], how="inner"
     )
-    lines = sales_lines(spark, sf).join(regions, "l_suppkey")
     lines.select(
         "product_id",
         F.lit(None).cast("string").alias("product_category_id"),

@@ -114,20 +114,21 @@ def ensemble_band(df: DataFrame, members: Sequence[str]) -> DataFrame:
     All weights zero have no weighted mean: the prediction is null.
     """
     total = sum(F.coalesce(F.col(f"w_{m}"), F.lit(0.0)) for m in members)
-    mean = F.try_divide(_weighted(members), total)
-    margin = BAND_SIGMAS * _spread(members)
-    zero = F.lit(0.0)
+    banded = df.withColumn("_mean", F.try_divide(_weighted(members), total)).withColumn(
+        "_margin", BAND_SIGMAS * _spread(members)
+    )
 
     def clipped(c):
-        return F.when(c.isNotNull(), F.greatest(zero, c))
+        return F.when(c.isNotNull(), F.greatest(F.lit(0.0), c))
 
-    return df.withColumns(
+    mean, margin = F.col("_mean"), F.col("_margin")
+    return banded.withColumns(
         {
             "predicted_sales": clipped(mean),
             "lower_bound": clipped(mean - margin),
             "upper_bound": clipped(mean + margin),
         }
-    )
+    ).drop("_mean", "_margin")
 
 
 def hierarchical_prediction(levelled: DataFrame, members: Sequence[str]) -> DataFrame:

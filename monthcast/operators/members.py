@@ -61,9 +61,18 @@ def line_statistics(folded: DataFrame, x: str, y: str = "y") -> DataFrame:
 def with_line_member(folded: DataFrame, x: str = "sales_lag_1", y: str = "y") -> DataFrame:
     """Add ``linear``: each fold predicted by the line fitted before it."""
     lines = line_statistics(folded, x, y).where(F.col("fold") <= FOLDS)
-    return salted_lookup(folded, lines, ["level", "key", "fold"], ["product_id"]).withColumn(
-        "linear", F.col("slope") * F.col(x) + F.col("intercept")
-    ).drop("slope", "intercept")
+    return (
+        _lookup_fold(folded, lines)
+        .withColumn("linear", F.col("slope") * F.col(x) + F.col("intercept"))
+        .drop("slope", "intercept")
+    )
+
+
+def _lookup_fold(folded: DataFrame, models: DataFrame) -> DataFrame:
+    """Join on level, key and fold; categories and the whole are spread, while
+    a product has few rows and the many product models stay unrepeated."""
+    many = F.col("level") != "product"
+    return salted_lookup(folded, models, ["level", "key", "fold"], ["product_id"], hot=many)
 
 
 # --- linear model on all features, for every key at once ---------------------
@@ -132,7 +141,7 @@ def with_linear_member(
 ) -> DataFrame:
     table = models.where(F.col("fold") <= FOLDS)
     return (
-        salted_lookup(folded, table, ["level", "key", "fold"], ["product_id"])
+        _lookup_fold(folded, table)
         .withColumn(output, linear_value(features))
         .drop("coefficients")
     )

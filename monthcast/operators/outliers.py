@@ -13,19 +13,22 @@ SKETCH_ACCURACY = 10_000
 SKETCH_SLACK = 5.0 / SKETCH_ACCURACY
 # Below this many rows a bracket saves nothing and spans the whole column.
 SKETCH_MIN_ROWS = 100_000
+SALTS = 16
 
 
-def _attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], spread_by: str) -> DataFrame:
+def _attach(
+    df: DataFrame, stats: DataFrame, keys: Sequence[str], spread_by: str, salts: int = SALTS
+) -> DataFrame:
     """Column ``_s``: the key's row of ``stats``, or its only row without keys."""
     fields = F.struct(*[c for c in stats.columns if c not in keys]).alias("_s")
     stats = stats.select(*keys, fields)
     if keys:
-        return salted_lookup(df, stats, keys, [spread_by])
+        return salted_lookup(df, stats, keys, [spread_by], salts)
     return df.withColumn("_s", stats.scalar())
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probs: Sequence[float], keys: Sequence[str] = ()
+    df: DataFrame, column: str, probs: Sequence[float], keys: Sequence[str] = (), salts: int = SALTS
 ) -> DataFrame:
     """Linearly interpolated quantiles ``q0, q1, ...`` per key (one row without keys).
 
@@ -56,7 +59,7 @@ def exact_quantiles(
     )
     values = known.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_copies"))
     inside = (
-        _attach(values, brackets, keys, "_x")
+        _attach(values, brackets, keys, "_x", salts)
         .select(*keys, "_x", "_copies", F.explode(targets).alias("_t"))
         .where(F.col("_t.hi").isNull() | (F.col("_x") <= F.col("_t.hi")))
         .select(
@@ -95,16 +98,19 @@ def filter_outliers(
     method: str = "iqr",
     factor: float = 1.5,
     keys: Sequence[str] = (),
+    salts: int = SALTS,
 ) -> DataFrame:
     """Rows whose value is no outlier, over the table or per key.
 
+    ``salts`` spreads the rows of large keys; 1 suits many small keys.
+
     ``iqr`` keeps [Q1 - f*IQR, Q3 + f*IQR]; ``zscore`` keeps at most ``f``
     sample standard deviations from the mean. Nulls are dropped, and a column
     without spread keeps nothing under ``zscore``.
     """
     value = F.col(column)
     if method == "iqr":
-        stats = exact_quantiles(df, column, (0.25, 0.75), keys)
+        stats = exact_quantiles(df, column, (0.25, 0.75), keys, salts)
         spread = F.col("_s.q1") - F.col("_s.q0")
         kept = (value >= F.col("_s.q0") - factor * spread) & (value <= F.col("_s.q1") + factor * spread)
     elif method == "zscore":
@@ -112,4 +118,4 @@ def filter_outliers(
         kept = F.abs(F.try_divide(value - F.col("_s.mean"), F.col("_s.std"))) <= factor
     else:
         raise ValueError("method must be 'iqr' or 'zscore'")
-    return _attach(df, stats, list(keys), column).where(kept).drop("_s")
+    return _attach(df, stats, list(keys), column, salts).where(kept).drop("_s")
