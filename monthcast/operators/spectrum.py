@@ -21,6 +21,8 @@ def ordered_values(position: str = "t", value: str = "anz_produkt") -> Column:
 def strongest_frequency(series: pd.Series) -> pd.Series:
     """Index of the largest DFT magnitude among 1 .. n/2-1; null under 24 values.
 
+    Equal magnitudes, float noise aside, give the lowest index.
+
     Series of one length are transformed together. Spark has no Fourier
     transform; sums of sines per frequency cost n*n/2 terms a series.
     """
@@ -28,8 +30,9 @@ def strongest_frequency(series: pd.Series) -> pd.Series:
     strongest = np.full(len(series), np.nan)
     for n in np.unique(lengths[lengths >= MIN_SERIES]).astype(int):
         same = np.flatnonzero(lengths == n)
-        spectrum = np.abs(np.fft.rfft(np.stack(series.iloc[same].to_numpy()), axis=1))
-        strongest[same] = 1 + spectrum[:, 1 : n // 2].argmax(axis=1)
+        spectrum = np.fft.rfft(np.stack(series.iloc[same].to_numpy()), axis=1)
+        power = np.round(np.abs(spectrum) ** 2, 6)
+        strongest[same] = 1 + power[:, 1 : n // 2].argmax(axis=1)
     return pd.Series(strongest).astype("Int32")
 
 
