@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from monthcast.catalogue.registry import fact, filled, query, rnd, shown
+from monthcast.catalogue.registry import filled, monthly, query, rnd, shown
 from monthcast.catalogue.series import DECOMPOSED, SPECTRUM
 from monthcast.operators import decomposition as D
 from monthcast.operators import trend as M
 from monthcast.operators.routing import routed_forecast, with_method
 from monthcast.operators.series import fill_month_gaps
-from monthcast.plans.forecasts import forecast_all, summarize_all
+from monthcast.plans.forecasts import forecast_all, monthly_table, summarize_all
 
 STATS = SPECTRUM + """,
 stats AS (
@@ -243,7 +243,7 @@ SELECT product_id, CASE WHEN product_id IN ({LISTED_SQL}) THEN 'decomposition' E
 FROM stats""",
 )
 def f16(spark, sf):
-    return with_method(fact(spark, sf).select("product_id").distinct(), LISTED)
+    return with_method(monthly(spark, sf).select("product_id").distinct(), LISTED)
 
 
 @query(
@@ -277,7 +277,7 @@ SELECT product_id, CAST(month AS VARCHAR) AS MONAT, {STEP_COLUMN}, {rnd("forecas
 FROM routed""",
 )
 def p4(spark, sf):
-    return shown(forecast_all(fact(spark, sf), decomposed=LISTED))
+    return shown(forecast_all(monthly_table(monthly(spark, sf)), decomposed=LISTED))
 
 
 @query(
@@ -291,8 +291,8 @@ FROM (SELECT product_id, sum(forecast) AS total FROM routed GROUP BY product_id)
 JOIN (SELECT product_id, avg(anz_produkt) AS mean FROM fact GROUP BY product_id) USING (product_id)""",
 )
 def p4_summary(spark, sf):
-    forecast = forecast_all(fact(spark, sf), decomposed=LISTED)
-    return shown(summarize_all(fact(spark, sf), forecast))
+    series = monthly_table(monthly(spark, sf))
+    return shown(summarize_all(series, forecast_all(series, decomposed=LISTED)))
 
 
 @query(
@@ -303,5 +303,4 @@ SELECT product_id, CAST(month AS VARCHAR) AS MONAT, {STEP_COLUMN}, {rnd("forecas
 FROM routed""",
 )
 def p4_twelve(spark, sf):
-    series = fill_month_gaps(fact(spark, sf).select("product_id", "MONAT", "anz_produkt"))
-    return shown(routed_forecast(series, 12, LISTED))
+    return shown(routed_forecast(fill_month_gaps(monthly_table(monthly(spark, sf))), 12, LISTED))

@@ -128,8 +128,13 @@ def variants(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """The fact without categories, which the forecasts do not need."""
+    return integrated_dataset(sales_lines(spark, sf), None)
+
+
 def filled(spark: SparkSession, sf: str) -> DataFrame:
-    return fill_month_gaps(fact(spark, sf).select("product_id", "MONAT", "anz_produkt"))
+    return fill_month_gaps(monthly(spark, sf))
 
 
 def sparse_fact(spark: SparkSession, sf: str) -> DataFrame:

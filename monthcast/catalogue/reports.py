@@ -10,8 +10,8 @@ from monthcast.catalogue.registry import (
     FILLED,
     LINES,
     descriptions,
-    fact,
     filled,
+    monthly,
     query,
     rnd,
     sales_lines,
@@ -73,7 +73,7 @@ def a1(spark, sf):
 SELECT product_id, total_sales, {rnd("avg_monthly_sales")} AS avg_monthly_sales, data_months FROM kpis""",
 )
 def a2(spark, sf):
-    return shown(R.product_kpis(fact(spark, sf)))
+    return shown(R.product_kpis(monthly(spark, sf)))
 
 
 @query(
@@ -86,7 +86,7 @@ WHERE product_id IN (SELECT product_id FROM fact GROUP BY product_id HAVING coun
 GROUP BY product_id, month(MONAT)""",
 )
 def a3(spark, sf):
-    return shown(R.calendar_profile(fact(spark, sf), min_rows=25))
+    return shown(R.calendar_profile(monthly(spark, sf), min_rows=25))
 
 
 @query(
@@ -102,7 +102,7 @@ SELECT product_id, CAST(min(MONAT) AS VARCHAR) AS first_month, CAST(max(MONAT) A
 FROM ranked GROUP BY product_id""",
 )
 def a4(spark, sf):
-    df = R.range_and_recent(fact(spark, sf))
+    df = R.range_and_recent(monthly(spark, sf))
     text = F.array_join(F.transform("recent_sales", lambda v: v.cast("bigint").cast("string")), ",")
     return shown(df.withColumn("recent_sales", text), dates=("first_month", "last_month"))
 
@@ -118,7 +118,7 @@ SELECT product_id, {rnd("total")} AS total_forecast, {rnd("mean")} AS avg_foreca
 FROM totals JOIN kpis USING (product_id)""",
 )
 def a5(spark, sf):
-    df = summarize_all(fact(spark, sf), level_forecast(spark, sf))
+    df = summarize_all(monthly(spark, sf), level_forecast(spark, sf))
     return shown(df.drop("total_forecast_shown", "avg_forecast_shown"))
 
 
@@ -131,7 +131,7 @@ SELECT product_id, CAST(MONAT AS VARCHAR) AS MONAT, {rnd("anz_produkt")} AS anz_
   UNION ALL SELECT product_id, MONAT, forecast, 'Forecast' FROM forecast)""",
 )
 def a6(spark, sf):
-    return shown(R.history_and_forecast(fact(spark, sf), level_forecast(spark, sf)))
+    return shown(R.history_and_forecast(monthly(spark, sf), level_forecast(spark, sf)))
 
 
 EXPORT = FORECAST + f""", {DESCRIPTIONS},
@@ -146,7 +146,7 @@ export AS (
 
 @query("a6_export_rows", EXPORT + "SELECT * FROM export")
 def a6_export(spark, sf):
-    return shown(export_all(fact(spark, sf), level_forecast(spark, sf), descriptions(spark, sf)))
+    return shown(export_all(monthly(spark, sf), level_forecast(spark, sf), descriptions(spark, sf)))
 
 
 @query(
@@ -157,7 +157,7 @@ SELECT product_id, CAST(MONAT AS VARCHAR) AS MONAT, anz_produkt FROM fact
 WHERE product_id IN (SELECT product_id FROM fact GROUP BY product_id HAVING count(*) >= 25)""",
 )
 def a7(spark, sf):
-    df = R.rows_with_history(fact(spark, sf), 25)
+    df = R.rows_with_history(monthly(spark, sf), 25)
     return shown(df.select("product_id", "MONAT", "anz_produkt"))
 
 
@@ -166,7 +166,7 @@ def a7(spark, sf):
     FACT + "SELECT product_id, count(*) AS rows FROM fact GROUP BY product_id HAVING count(*) >= 6",
 )
 def a7_products(spark, sf):
-    return R.products_with_history(fact(spark, sf))
+    return R.products_with_history(monthly(spark, sf))
 
 
 @query(
@@ -177,7 +177,7 @@ SELECT product_id, sum(anz_produkt) AS total_sales FROM fact GROUP BY product_id
 ORDER BY total_sales DESC, product_id LIMIT 20""",
 )
 def a9(spark, sf):
-    return R.top_products(fact(spark, sf), 20)
+    return R.top_products(monthly(spark, sf), 20)
 
 
 def regional_lines(spark, sf):
@@ -221,5 +221,5 @@ SELECT product_id, CAST(MONAT AS VARCHAR) AS MONAT, step, {rnd("forecast")} AS f
 FROM forecast LEFT JOIN last_prices USING (product_id)""",
 )
 def a11(spark, sf):
-    df = R.revenue_projection(level_forecast(spark, sf), fact(spark, sf))
+    df = R.revenue_projection(level_forecast(spark, sf), monthly(spark, sf))
     return shown(df, revenue=2)

@@ -12,6 +12,7 @@ from monthcast.catalogue.registry import (
     descriptions,
     fact,
     master,
+    monthly,
     product_key,
     query,
     rnd,
@@ -178,6 +179,6 @@ EXPORT_SCHEMA = (
 @query("s6_analysis_export", EXPORT + "SELECT * FROM export")
 def s6(spark, sf):
     path = scratch_path(spark, "export")
-    rows = export_all(fact(spark, sf), level_forecast(spark, sf), descriptions(spark, sf))
+    rows = export_all(monthly(spark, sf), level_forecast(spark, sf), descriptions(spark, sf))
     exports.write_export(rows, path)
     return shown(spark.read.schema(EXPORT_SCHEMA).csv(path, header=True))

@@ -2,12 +2,12 @@
 
 ``series_statistics`` reduces a gap-filled series to one row; every forecast
 is a projection of that row onto the horizon's steps. Unused statistics are
-pruned by the optimizer, so a single component costs only its own sums.
+pruned by the optimizer, so a single component costs only its own part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthcast import settings as S
@@ -58,22 +58,42 @@ def forecast_steps(per_product: DataFrame, horizon: int = S.HORIZON_MONTHS) -> D
     )
 
 
-def _mean_of(condition: Column) -> Column:
-    return F.avg(F.when(condition, value()))
+def _mean(values: Column) -> Column:
+    """Mean of an array, null when it is empty."""
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda total, x: total + x), F.size(values))
 
 
-def series_statistics(filled: DataFrame) -> DataFrame:
-    """All sums the forecasts need, in one aggregation per product."""
-    ordered = Window.partitionBy("product_id").orderBy("MONAT")
-    base = F.lag("anz_produkt", YEAR).over(ordered)
-    rows = filled.withColumn("_growth", F.when(base > 0, (value() - base) / base))
+def _recent(months: int, skip: int = 0) -> Column:
+    """The values of ``months`` months, ``skip`` months back from the newest."""
+    return F.slice("_values", -(months + skip), months)
+
+
+def _position_means() -> Column:
+    """Mean by position in the year, null where a short series has none."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(YEAR - 1)),
+        lambda p: _mean(F.filter("_values", lambda _, i: i % YEAR == p)),
+    )
+
 
-    level_window = F.least(F.lit(LEVEL_MONTHS), F.expr("n div 2"))
-    in_level = F.when(level_window > 1, age() < level_window).otherwise(age() == 0)
-    keep = 1 - SMOOTHING
-    weight = F.when(position() == 0, F.pow(F.lit(keep), length() - 1)).otherwise(SMOOTHING * F.pow(F.lit(keep), age()))
+def _growths() -> Column:
+    """Relative changes over a year, where the year before sold something."""
+    changes = F.zip_with(
+        F.slice(F.col("_values"), F.lit(YEAR + 1), length()),
+        F.slice(F.col("_values"), F.lit(1), F.greatest(length() - YEAR, F.lit(0))),
+        lambda x, base: F.when(base > 0, (x - base) / base),
+    )
+    return F.filter(changes, lambda change: change.isNotNull())
+
+
+def series_statistics(filled: DataFrame) -> DataFrame:
+    """Everything the forecasts need, one row per product.
 
-    stats = rows.groupBy("product_id").agg(
+    One aggregation takes the moments and the values in order; the values are
+    as many as the calendar has months, and what depends on their order is
+    read off that array.
+    """
+    stats = filled.groupBy("product_id").agg(
         F.max("n").alias("n"),
         F.max("MONAT").alias("last_month"),
         F.avg(value()).alias("mean"),
@@ -82,23 +102,17 @@ def series_statistics(filled: DataFrame) -> DataFrame:
         F.stddev_pop(value()).alias("deviation"),
         F.regr_slope(value(), position()).alias("slope"),
         F.regr_intercept(value(), position()).alias("intercept"),
-        F.max(F.when(position() == 0, value())).alias("smooth_first"),
-        F.sum(weight * value()).alias("smooth_last"),
-        _mean_of(in_level).alias("level"),
-        F.array(*[_mean_of(position() % YEAR == m) for m in range(YEAR)]).alias("position_means"),
-        F.avg("_growth").alias("_growth"),
-        _mean_of(age() < 3).alias("_q1"),
-        _mean_of(age().between(3, 5)).alias("_q2"),
-        _mean_of(age().between(6, 8)).alias("_q3"),
-        _mean_of(age() < 6).alias("_recent_mean"),
-        F.stddev_pop(F.when(age() < 6, value())).alias("_recent_deviation"),
         ordered_values().alias("_values"),
     )
+    mean = F.col("mean")
+    level_months = F.greatest(F.lit(1), F.least(F.lit(LEVEL_MONTHS), F.floor(length() / 2))).cast("int")
     index = F.transform(
-        "position_means",
-        lambda m: F.when((F.col("mean") > 0) & m.isNotNull(), m / F.col("mean")).otherwise(F.lit(1.0)),
+        _position_means(), lambda m: F.when((mean > 0) & m.isNotNull(), m / mean).otherwise(F.lit(1.0))
     )
-    quarter_change = (F.col("_q1") - F.col("_q2")) - (F.col("_q2") - F.col("_q3"))
+    newest, middle, oldest = (_mean(_recent(3, skip)) for skip in (0, 3, 6))
+    half_year = _recent(6)
+    half_mean = _mean(half_year)
+    half_deviation = F.sqrt(_mean(F.transform(half_year, lambda x: F.pow(x - half_mean, 2))))
     return stats.select(
         "product_id",
         "n",
@@ -109,15 +123,15 @@ def series_statistics(filled: DataFrame) -> DataFrame:
         "deviation",
         "slope",
         "intercept",
-        "smooth_first",
-        "smooth_last",
-        "level",
+        F.get("_values", F.lit(0)).alias("smooth_first"),
+        F.aggregate(
+            "_values", F.get("_values", F.lit(0)), lambda s, x: s * (1 - SMOOTHING) + x * SMOOTHING
+        ).alias("smooth_last"),
+        _mean(F.slice(F.col("_values"), -level_months, level_months)).alias("level"),
         index.alias("seasonal_index"),
-        F.when(length() >= 2 * YEAR, F.coalesce("_growth", F.lit(0.0))).otherwise(0.0).alias("growth"),
-        F.when(length() >= YEAR, quarter_change).otherwise(0.0).alias("acceleration"),
-        F.when(length() >= 6, F.col("_recent_deviation") / (F.col("_recent_mean") + TINY))
-        .otherwise(0.0)
-        .alias("volatility"),
+        F.when(length() >= 2 * YEAR, F.coalesce(_mean(_growths()), F.lit(0.0))).otherwise(0.0).alias("growth"),
+        F.when(length() >= YEAR, (newest - middle) - (middle - oldest)).otherwise(0.0).alias("acceleration"),
+        F.when(length() >= 6, half_deviation / (half_mean + TINY)).otherwise(0.0).alias("volatility"),
         (length() / strongest_frequency("_values")).alias("period"),
     )
 

@@ -16,22 +16,32 @@ from monthcast.operators.reporting import (
 )
 from monthcast.operators.routing import routed_forecast
 from monthcast.operators.series import fill_month_gaps
+from monthcast.session import materialize
+
+
+def monthly_table(fact: DataFrame) -> DataFrame:
+    """The collapsed series of all products, written once.
+
+    Both forecast methods, the summary and the export start from it; read
+    from the raw lines, each would scan and aggregate them again.
+    """
+    return materialize(collapse_months(fact), "monthly")
 
 
 def forecast_all(
-    fact: DataFrame,
+    monthly: DataFrame,
     horizon: int = S.HORIZON_MONTHS,
     decomposed: Sequence[str] = S.DECOMPOSED_PRODUCTS,
     noise_seed: int | None = None,
 ) -> DataFrame:
-    """Monthly fact -> one row per product and coming month."""
-    filled = fill_month_gaps(collapse_months(fact))
+    """Monthly table -> one row per product and coming month."""
+    filled = fill_month_gaps(monthly)
     return routed_forecast(filled, horizon, decomposed, noise_seed)
 
 
-def summarize_all(fact: DataFrame, forecast: DataFrame) -> DataFrame:
-    return forecast_summary(forecast, product_kpis(collapse_months(fact)))
+def summarize_all(monthly: DataFrame, forecast: DataFrame) -> DataFrame:
+    return forecast_summary(forecast, product_kpis(monthly))
 
 
-def export_all(fact: DataFrame, forecast: DataFrame, descriptions: DataFrame) -> DataFrame:
-    return export_rows(history_and_forecast(collapse_months(fact), forecast), descriptions)
+def export_all(monthly: DataFrame, forecast: DataFrame, descriptions: DataFrame) -> DataFrame:
+    return export_rows(history_and_forecast(monthly, forecast), descriptions)

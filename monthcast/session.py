@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "monthcast", master: str | None = None, **conf) -> SparkSession:
-    """A session with adaptive execution and skew handling on, in UTC."""
+    """A session with adaptive execution and skew handling on, in UTC.
+
+    Call sites are not recorded for every column expression: that takes most
+    of the time it takes to build a wide plan.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -17,6 +21,7 @@ def build_session(app: str = "monthcast", master: str | None = None, **conf) ->
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
