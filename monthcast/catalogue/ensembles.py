@@ -40,8 +40,9 @@ def baseline_rows(spark, sf):
 
 
 def folded(spark, sf):
-    """Read by the errors and by the lines, so it is written once."""
-    return materialize(with_folds(baseline_rows(spark, sf), min_rows=MIN_ROWS), "folded", "level")
+    """Rows are read by the ranking and its counts, folds by errors and lines."""
+    rows = materialize(baseline_rows(spark, sf), "rows")
+    return materialize(with_folds(rows, min_rows=MIN_ROWS), "folded", "level")
 
 
 def scored(spark, sf):

@@ -103,7 +103,7 @@ def q7(spark, sf):
 
 
 def _lane_sql(i: int) -> str:
-    return f"CAST(sum(CAST('0x' || substr(h, {3 + 7 * i}, 7) AS BIGINT)) AS BIGINT) AS s{i}"
+    return f"CAST(sum(CAST('0x' || substr(h, {4 + 7 * i}, 7) AS BIGINT)) AS BIGINT) AS s{i}"
 
 
 @query(
@@ -114,7 +114,7 @@ hashes AS (
   SELECT md5(product_id || '|' || CAST(day AS VARCHAR) || '|' || CAST(MENGE AS VARCHAR) || '|' ||
              l_returnflag) AS h FROM lines),
 buckets AS (
-  SELECT substr(h, 1, 2) AS bucket, count(*) AS n, {", ".join(_lane_sql(i) for i in range(4))}
+  SELECT substr(h, 1, 3) AS bucket, count(*) AS n, {", ".join(_lane_sql(i) for i in range(4))}
   FROM hashes GROUP BY bucket)
 SELECT md5(string_agg(bucket || ':' || n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3, ','
            ORDER BY bucket)) AS fingerprint

@@ -30,6 +30,10 @@ def with_level_keys(rows: DataFrame, levels: Sequence[str] = LEVELS) -> DataFram
     )
 
 
+def with_product_hash(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_md5", F.md5(F.col("product_id").cast("binary")))
+
+
 def time_rank(rows: DataFrame) -> DataFrame:
     """Position ``r`` (from 0) of each row within its level and key, and their size ``n``.
 
@@ -42,7 +46,7 @@ def time_rank(rows: DataFrame) -> DataFrame:
     cell = ["level", "key", "_month", "_cell"]
     whole = F.col("level") == "product"
     hashed = (
-        rows.withColumn("_md5", F.md5(F.col("product_id").cast("binary")))
+        (rows if "_md5" in rows.columns else with_product_hash(rows))
         .withColumn("_cell", F.when(whole, "").otherwise(F.substring("_md5", 1, BUCKET_DIGITS)))
         .withColumn("_month", F.when(whole, F.lit("1900-01-01").cast("date")).otherwise(F.col("MONAT")))
     )
@@ -84,7 +88,7 @@ def with_folds(
     Category and product keys need ``min_rows`` rows, and every key enough
     rows to be split; other keys have no model of their own.
     """
-    ranked = time_rank(with_level_keys(rows, levels))
+    ranked = time_rank(with_level_keys(with_product_hash(rows), levels))
     enough = (F.col("level") == "global") | (F.col("n") >= min_rows)
     return ranked.where(enough).withColumn("fold", fold_of(F.col("r"), F.col("n"), folds)).where(
         F.col("fold").isNotNull()

@@ -77,22 +77,22 @@ def dataset_profile(df: DataFrame) -> DataFrame:
     )
 
 
-HASH_BUCKET_DIGITS = 2
+HASH_BUCKET_DIGITS = 3
 LANES = 4
 LANE_DIGITS = 7
 
 
 def _lane(digest: Column, i: int) -> Column:
     start = HASH_BUCKET_DIGITS + 1 + i * LANE_DIGITS
-    return F.conv(F.substring(digest, start, LANE_DIGITS), 16, 10).cast("decimal(20,0)")
+    return F.conv(F.substring(digest, start, LANE_DIGITS), 16, 10).cast("bigint")
 
 
 def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One md5 that is equal exactly when two tables hold the same rows.
 
     Every row is hashed; the hashes are summed by their leading digits, which
-    ignores row order but not copies, and the at most 256 sums are hashed
-    together. Only those sums leave the executors' partial aggregates.
+    ignores row order but not copies, and the at most 4096 sums are hashed
+    together. Seven digits a lane leave room for 10^14 rows. Only those sums leave the executors' partial aggregates.
     """
     columns = list(columns or df.columns)
     text = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
