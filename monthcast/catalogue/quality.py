@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from monthcast.catalogue.registry import (
@@ -135,5 +133,5 @@ FROM orders""",
 def q9(spark, sf):
     """Order dates stand in for the training dates of a snapshot log."""
     log = table(spark, sf, "orders").select(F.col("o_orderdate").alias("training_date"))
-    as_of = F.lit(datetime(2001, 8, 5)).cast("timestamp_ntz")
+    as_of = F.lit("2001-08-05").cast("timestamp_ntz")
     return shown(snapshot_freshness(log, as_of), dates=("newest",))
