@@ -36,8 +36,9 @@ def repeated_bits(keys: DataFrame, bits: int) -> np.ndarray:
     """
     hit = keys.select(F.explode(F.array(*places(F.col("key"), bits))).alias("at"))
     twice = hit.groupBy("at").count().where("count > 1")
-    segments = twice.groupBy(F.bitmap_bucket_number("at").alias("segment")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")
+    number = F.col("at") + 1  # the bitmap functions count from 1
+    segments = twice.groupBy(F.bitmap_bucket_number(number).alias("segment")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")
     )
     out = np.zeros(bits // 8 + SEGMENT // 8, np.uint8)
     for row in segments.toLocalIterator():  # at most bits / SEGMENT rows of 4 KB
