@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from monthcast.llm import archive, exact_dedup, merkle, mixing
+from monthcast.llm import archive, bpe, exact_dedup, merkle, mixing
 from monthcast.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,12 @@ def op3_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
     return archive.archived_pages(spark, sf)
 
 
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query(
     "op6_source_mix",
     r"""
