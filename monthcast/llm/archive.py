@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthcast.llm.tables import table
+from monthcast.llm.tables import stored, table
 from monthcast.session import scratch_path
 
 #: Smaller payloads are written as responses even where an equal one exists.
@@ -54,7 +54,8 @@ def records(
         F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload")
     ).select("id", "uri", "payload", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size"))
     light = rows.select("id", "uri", "digest", "size")
-    first = light.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("first"))
+    # Written, so that the join has a plain shuffle on either side and Spark can split a large group.
+    first = stored(light.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("first")), "first")
     role = light.join(first, "digest", "left")
     again = (F.col("size") >= least) & ~F.col("id").eqNullSafe(F.col("first"))
     header = F.concat(

@@ -78,7 +78,8 @@ def duplicate_groups(
     marked = stored(marked.select("id", "digest", perhaps(*places(F.col("key"), bits)).alias("perhaps")), "digests")
     alone = marked.where(~F.col("perhaps")).select("id", "digest", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"))
     shared = marked.where("perhaps").drop("perhaps")
-    groups = shared.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("size"))
+    # Written, so that the join has a plain shuffle on either side and Spark can split a large group.
+    groups = stored(shared.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("size")), "groups")
     every = alone.union(shared.join(groups, "digest").select("id", "digest", "keep", "size"))
     return every.select(
         F.col("id").alias(id_col),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from monthcast.llm import archive, bpe, exact_dedup, merkle, mixing
+from monthcast.llm import archive, bpe, exact_dedup, langid, merkle, mixing, quality
 from monthcast.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identified(table(spark, sf, "documents"))
+
+
 @query(
     "op3_warc_archive",
     """
@@ -42,6 +47,12 @@ def op3_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
     return archive.archived_pages(spark, sf)
 
 
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality.scored(docs, quality.fit(docs))
+
+
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
