@@ -226,7 +226,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
     return regress(x, y)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", id_col: str = "doc_id", *keep: str, least: float = 0.5) -> DataFrame:
+def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", id_col: str = "doc_id", *keep: str, least: float = 0.4) -> DataFrame:
     """The columns of ``docs`` named in ``keep``, or its id, with score (0 to 1, high is good) and kept (at least ``least``).
 
     Every row gets one. An empty or null text has no features but the

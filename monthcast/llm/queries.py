@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from monthcast.llm import archive, bpe, exact_dedup, langid, merkle, mixing, quality
+from monthcast.llm import archive, bpe, exact_dedup, langid, merkle, mixing, quality, substrings
 from monthcast.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +107,13 @@ def op6_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed(table(spark, sf, "documents"))
 
 
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 @query(
     "op9_exact_dedup",
     """
