@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthcast.llm import archive, bpe, exact_dedup, langid, merkle, mixing, quality, substrings
+from monthcast.llm import archive, bpe, exact_dedup, langid, merkle, mixing, near_dedup, quality, substrings
 from monthcast.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,11 @@ def op6_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed(table(spark, sf, "documents"))
 
 
+@query("op7_near_dedup")
+def op7_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op8_substring_dedup")
 def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf, "documents")).select(
