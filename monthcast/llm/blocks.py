@@ -19,7 +19,7 @@ from pyspark import TaskContext
 
 from monthcast.llm.words import chunks, texts
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:

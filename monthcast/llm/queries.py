@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthcast.llm import archive, bpe, exact_dedup, langid, merkle, mixing, near_dedup, quality, substrings
+from monthcast.llm import archive, bpe, exact_dedup, langid, lm, merkle, mixing, near_dedup, quality, substrings
 from monthcast.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_lm_scores")
+def op1_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return lm.scored(docs, ~lm.held_out(docs["doc_id"]))
+
+
 @query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identified(table(spark, sf, "documents"))

@@ -17,8 +17,8 @@ SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BYTE_BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD_BASE = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
-CHUNK_BYTES = 4 << 20
-CHUNK_ROWS = 8192
+CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 2048
 
 
 def texts(column: pa.Array) -> pa.Array:
@@ -48,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(base, -1, 1 << 64)
     out = []
