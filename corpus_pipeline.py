@@ -1,19 +1,55 @@
-"""A training corpus from documents: stages that each keep, drop or repeat whole rows."""
+"""A training corpus from documents: stages that keep, drop or repeat rows, then token ids."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from monthcast.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from monthcast.llm.tables import stored, table
 
-STAGES: list = []
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier does not reject."""
+    return quality.without_rejected(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text once, under its largest id."""
+    return exact_dedup.without_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.without_near_duplicates(docs, length=5)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks."""
+    return mixing.repeated(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("source mix", source_mix),
+    ("byte-level BPE", byte_bpe),
+]
 
 #: The first stage fits a classifier, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

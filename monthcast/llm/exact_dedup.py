@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthcast.llm.tables import stored
@@ -46,6 +46,32 @@ def repeated_bits(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _perhaps(text: Column, docs: DataFrame) -> Column:
+    """Second pass: whether a row's text may have a copy."""
+    bits = filter_bits(docs.count())
+    key = F.xxhash64(text)
+    seen = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs.select(key.alias("key")), bits))
+
+    @F.pandas_udf("boolean")
+    def look(*at: pd.Series) -> pd.Series:
+        found = np.ones(len(at[0]), bool)
+        for place in at:
+            i = place.to_numpy()
+            found &= (seen.value[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(found)
+
+    return look(*places(key, bits))
+
+
+def _groups(shared: DataFrame) -> DataFrame:
+    """Largest id and size of each group of equal digests.
+
+    Written, so that a join has a plain shuffle on either side and Spark can
+    split a large group.
+    """
+    return stored(shared.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("size")), "groups")
+
+
 def duplicate_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalised: Column | None = None
 ) -> DataFrame:
@@ -61,26 +87,14 @@ def duplicate_groups(
     with the same id all count in group_size, and all of them are kept if
     their id stays. No rows give no rows. Other columns are not looked at.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col) if normalised is None else normalised, F.lit(""))
-    bits = filter_bits(docs.count())
-    seen = spark.sparkContext.broadcast(repeated_bits(docs.select(F.xxhash64(text).alias("key")), bits))
-
-    @F.pandas_udf("boolean")
-    def perhaps(*at: pd.Series) -> pd.Series:
-        found = np.ones(len(at[0]), bool)
-        for place in at:
-            i = place.to_numpy()
-            found &= (seen.value[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(found)
-
-    marked = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), F.xxhash64(text).alias("key"))
-    marked = stored(marked.select("id", "digest", perhaps(*places(F.col("key"), bits)).alias("perhaps")), "digests")
+    marked = docs.select(
+        F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), _perhaps(text, docs).alias("perhaps")
+    )
+    marked = stored(marked, "digests")
     alone = marked.where(~F.col("perhaps")).select("id", "digest", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"))
     shared = marked.where("perhaps").drop("perhaps")
-    # Written, so that the join has a plain shuffle on either side and Spark can split a large group.
-    groups = stored(shared.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("size")), "groups")
-    every = alone.union(shared.join(groups, "digest").select("id", "digest", "keep", "size"))
+    every = alone.union(shared.join(_groups(shared), "digest").select("id", "digest", "keep", "size"))
     return every.select(
         F.col("id").alias(id_col),
         F.col("keep").alias("keep_id"),
@@ -88,3 +102,26 @@ def duplicate_groups(
         F.col("id").eqNullSafe(F.col("keep")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with every text once, all columns as they are.
+
+    Of equal texts the row with the largest id stays, and one of rows
+    repeated with that id. Null counts as empty, a null id as the smallest.
+    Rows the filter proves to be alone pass without a shuffle. Columns may
+    have any names.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(id_col).alias("id"),
+        F.sha2(text, 256).alias("digest"),
+        _perhaps(text, docs).alias("perhaps"),
+    )
+    shared = row.where("perhaps")
+    keep = _groups(shared.select("id", "digest"))
+    shared = shared.join(keep, "digest").where(F.col("id").eqNullSafe(F.col("keep")))
+    first = Window.partitionBy("digest").orderBy("id")
+    shared = shared.withColumn("n", F.row_number().over(first)).where("n = 1")
+    return row.where(~F.col("perhaps")).select("row.*").union(shared.select("row.*"))

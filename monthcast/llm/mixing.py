@@ -12,7 +12,7 @@ from monthcast.llm.tables import stored, words_of
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 #: Aim for the rows of one cell, the unit that is sorted in one task.
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 
 
 def quality_weight(text: Column) -> Column:
@@ -71,7 +71,7 @@ def mixed(
     words are its target rounded down. ``taken`` = epochs * size + part.
 
     Keys follow from id and seed, so reruns agree. A source is cut into cells
-    of equal key width whose running sums give each cell its start; only a
+    by key / (key + 1), whose running sums give each cell its start; only a
     cell is sorted, whatever share of all rows its source has.
 
     Null text has size 0, a null source is a source of its own, null ids
@@ -89,7 +89,8 @@ def mixed(
     cells = max(64, docs.count() // CELL_ROWS)
     key = -F.log(uniform(F.col("id"), seed)) / F.col("weight")
     rows = rows.withColumn("key", key).drop("weight")
-    rows = rows.withColumn("cell", F.least(F.lit(cells - 1), F.floor((1 - F.exp(-F.col("key"))) * cells)).cast("int"))
+    share = F.col("key") / (F.col("key") + 1)
+    rows = rows.withColumn("cell", F.least(F.lit(cells - 1), F.floor(share * cells)).cast("int"))
     rows = stored(rows, "keys")
 
     totals = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
@@ -116,3 +117,43 @@ def mixed(
         "epochs",
         "part",
     )
+
+
+def repeated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as ``mixed`` takes it, all columns as they are.
+
+    A document on a source's border appears once more with its first ``part``
+    words joined by one space; n_chars, where there is such a column, is that
+    of the shorter text. Rows that agree in id, source and size are told
+    apart by their number among them. Columns may have any names.
+    """
+    taken = mixed(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    names = docs.columns
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+        F.struct(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("size")).alias("key"),
+    )
+    # Equal keys get numbers on either side; which of equal rows is taken more often is open.
+    turn = Window.partitionBy("key").orderBy("key")
+    rows = rows.withColumn("turn", F.row_number().over(turn))
+    taken = taken.select(F.struct(F.col(id_col).alias("id"), "size").alias("key"), "epochs", "part")
+    taken = taken.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("epochs", "part")))
+    both = rows.join(taken, rows["key"].eqNullSafe(taken["key"]) & (rows["turn"] == taken["turn"])).select(
+        "row", rows["key"]["size"].alias("size"), "epochs", "part"
+    )
+    copies = (F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")
+    both = both.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).where("copy <= epochs or part > 0")
+    cut = (F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size"))
+    words = F.regexp_extract_all(F.col("row")[text_col], F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    short = F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " ")
+    out = []
+    for name in names:
+        value = F.col("row")[name]
+        if name == text_col:
+            value = F.when(cut, short).otherwise(value)
+        elif name == "n_chars":
+            value = F.when(cut, F.char_length(short).cast(docs.schema[name].dataType)).otherwise(value)
+        out.append(value.alias(name))
+    return both.where(copies > 0).select(*out)

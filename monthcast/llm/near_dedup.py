@@ -249,3 +249,14 @@ def near_duplicates(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are their component's smallest id, all columns as they are.
+
+    Rows repeated with that id all stay; rows with a null id stay, for they
+    cannot be told apart. Only the ids of rows that go are joined.
+    """
+    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept") & F.col(id_col).isNotNull())
+    gone = gone.select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

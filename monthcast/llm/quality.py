@@ -247,3 +247,12 @@ def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", id_col:
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", score double"
     rows = docs.select(*names, F.col(text_col).alias("_text"))
     return rows.mapInArrow(score, kind).withColumn("kept", F.col("score") >= least)
+
+
+def without_rejected(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that a scorer fitted on them keeps, all columns as they are, under any names."""
+    weights = fit(docs, text_col, id_col, **options)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, id_ = (f"c{names.index(c)}" for c in (text_col, id_col))
+    return scored(plain, weights, text, id_, *plain.columns).where("kept").select(*plain.columns).toDF(*names)

@@ -20,8 +20,8 @@ def shingle_set(text, length=2):
     return set(zip(*(words[i:] for i in range(length)), strict=False))
 
 
-def brute(rows):
-    sets = {i: shingle_set(t) for i, t in rows}
+def brute(rows, length=2):
+    sets = {i: shingle_set(t, length) for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(i):
