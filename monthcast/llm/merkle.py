@@ -67,7 +67,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     count = max(2, partitions(docs.sparkSession))
     cuts = rows.select(number.alias("n")).approxQuantile("n", [i / count for i in range(1, count)], 0.1 / count)
     ranged = Bucketizer(
-        splits=[float("-inf"), *sorted(set(cuts)), float("inf")], inputCol="n", outputCol="range"
+        splits=[float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")], inputCol="n", outputCol="range"
     )
     known = ranged.transform(rows.where("id is not null").withColumn("n", number)).drop("n")
     rows = known.union(rows.where("id is null").withColumn("range", F.lit(-1.0)))
