@@ -26,6 +26,7 @@ from monthcast.functions.scalars import index_stem, product_stem
 from monthcast.operators import cleaning as C
 from monthcast.operators import search
 from monthcast.operators.outliers import filter_outliers
+from monthcast.sources.sales import integrated_dataset
 
 COVID = ("1998-01-01", "1998-12-31")
 
@@ -155,6 +156,36 @@ def c8(spark, sf):
     return shown(C.aggregate_sales(raw, ["product_id"]))
 
 
+def text_dates(spark, sf):
+    """Sales lines whose dates are text in four forms, and in one that names no day."""
+    form = {2: "dd.MM.yyyy", 3: "yyyyMMdd", 4: "yyyy/MM/dd", 5: "MMMM"}
+    text = F.date_format("MONAT", "yyyy-MM-dd")
+    for line, pattern in form.items():
+        text = F.when(F.col("l_linenumber") == line, F.date_format("MONAT", pattern)).otherwise(text)
+    return sales_lines(spark, sf).withColumn("MONAT", F.when(F.col("l_linenumber") != 6, text))
+
+
+@query(
+    "c8_text_dates",
+    LINES
+    + f"""
+SELECT product_id, CAST(MONAT AS VARCHAR) AS MONAT, sum(MENGE) AS anz_produkt, {rnd("avg(PREIS)", 5)} AS unit_preis
+FROM lines WHERE l_linenumber NOT IN (5, 6) GROUP BY product_id, MONAT""",
+)
+def c8_text(spark, sf):
+    return shown(integrated_dataset(text_dates(spark, sf), None, ("dd.MM.yyyy", "yyyyMMdd", "yyyy/MM/dd")))
+
+
+@query(
+    "c8_unreadable_dates",
+    LINES
+    + """
+SELECT count(*) AS rows, count_if(l_linenumber = 6) AS without_date, count_if(l_linenumber = 5) AS unreadable FROM lines""",
+)
+def c8_unreadable(spark, sf):
+    return C.unreadable_dates(text_dates(spark, sf))
+
+
 @query(
     "c9_outliers_iqr",
     FACT

@@ -19,14 +19,38 @@ from monthcast.operators import quality as Q
 from monthcast.sources.snapshots import snapshot_freshness
 
 
+REPORTED = ("product_id", "product_category_id", "MONAT", "anz_produkt", "unit_preis")
+SQL_TYPES = "CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' WHEN 'DOUBLE' THEN 'double' END"
+
+
+def _missing_sql(c: str) -> str:
+    share = f"100.0 * count_if({c} IS NULL) / count(*)"
+    return f"SELECT 'missing_pct', '{c}', CAST(CAST(round_even({share}, 2) AS DOUBLE) AS VARCHAR) FROM sparse"
+
+
 @query(
-    "q1_missing_columns",
-    """
-SELECT column_name FROM (VALUES ('product_id'), ('MONAT'), ('region'), ('stock')) r(column_name)
-WHERE column_name NOT IN ('product_id', 'product_category_id', 'MONAT', 'anz_produkt', 'unit_preis')""",
+    "q1_quality_report",
+    SPARSE
+    + f""",
+types AS (
+  SELECT unnest(['{"', '".join(REPORTED)}']) AS column_name,
+         unnest([{", ".join(f"any_value(typeof({c}))" for c in REPORTED)}]) AS data_type FROM sparse)
+SELECT 'total_rows' AS measure, CAST(NULL AS VARCHAR) AS column_name, CAST(count(*) AS VARCHAR) AS value FROM sparse
+UNION ALL SELECT 'duplicate_rows', NULL, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM sparse)) AS VARCHAR)
+          FROM sparse
+UNION ALL {" UNION ALL ".join(_missing_sql(c) for c in REPORTED)}
+UNION ALL SELECT 'start', 'MONAT', CAST(min(MONAT) AS VARCHAR) FROM sparse
+UNION ALL SELECT 'end', 'MONAT', CAST(max(MONAT) AS VARCHAR) FROM sparse
+UNION ALL SELECT 'span_months', 'MONAT', CAST((max(MONAT) - min(MONAT)) // 30 AS VARCHAR) FROM sparse
+UNION ALL SELECT 'data_type', column_name, {SQL_TYPES} FROM types
+UNION ALL SELECT 'missing_column', c, NULL FROM (VALUES ('product_id'), ('stock')) r(c)
+          WHERE c NOT IN (SELECT column_name FROM types)
+UNION ALL SELECT 'wrong_type', column_name, {SQL_TYPES} FROM types
+          WHERE column_name = 'anz_produkt' AND {SQL_TYPES} <> 'bigint'""",
 )
 def q1(spark, sf):
-    return Q.missing_columns(fact(spark, sf), ["product_id", "MONAT", "region", "stock"])
+    """Every measure of the monthly fact; it has no stock column, and its quantities are no whole numbers."""
+    return Q.quality_report(sparse_fact(spark, sf), ["product_id", "stock"], {"anz_produkt": "bigint", "MONAT": "date"})
 
 
 @query(
@@ -53,16 +77,6 @@ def q3(spark, sf):
     return Q.duplicate_rows(table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_quantity"))
 
 
-@query(
-    "q4_column_types",
-    """
-SELECT column_name, data_type FROM (VALUES ('product_id', 'string'), ('product_category_id', 'string'),
-  ('MONAT', 'date'), ('anz_produkt', 'double'), ('unit_preis', 'double')) t(column_name, data_type)""",
-)
-def q4(spark, sf):
-    return Q.column_types(fact(spark, sf))
-
-
 @query(
     "q5_date_range",
     LINES
@@ -104,13 +118,16 @@ def _lane_sql(i: int) -> str:
     return f"CAST(sum(CAST('0x' || substr(h, {4 + 7 * i}, 7) AS BIGINT)) AS BIGINT) AS s{i}"
 
 
+def _marked_sql(c: str) -> str:
+    return f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
 @query(
     "q8_content_fingerprint",
     LINES
     + f""",
 hashes AS (
-  SELECT md5(product_id || '|' || CAST(day AS VARCHAR) || '|' || CAST(MENGE AS VARCHAR) || '|' ||
-             l_returnflag) AS h FROM lines),
+  SELECT md5({" || ".join(_marked_sql(c) for c in ("product_id", "day", "MENGE", "l_returnflag"))}) AS h FROM lines),
 buckets AS (
   SELECT substr(h, 1, 3) AS bucket, count(*) AS n, {", ".join(_lane_sql(i) for i in range(4))}
   FROM hashes GROUP BY bucket)

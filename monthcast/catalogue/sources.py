@@ -29,20 +29,34 @@ from monthcast.sources import exports, sales
 from monthcast.sources.snapshots import SnapshotStore
 
 
+# Headers of the regional files: columns in any order, further ones, and the monthly names.
+HEADERS = {
+    "F01": ("product_id", "product_category_id", "MONAT", "MENGE", "PREIS"),
+    "F02": ("MONAT", "PREIS", "note", "MENGE", "product_id", "product_category_id"),
+    "F03": ("product_id", "product_category_id", "MONAT", "anz_produkt", "unit_preis"),
+    "F04": ("note", "MENGE", "MONAT", "PREIS", "product_id"),
+}
+
+
 def write_regional_files(spark, sf) -> str:
     """The sales lines as regional CSV folders below a scratch root."""
     root = scratch_path(spark, "regional")
     lines = salted_lookup(
         sales_lines(spark, sf), supplier_regions(spark, sf), ["l_suppkey"], ["product_id", "MONAT"], how="inner"
     )
-    lines.select(
+    lines = lines.select(
         "product_id",
-        F.lit(None).cast("string").alias("product_category_id"),
+        F.concat(F.lit("file "), F.substring("product_id", -1, 1)).alias("product_category_id"),
         F.col("MONAT").cast("string").alias("MONAT"),
         "MENGE",
         "PREIS",
-        F.col("region").alias("CSV"),
-    ).write.partitionBy("CSV").csv(root, header=True)
+        F.col("MENGE").alias("anz_produkt"),
+        F.col("PREIS").alias("unit_preis"),
+        F.lit("7,5").alias("note"),
+        "region",
+    )
+    for region, header in HEADERS.items():
+        lines.where(F.col("region") == region).select(*header).write.csv(f"{root}/CSV={region}", header=True)
     return root
 
 
@@ -80,16 +94,21 @@ def s1_monthly(spark, sf):
 
 @query(
     "s2_integrated_dataset",
-    FACT
-    + f"""
-SELECT product_id, product_category_id, CAST(MONAT AS VARCHAR) AS MONAT, anz_produkt,
-       {rnd("unit_preis", 5)} AS unit_preis
-FROM fact""",
+    REGIONAL
+    + f""",
+named AS (
+  SELECT product_id, min('file ' || right(product_id, 1)) FILTER (region <> 'F04') AS own FROM regional GROUP BY product_id),
+joined AS (
+  SELECT r.product_id, p.p_brand, r.MONAT, r.MENGE, r.PREIS FROM regional r
+  LEFT JOIN part p ON printf('A%07d', p.p_partkey) = r.product_id AND p.p_brand <> 'Brand#3')
+SELECT product_id, coalesce(min(p_brand), min(own)) AS product_category_id, CAST(MONAT AS VARCHAR) AS MONAT,
+       sum(MENGE) AS anz_produkt, {rnd("avg(PREIS)", 5)} AS unit_preis
+FROM joined JOIN named USING (product_id) GROUP BY product_id, MONAT""",
 )
 def s2(spark, sf):
-    """Regional files and an article master file, read and integrated."""
+    """Regional files and an article master file that lacks one brand, read and integrated."""
     path = scratch_path(spark, "master")
-    master(spark, sf).select(
+    master(spark, sf).where(F.col("product_category_id") != "Brand#3").select(
         F.concat(F.lit(" "), "product_id").alias("BANUMMER"), F.col("product_category_id").alias("WARENGR")
     ).write.csv(path, header=True)
     return shown(
@@ -104,12 +123,13 @@ SELECT printf('A%07d', p_partkey) AS "NUMMER", p_name || ' groß' AS "BANAME1"
 FROM part WHERE p_name IS NOT NULL AND p_size > 3""",
 )
 def s3(spark, sf):
-    """Latin-1 text with padding and incomplete rows."""
+    """Latin-1 text with padding, incomplete rows, and columns in another order."""
     path = scratch_path(spark, "descriptions")
     table(spark, sf, "part").select(
-        F.concat(F.lit(" "), product_key("p_partkey"), F.lit(" ")).alias("NUMMER"),
+        F.col("p_size").alias("ID"),
         F.when(F.col("p_size") > 3, F.concat(F.lit("  "), "p_name", F.lit(" groß "))).alias("BANAME1"),
         F.col("p_type").alias("BANAME2"),
+        F.concat(F.lit(" "), product_key("p_partkey"), F.lit(" ")).alias("NUMMER"),
     ).write.option("encoding", "ISO-8859-1").csv(path, header=True)
     return sales.read_descriptions(spark, path)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from monthcast import settings as S
@@ -89,30 +89,73 @@ def clean_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def _by_month(
+    df: DataFrame, group_cols: Sequence[str], date: str, date_formats: tuple[str, ...]
+) -> GroupedData:
+    """Rows with all keys known, an unreadable date included, grouped by them and the month."""
+    keys = [*group_cols, date]
+    known = df.withColumn(date, month_start(lenient_date(date, date_formats)))
+    for key in keys:
+        known = known.where(F.col(key).isNotNull())
+    return known.groupBy(*keys)
+
+
 def aggregate_sales(
     df: DataFrame,
     group_cols: Sequence[str],
     date: str = "MONAT",
     sales: str = "MENGE",
     price: str = "PREIS",
-    date_formats: tuple[str, ...] = (),
+    date_formats: tuple[str, ...] = S.DATE_FORMATS,
+    least: Sequence[str] = (),
 ) -> DataFrame:
-    """Quantity total and plain mean price per group and month.
+    """Quantity total and plain mean price per group and month, and the least value of other columns.
 
-    Rows with a null key, an unreadable date included, are dropped. The
-    aggregation combines on the map side, so a product with a large share of
-    the lines costs no more than any other.
+    Rows with a null key, an unreadable date included, are dropped
+    (``unreadable_dates`` counts those). The aggregation combines on the map
+    side, so a product with a large share of the lines costs no more than any
+    other.
     """
-    keys = [*group_cols, date]
-    known = df.withColumn(date, month_start(lenient_date(date, date_formats)))
-    for key in keys:
-        known = known.where(F.col(key).isNotNull())
-    return (
-        known.groupBy(*keys)
-        .agg(
-            F.coalesce(F.sum(sales), F.lit(0.0)).alias("anz_produkt"),
-            F.avg(price).alias("unit_preis"),
-        )
+    return _by_month(df, group_cols, date, date_formats).agg(
+        F.coalesce(F.sum(sales), F.lit(0.0)).alias("anz_produkt"),
+        F.avg(price).alias("unit_preis"),
+        *[F.min(c).alias(c) for c in least],
+    )
+
+
+def sales_parts(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    date: str = "MONAT",
+    sales: str = "MENGE",
+    price: str = "PREIS",
+    date_formats: tuple[str, ...] = S.DATE_FORMATS,
+) -> DataFrame:
+    """What ``aggregate_sales`` needs of a part of the lines, in a form that adds up."""
+    return _by_month(df, group_cols, date, date_formats).agg(
+        F.sum(sales).cast("double").alias("units"),
+        F.sum(price).cast("double").alias("price_sum"),
+        F.count(price).alias("price_rows"),
+    )
+
+
+def combine_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The monthly fact of all parts together."""
+    return parts.groupBy(*keys).agg(
+        F.coalesce(F.sum("units"), F.lit(0.0)).alias("anz_produkt"),
+        F.try_divide(F.sum("price_sum"), F.sum("price_rows")).alias("unit_preis"),
+    )
+
+
+def unreadable_dates(
+    df: DataFrame, date: str = "MONAT", date_formats: tuple[str, ...] = S.DATE_FORMATS
+) -> DataFrame:
+    """One row: how many rows there are, how many have no date, and how many one that cannot be read."""
+    read = lenient_date(date, date_formats)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col(date).isNull()).alias("without_date"),
+        F.count_if(F.col(date).isNotNull() & read.isNull()).alias("unreadable"),
     )
 
 

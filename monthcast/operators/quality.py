@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from monthcast.functions.scalars import lenient_date
 
 
-def missing_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """Required columns the table lacks (read from its schema alone)."""
-    absent = [(c,) for c in required if c not in df.columns]
-    return df.sparkSession.createDataFrame(absent, "column_name string")
-
-
 def missing_share(df: DataFrame) -> DataFrame:
     """Percentage of nulls per column, two decimals; null for an empty table."""
     size = F.count(F.lit(1))
@@ -34,10 +28,6 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return copies.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_rows"))
 
 
-def column_types(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(df.dtypes, "column_name string, data_type string")
-
-
 def date_range(df: DataFrame) -> DataFrame:
     """First and last date, and the span in 30-day months.
 
@@ -55,6 +45,47 @@ def date_range(df: DataFrame) -> DataFrame:
     )
 
 
+def quality_report(
+    df: DataFrame, required: Sequence[str] = (), expected: Mapping[str, str] | None = None
+) -> DataFrame:
+    """All measures of one table in one pass: rows of (measure, column_name, value as text).
+
+    ``total_rows``, ``duplicate_rows`` (rows that repeat an earlier identical
+    one), per column ``missing_pct`` (two decimals, null for an empty table)
+    and ``data_type``, ``start``, ``end`` and ``span_months`` of the first
+    column with "date" or "monat" in its name that has a readable date,
+    ``missing_column`` for each required column the table lacks, and
+    ``wrong_type`` (value: the type found) for each column whose type is not
+    the expected one. Identical rows are counted once by the map side, so
+    copies cost nothing further.
+    """
+    n = F.col("_n")
+    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    dates = [c for c in df.columns if "date" in c.lower() or "monat" in c.lower()][:1]
+    total = F.coalesce(F.sum(n), F.lit(0).cast("long"))
+    missing = {
+        c: F.bround(F.try_divide(F.sum(F.when(F.col(c).isNull(), n).otherwise(0)), F.sum(n)) * 100, 2)
+        for c in df.columns
+    }
+    out = [("total_rows", None, total), ("duplicate_rows", None, F.coalesce(F.sum(n - 1), F.lit(0).cast("long")))]
+    out += [("missing_pct", c, share) for c, share in missing.items()]
+    for c in dates:
+        first, last = F.min(lenient_date(c)), F.max(lenient_date(c))
+        out += [("start", c, first), ("end", c, last)]
+        out += [("span_months", c, F.floor(F.datediff(last, first) / 30))]
+    types = dict(df.dtypes)
+    out += [("data_type", c, F.lit(t)) for c, t in types.items()]
+    out += [("missing_column", c, F.lit(None)) for c in required if c not in types]
+    out += [("wrong_type", c, F.lit(types[c])) for c, t in (expected or {}).items() if types.get(c, t) != t]
+    values = copies.agg(*[v.cast("string").alias(f"v{i}") for i, (_, _, v) in enumerate(out)])
+    lines = [
+        F.struct(F.lit(m).alias("measure"), F.lit(c).cast("string").alias("column_name"), F.col(f"v{i}").alias("value"))
+        for i, (m, c, _) in enumerate(out)
+    ]
+    lines = values.select(F.inline(F.array(*lines)))
+    return lines.where(F.col("value").isNotNull() | ~F.col("measure").isin("start", "end", "span_months"))
+
+
 def duplicate_months(df: DataFrame) -> DataFrame:
     """Months that occur in several rows of one product."""
     return (
@@ -87,16 +118,21 @@ def _lane(digest: Column, i: int) -> Column:
     return F.conv(F.substring(digest, start, LANE_DIGITS), 16, 10).cast("bigint")
 
 
+def _marked(text: Column) -> Column:
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One md5 that is equal exactly when two tables hold the same rows.
 
     Every row is hashed; the hashes are summed by their leading digits, which
     ignores row order but not copies, and the at most 4096 sums are hashed
     together. Seven digits a lane leave room for 10^14 rows. Only those sums leave the executors' partial aggregates.
+    Every value stands after its length, and null has a mark of its own, so
+    values cannot run into each other.
     """
     columns = list(columns or df.columns)
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
-    digest = F.md5(F.concat_ws("|", *text).cast("binary"))
+    digest = F.md5(F.concat(*[_marked(F.col(c).cast("string")) for c in columns]).cast("binary"))
     buckets = (
         df.select(digest.alias("h"))
         .groupBy(F.substring("h", 1, HASH_BUCKET_DIGITS).alias("bucket"))

@@ -24,6 +24,7 @@ LABEL_LENGTH = 50
 MIN_SUGGESTION_LENGTH = 3
 SUGGESTIONS = 5
 NULL_WORDS = ("NAN", "NONE", "")
+SALES_FILE = "V2SC1010.csv"
 UNKNOWN_PRODUCT = "Unknown Product"
 DECOMPOSED_PRODUCTS = ("086L07", "004N12", "766L01", "588T01", "329A06")
 
@@ -52,6 +53,18 @@ MODEL_FEATURES = tuple(
     f for f in SELECTED_FEATURES if f not in ("anz_produkt_normalized", "PREIS")
 )
 
+# Read after plain ISO dates, in this order.
+DATE_FORMATS = ("dd.MM.yyyy", "yyyyMMdd", "yyyy/MM/dd")
+
+# Columns of a sales file and the names each may have there.
+SALES_COLUMNS = {
+    "product_id": ("product_id",),
+    "product_category_id": ("product_category_id",),
+    "MONAT": ("MONAT",),
+    "MENGE": ("MENGE", "anz_produkt"),
+    "PREIS": ("PREIS", "unit_preis"),
+}
+
 SALES_RAW = T.StructType(
     [
         T.StructField("product_id", T.StringType()),

@@ -1,8 +1,8 @@
-"""Ingest of arriving sales files as a stream of keyed micro-batches."""
+"""Ingest of arriving sales files as a stream of additive micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from monthcast import settings as S
-from monthcast.operators.merge import KEY, new_records
+from monthcast.operators.cleaning import combine_parts, sales_parts
 from monthcast.sources.snapshots import exists
 
 BATCH = "batch"
+FILE = "source_file"
 
 
 def sales_stream(
@@ -24,61 +25,71 @@ def sales_stream(
     files_per_batch: int | None = None,
     **options,
 ) -> DataFrame:
-    """Files below ``path`` as a stream; each file is read once."""
-    reader = spark.readStream.format(file_format).schema(schema).options(**options)
+    """Files below ``path`` as a stream, with the path of each row's file; each file is read once.
+
+    A stream needs its columns beforehand: ``schema`` lists them in the order
+    of the files, and a header in another order is an error.
+    """
+    reader = spark.readStream.format(file_format).schema(schema)
     if file_format == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("enforceSchema", False)
+    reader = reader.options(**options)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+    return reader.load(path).withColumn(FILE, F.col("_metadata.file_path"))
 
 
 class KeyedTable:
-    """A growing Parquet table with one row per key, one folder per micro-batch.
+    """A growing monthly table of sums that add up, one folder per micro-batch.
 
-    A batch adds only keys no earlier batch holds and rewrites nothing else.
-    Its folder is overwritten when the batch is run again after a failure, so
-    a repeated batch leaves the same table. A late month is a new key like
-    any other and is taken at any age.
+    A batch stores, for each key and month it holds, the sum and count of its
+    quantities and prices, and never reads what is there. Reading adds the
+    parts of a key up, so how files fall into batches does not matter, and a
+    late month is taken at any age. A batch that runs again overwrites its
+    own folders. A file whose path an earlier batch has taken is skipped.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType = S.SALES_MONTH):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = ("product_id",)):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        if not exists(self.spark, path):
+            return self.spark.createDataFrame([], f"{schema}, {BATCH} long")
+        return self.spark.read.schema(f"{schema}, {BATCH} long").parquet(path)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """All rows, or those of batches earlier than ``before``."""
-        if not exists(self.spark, self.path):
-            return self.spark.createDataFrame([], self.schema)
-        schema = T.StructType([*self.schema.fields, T.StructField(BATCH, T.LongType())])
-        rows = self.spark.read.schema(schema).parquet(self.path)
-        if before is not None:
-            rows = rows.where(F.col(BATCH) < before)
-        return rows.drop(BATCH)
+    def parts(self) -> DataFrame:
+        keys = ", ".join(f"`{k}` string" for k in self.keys)
+        return self._read("parts", f"{keys}, MONAT date, units double, price_sum double, price_rows long")
 
-    def add(self, batch: DataFrame, batch_id: int) -> None:
-        """Append the rows of ``batch`` whose key is new."""
-        rows = new_records(batch, self.read(before=batch_id), KEY)
-        rows.select(*[f.name for f in self.schema.fields]).write.mode("overwrite").parquet(
-            f"{self.path}/{BATCH}={batch_id}"
-        )
+    def read(self) -> DataFrame:
+        """The monthly fact: quantity total and plain mean price per key and month."""
+        return combine_parts(self.parts(), [*self.keys, "MONAT"])
+
+    def add(self, lines: DataFrame, batch_id: int, date_formats: tuple[str, ...] = S.DATE_FORMATS) -> None:
+        """Store the parts of raw lines; files taken before are left out."""
+        if FILE in lines.columns:
+            seen = self._read("files", f"{FILE} string").where(F.col(BATCH) < batch_id)
+            lines = lines.join(seen.select(FILE).distinct(), FILE, "left_anti")
+            files = lines.select(FILE).distinct()
+            files.write.mode("overwrite").parquet(f"{self.path}/files/{BATCH}={batch_id}")
+        parts = sales_parts(lines, self.keys, date_formats=date_formats)
+        parts.write.mode("overwrite").parquet(f"{self.path}/parts/{BATCH}={batch_id}")
 
 
 def ingest(
     stream: DataFrame,
     table: KeyedTable,
-    to_monthly: Callable[[DataFrame], DataFrame],
     checkpoint: str,
+    date_formats: tuple[str, ...] = S.DATE_FORMATS,
 ) -> StreamingQuery:
-    """Merge everything that has arrived since the last run, then stop.
-
-    ``to_monthly`` turns a batch of raw lines into the monthly fact.
-    """
+    """Add everything that has arrived since the last run, then stop."""
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        table.add(to_monthly(batch), batch_id)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        table.add(batch, batch_id, date_formats)
 
     return (
-        stream.writeStream.foreachBatch(merge)
+        stream.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

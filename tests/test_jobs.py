@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from monthcast import settings as S
 from monthcast.operators import members as B
-from monthcast.operators.cleaning import aggregate_sales
 from monthcast.operators.features import create_features
 from monthcast.plans import runs
 from monthcast.plans.build import full_build, incremental_update, load_hierarchy
@@ -133,33 +132,62 @@ def test_update_without_a_snapshot_builds_one(spark, monthly, sold):
     assert store.current_version() == 1 and features.count() == 120
 
 
-def test_streamed_files_are_merged_once(spark, tmp_path):
-    head = "product_id,product_category_id,MONAT,MENGE,PREIS\n"
-    schema = type(S.SALES_MONTH)([f for f in S.SALES_MONTH.fields if f.name != "product_category_id"])
-    keyed = KeyedTable(spark, str(tmp_path / "keyed"), schema)
+HEAD = "product_id,product_category_id,MONAT,MENGE,PREIS\n"
+
+
+def taken(keyed):
+    return {(r.product_id, r.MONAT.month): (r.anz_produkt, r.unit_preis) for r in keyed.read().collect()}
+
+
+def test_streamed_files_add_up(spark, tmp_path):
+    keyed = KeyedTable(spark, str(tmp_path / "keyed"))
 
     def run():
-        stream = sales_stream(spark, str(tmp_path / "inbox"))
-        query = ingest(
-            stream, keyed, lambda b: aggregate_sales(b, ["product_id"]), str(tmp_path / "progress")
-        )
-        query.awaitTermination()
-        return {(r.product_id, r.MONAT.month): r.anz_produkt for r in keyed.read().collect()}
+        ingest(sales_stream(spark, str(tmp_path / "inbox")), keyed, str(tmp_path / "progress")).awaitTermination()
+        return taken(keyed)
 
-    write(tmp_path / "inbox/a.csv", head + "A,,2023-01-05,2,10\nA,,2023-01-07,3,10\n")
-    assert run() == {("A", 1): 5.0}
-    assert run() == {("A", 1): 5.0}
-    write(tmp_path / "inbox/b.csv", head + "A,,2023-01-09,9,10\nA,,2022-12-09,4,10\nB,,2023-01-01,1,1\n")
-    assert run() == {("A", 1): 5.0, ("A", 12): 4.0, ("B", 1): 1.0}
+    write(tmp_path / "inbox/a.csv", HEAD + "A,,2023-01-05,2,10\nA,,07.01.2023,3,13\nA,,soon,9,9\n")
+    assert run() == {("A", 1): (5.0, 11.5)}
+    assert run() == {("A", 1): (5.0, 11.5)}
+    write(tmp_path / "inbox/b.csv", HEAD + "A,,2023-01-09,9,10\nA,,2022-12-09,4,\nB,,2023-01-01,,1\n")
+    assert run() == {("A", 1): (14.0, 11.0), ("A", 12): (4.0, None), ("B", 1): (0.0, 1.0)}
 
 
-def test_a_repeated_batch_leaves_the_same_table(spark, monthly, tmp_path):
+@pytest.mark.parametrize("files", [1, 2, None])
+def test_files_per_batch_do_not_matter(spark, tmp_path, files):
+    for k in range(3):
+        write(tmp_path / f"inbox/{k}.csv", HEAD + f"A,,2023-01-0{k + 1},{k + 2},10\nB,,2023-0{k + 1}-01,1,1\n")
     keyed = KeyedTable(spark, str(tmp_path / "keyed"))
-    keyed.add(monthly({"A": [1]}), 0)
+    stream = sales_stream(spark, str(tmp_path / "inbox"), files_per_batch=files)
+    ingest(stream, keyed, str(tmp_path / "progress")).awaitTermination()
+    assert taken(keyed) == {("A", 1): (9.0, 10.0), **{("B", m): (1.0, 1.0) for m in (1, 2, 3)}}
+
+
+def test_a_repeated_batch_or_file_leaves_the_same_table(spark, tmp_path):
+    keyed = KeyedTable(spark, str(tmp_path / "keyed"))
+    lines = lambda data: spark.createDataFrame(data, "product_id string, MONAT string, MENGE double, PREIS double, source_file string")
+    keyed.add(lines([("A", "2023-01-01", 1.0, 2.0, "f1")]), 0)
     for _ in range(2):
-        keyed.add(monthly({"A": [9, 2], "B": [3]}), 1)
-    got = keyed.read().select("product_id", F.month("MONAT"), "anz_produkt")
-    assert rows(got) == [("A", 1, 1.0), ("A", 2, 2.0), ("B", 1, 3.0)]
+        keyed.add(lines([("A", "2023-01-09", 9.0, 4.0, "f2"), ("B", "2023-01-01", 3.0, 1.0, "f2"), ("A", "2023-01-01", 1.0, 2.0, "f1")]), 1)
+    keyed.add(lines([("B", "2023-01-01", 3.0, 1.0, "f2")]), 2)
+    assert taken(keyed) == {("A", 1): (10.0, 3.0), ("B", 1): (3.0, 1.0)}
+
+
+def test_columns_are_taken_by_name(spark, tmp_path):
+    write(tmp_path / "CSV/F01/V2SC1010.csv", "MONAT,product_id,product_category_id,PREIS,MENGE\n2023-01-01,A,C1,9.5,2\n")
+    write(tmp_path / "CSV/F02/V2SC1010.csv", "unit_preis,x,anz_produkt,MONAT,product_id\n8.5,,3,20230106,B\n")
+    lines = sales.read_regional_sales(spark, sales.region_paths(str(tmp_path), ("F01", "F02")))
+    assert rows(lines.select("product_id", "product_category_id", "MONAT", "MENGE", "PREIS", "region")) == [
+        ("A", "C1", "2023-01-01", 2.0, 9.5, "F01"), ("B", None, "20230106", 3.0, 8.5, "F02"),
+    ]
+    master = spark.createDataFrame([("B", "M")], "product_id string, product_category_id string")
+    fact = sales.integrated_dataset(lines, master).select("product_id", "product_category_id", "anz_produkt")
+    assert rows(fact) == [("A", "C1", 2.0), ("B", "M", 3.0)]
+    write(tmp_path / "d.csv", "ID,NUMMER,X,BANAME1\n1,7,A1,Name\n")
+    assert rows(sales.read_descriptions(spark, str(tmp_path / "d.csv"))) == [("7", "Name")]
+    write(tmp_path / "CSV/F03/V2SC1010.csv", "MONAT,product_id,PREIS\n2023-01-01,A,9.5\n")
+    with pytest.raises(ValueError, match="MENGE"):
+        sales.read_regional_sales(spark, sales.region_paths(str(tmp_path), ("F03",)))
 
 
 def test_run_log(spark, monthly, tmp_path):

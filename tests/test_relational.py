@@ -59,11 +59,31 @@ def test_fingerprint_sees_values_and_copies_but_not_order(spark):
     assert print_of([(1, None)]) != print_of([(None, 1)])
 
 
+def test_fingerprint_keeps_values_apart(spark):
+    def print_of(*row):
+        return quality.content_fingerprint(spark.createDataFrame([row], "a string, b string")).first()[0]
+
+    assert print_of("a|b", "c") != print_of("a", "b|c")
+    assert print_of(None, "x") != print_of("\\N", "x")
+    assert print_of(None, "x") != print_of("-", "x")
+    assert print_of("1:a", "") != print_of("", "1:a")
+    assert print_of("1", "2") == print_of("1", "2")
+
+
 def test_quality_reports(spark):
     df = spark.createDataFrame(
         [("P", "2023-01-01", 1.0), ("P", "2023-01-01", 1.0), (None, "bad", None)], "p string, MONAT string, q double"
     )
-    assert rows(quality.missing_columns(df, ["p", "region"])) == [("region",)]
+    report = quality.quality_report(df, ["p", "region"], {"q": "bigint", "p": "string"})
+    assert {(r.measure, r.column_name): r.value for r in report.collect()} == {
+        ("total_rows", None): "3", ("duplicate_rows", None): "1",
+        ("missing_pct", "p"): "33.33", ("missing_pct", "MONAT"): "0.0", ("missing_pct", "q"): "33.33",
+        ("start", "MONAT"): "2023-01-01", ("end", "MONAT"): "2023-01-01", ("span_months", "MONAT"): "0",
+        ("data_type", "p"): "string", ("data_type", "MONAT"): "string", ("data_type", "q"): "double",
+        ("missing_column", "region"): None, ("wrong_type", "q"): "double",
+    }
+    nothing = {(r.measure, r.column_name): r.value for r in quality.quality_report(df.where("false")).collect()}
+    assert nothing["total_rows", None] == "0" and nothing["missing_pct", "p"] is None and ("start", "MONAT") not in nothing
     assert dict(rows(quality.missing_share(df))) == {"p": 33.33, "MONAT": 0.0, "q": 33.33}
     assert quality.duplicate_rows(df).first()[0] == 1
     assert tuple(quality.date_range(df).first()) == (date(2023, 1, 1), date(2023, 1, 1), 0)
