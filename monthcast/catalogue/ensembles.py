@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from monthcast import settings as S
 from monthcast.catalogue.registry import UNCATEGORIZED, query, rnd, shown, uncategorized_fact
+from monthcast.functions.scalars import half_up
 from monthcast.operators import ensemble as E
 from monthcast.operators import members as B
 from monthcast.operators.features import lag_features, rolling_features
 from monthcast.operators.folds import FOLDS, fold_ranges, with_folds
 from monthcast.session import materialize
 
-MIN_ROWS = 26
 MEMBERS = list(B.BASELINES)
 
 
@@ -42,7 +43,7 @@ def baseline_rows(spark, sf):
 def folded(spark, sf):
     """Rows are read by the ranking and its counts, folds by errors and lines."""
     rows = materialize(baseline_rows(spark, sf), "rows")
-    return materialize(with_folds(rows, min_rows=MIN_ROWS), "folded", "level")
+    return materialize(with_folds(rows), "folded", "level")
 
 
 def scored(spark, sf):
@@ -73,7 +74,7 @@ ranked AS (
          count(*) OVER (PARTITION BY level, key) AS n FROM levelled),
 folded AS (
   SELECT * , CASE WHEN r < n - 3 * (n // 4) THEN 0 ELSE 1 + (r - (n - 3 * (n // 4))) // (n // 4) END AS fold
-  FROM ranked WHERE n >= 4 AND (level = 'global' OR n >= {MIN_ROWS}))"""
+  FROM ranked WHERE n >= 4 AND (level = 'global' OR n >= {S.MIN_HISTORY_MONTHS}))"""
 
 
 @query(
@@ -262,10 +263,9 @@ def m9(spark, sf):
     "m10_member_scoreboard",
     SCORED
     + f"""
-SELECT level, key, member, {rnd("mae")} AS mae,
-       CAST(row_number() OVER (PARTITION BY level, key ORDER BY mae, member) AS INTEGER) AS place
-FROM maes WHERE level <> 'product'""",
+SELECT level, key, member, mae, CAST(row_number() OVER (PARTITION BY level, key ORDER BY mae, member) AS INTEGER) AS place
+FROM (SELECT level, key, member, {rnd("mae", 6)} AS mae FROM maes)""",
 )
 def m10(spark, sf):
-    """Categories and the whole; products can tie on float noise."""
-    return shown(E.member_scoreboard(errors(spark, sf).where(F.col("level") != "product")))
+    """Errors are rounded before they are ranked, so that equal ones stand by name in either engine."""
+    return E.member_scoreboard(errors(spark, sf).withColumn("mae", half_up("mae", 6)))

@@ -120,10 +120,10 @@ def j6(spark, sf):
     "j7_model_level",
     UNCATEGORIZED
     + """,
-products AS (SELECT product_id FROM loose GROUP BY product_id HAVING count(*) >= 27),
+products AS (SELECT product_id FROM loose GROUP BY product_id HAVING count(*) >= 6),
 categories AS (
   SELECT product_category_id FROM loose WHERE product_category_id IS NOT NULL
-  GROUP BY product_category_id HAVING count(*) >= 2000)
+  GROUP BY product_category_id HAVING count(*) >= 6)
 SELECT product_id, CAST(MONAT AS VARCHAR) AS MONAT,
        CASE WHEN product_id IN (SELECT * FROM products) THEN 'product'
             WHEN product_category_id IN (SELECT * FROM categories) THEN 'category' ELSE 'global' END
@@ -141,6 +141,6 @@ def j7(spark, sf):
         return counted.where(F.col("n") >= least).select(F.lit(level).alias("level"), F.col(column).alias("key"))
 
     overall = rows.agg(F.count("*").alias("n")).select(F.lit("global").alias("level"), F.lit("all").alias("key"))
-    models = keys("product", "product_id", 27).unionByName(keys("category", "product_category_id", 2000))
+    models = keys("product", "product_id", 6).unionByName(keys("category", "product_category_id", 6))
     df = most_specific(rows, models.unionByName(overall))
     return shown(df.select("product_id", "MONAT", "model_level", "model_key"))

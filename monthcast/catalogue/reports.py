@@ -9,12 +9,14 @@ from monthcast.catalogue.registry import (
     FACT,
     FILLED,
     LINES,
+    SHORTENED,
     descriptions,
     filled,
     monthly,
     query,
     rnd,
     sales_lines,
+    shortened,
     shown,
     supplier_regions,
 )
@@ -78,15 +80,15 @@ def a2(spark, sf):
 
 @query(
     "a3_calendar_month_profile",
-    FACT
+    SHORTENED
     + f"""
 SELECT product_id, CAST(month(MONAT) AS INTEGER) AS month, {rnd("avg(anz_produkt)")} AS avg_sales
-FROM fact
-WHERE product_id IN (SELECT product_id FROM fact GROUP BY product_id HAVING count(*) >= 25)
+FROM short
+WHERE product_id IN (SELECT product_id FROM short GROUP BY product_id HAVING count(*) >= 12)
 GROUP BY product_id, month(MONAT)""",
 )
 def a3(spark, sf):
-    return shown(R.calendar_profile(monthly(spark, sf), min_rows=25))
+    return shown(R.calendar_profile(shortened(monthly(spark, sf))))
 
 
 @query(
@@ -151,13 +153,13 @@ def a6_export(spark, sf):
 
 @query(
     "a7_rows_with_history",
-    FACT
+    SHORTENED
     + """
-SELECT product_id, CAST(MONAT AS VARCHAR) AS MONAT, anz_produkt FROM fact
-WHERE product_id IN (SELECT product_id FROM fact GROUP BY product_id HAVING count(*) >= 25)""",
+SELECT product_id, CAST(MONAT AS VARCHAR) AS MONAT, anz_produkt FROM short
+WHERE product_id IN (SELECT product_id FROM short GROUP BY product_id HAVING count(*) >= 6)""",
 )
 def a7(spark, sf):
-    df = R.rows_with_history(monthly(spark, sf), 25)
+    df = R.rows_with_history(shortened(monthly(spark, sf)))
     return shown(df.select("product_id", "MONAT", "anz_produkt"))
 
 

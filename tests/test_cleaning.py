@@ -91,9 +91,7 @@ def test_aggregate_takes_further_date_formats(spark):
     assert got[0].MONAT == date(2023, 2, 1)
 
 
-@pytest.mark.parametrize("least", [1, 10**9])
-def test_quantiles_equal_numpy_with_and_without_brackets(spark, monkeypatch, least):
-    monkeypatch.setattr(outliers, "SKETCH_MIN_ROWS", least)
+def test_quantiles_equal_numpy(spark):
     # A third of the rows share one value; the rest spreads widely.
     df = spark.range(150_001).select(
         F.when(F.col("id") % 3 == 0, 17.5).otherwise(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7.0).alias("v"),
@@ -107,6 +105,15 @@ def test_quantiles_equal_numpy_with_and_without_brackets(spark, monkeypatch, lea
         assert np.allclose(list(row)[1:], np.quantile(data.v[data.k == row.k], probs), rtol=1e-12)
 
 
+def test_quantiles_of_short_columns(spark):
+    """Ranks that fall beside the sketch's bracket."""
+    dice = np.random.default_rng(3)
+    data = [(n, float(v)) for n in range(1, 41) for v in dice.integers(0, 15, n)]
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
+    for row in outliers.exact_quantiles(spark.createDataFrame(data, "k int, v double"), "v", probs, ["k"]).collect():
+        assert np.allclose(list(row)[1:], np.quantile([v for k, v in data if k == row.k], probs), rtol=1e-12)
+
+
 def test_outlier_filters(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 100]] + [(None,)], "v double")
     assert sorted(values(outliers.filter_outliers(df, "v"), "v")) == [1, 2, 3, 4]
