@@ -129,7 +129,22 @@ def f9_volatility(spark, sf):
     return shown(M.series_statistics(filled(spark, sf)).select("product_id", "volatility"), 6)
 
 
-@query("f9_seeded_noise")
+def uniform_sql(salt: int) -> str:
+    return f"(CAST('0x' || substr(md5(product_id || ':' || step || ':7:{salt}'), 1, 10) AS BIGINT) + 0.5) / 1099511627776"
+
+
+NOISE = f"sqrt(-2 * ln({uniform_sql(1)})) * cos(2 * pi() * {uniform_sql(2)})"
+
+
+@query(
+    "f9_seeded_noise",
+    STATS
+    + f"""
+SELECT product_id, {STEP_COLUMN}, CASE WHEN f.n < 6 THEN 0.0 ELSE {rnd(
+        f"f9 + {NOISE} * (list_stddev_pop(xs[f.n-5:f.n]) / (list_avg(xs[f.n-5:f.n]) + 1e-8)) * f.mean * 0.1 * exp(-0.1 * step)"
+    )} END AS adjustment
+FROM f10 f JOIN stats USING (product_id)""",
+)
 def f9_noise(spark, sf):
     """Noise is fixed by product, step and seed, whatever the partitioning."""
     return stepped(spark, sf, M.residual_adjustment(noise_seed=7), "adjustment")

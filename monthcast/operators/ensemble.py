@@ -50,6 +50,30 @@ def inverse_error_weights(errors: DataFrame) -> DataFrame:
     return errors.withColumn("weight", F.coalesce(F.try_divide(inverse, total), F.lit(0.0)))
 
 
+def with_inherited_weights(weights: DataFrame, keys: DataFrame) -> DataFrame:
+    """Weights for every (level, key) of ``keys``: its own, else its category's, else the global ones.
+
+    ``keys`` has level, key and category (null above the product level). The
+    column ``weights_from`` names the level they come from. A model has as
+    many rows as there are members, so the maps are small.
+    """
+    entry = F.struct("member", F.struct("mae", "weight"))
+    own = weights.groupBy("level", "key").agg(F.map_from_entries(F.collect_list(entry)).alias("_w"))
+    category = own.where("level = 'category'").select(F.col("key").alias("category"), F.col("_w").alias("_c"))
+    overall = own.where("level = 'global'").select("_w").scalar()
+    found = keys.join(own, ["level", "key"], "left").join(category, "category", "left")
+    chosen = found.select(
+        "level",
+        "key",
+        F.when(F.col("_w").isNotNull(), F.col("level"))
+        .when(F.col("_c").isNotNull(), F.lit("category"))
+        .otherwise(F.lit("global"))
+        .alias("weights_from"),
+        F.explode(F.coalesce("_w", "_c", overall)).alias("member", "_v"),
+    )
+    return chosen.select("level", "key", "member", "_v.mae", "_v.weight", "weights_from")
+
+
 def member_scoreboard(errors: DataFrame) -> DataFrame:
     """Members of each model, best first."""
     order = Window.partitionBy("level", "key").orderBy("mae", "member")

@@ -175,8 +175,8 @@ def seeded_noise(seed: int) -> Column:
     """Standard normal value fixed by product, step and seed (not by partition)."""
 
     def uniform(salt):
-        h = F.xxhash64("product_id", step(), F.lit(seed), F.lit(salt))
-        return (F.pmod(h, F.lit(2**40)) + 0.5) / float(2**40)
+        text = F.concat_ws(":", "product_id", step().cast("string"), F.lit(f"{seed}"), F.lit(f"{salt}"))
+        return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("double") + 0.5) / float(2**40)
 
     return F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
 

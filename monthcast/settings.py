@@ -96,6 +96,9 @@ DESCRIPTIONS = T.StructType(
 SNAPSHOT_LOG = T.StructType(
     [
         T.StructField("version", T.LongType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("arrived_records", T.LongType()),
+        T.StructField("refitted_products", T.LongType()),
         T.StructField("training_date", T.TimestampType()),
         T.StructField("fingerprint", T.StringType()),
         T.StructField("num_products", T.LongType()),
