@@ -50,20 +50,17 @@ def _terms(terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct().withColumn("_needle", F.upper(strip("term")))
 
 
-def _matching_prefixes(index: DataFrame, needles: DataFrame) -> DataFrame:
-    """(needle, product_id) for every id that begins with a searched needle.
+def _prefixes(index: DataFrame, needles: DataFrame) -> DataFrame:
+    """(needle, product_id) for the prefixes of every id, in the lengths that occur among the needles.
 
-    Each id is cut to its prefixes, which turns the prefix test into an equal
-    join; prefixes nobody searches fall out before anything is grouped.
+    This turns the prefix test into an equal join. A short prefix can cover
+    most ids, so rows are reduced to a few per prefix before they meet the
+    needles.
     """
-    lengths = F.sequence(F.lit(1), F.length("product_id"))
-    wanted = needles.select("_needle", F.length("_needle").alias("_len")).distinct()
-    return (
-        index.select("product_id", F.explode(lengths).alias("_len"))
-        .withColumn("_needle", F.expr("substring(product_id, 1, _len)"))
-        .join(wanted, ["_len", "_needle"], "left_semi")
-        .drop("_len")
-    )
+    lengths = needles.agg(F.collect_set(F.length("_needle"))).scalar()
+    own = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("product_id")))
+    cut = index.select("product_id", F.explode(F.array_intersect(lengths, own)).alias("_len"))
+    return cut.select(F.expr("substring(product_id, 1, _len)").alias("_needle"), "product_id")
 
 
 def search_products(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -75,7 +72,7 @@ def search_products(index: DataFrame, terms: DataFrame) -> DataFrame:
     needles = _terms(terms)
     short = F.length("_needle") <= S.STEM_LENGTH
     first = (
-        _matching_prefixes(index, needles.where(short & (F.length("_needle") > 0)))
+        _prefixes(index, needles.where(short))
         .groupBy("_needle")
         .agg(F.min("product_id").alias("product_id"))
     )
@@ -100,7 +97,7 @@ def suggest_products(
     needles = _terms(open_terms)
     order = Window.partitionBy("_needle").orderBy("product_id")
     ranked = (
-        _matching_prefixes(index.select("product_id").distinct(), needles)
+        _prefixes(index.select("product_id").distinct(), needles)
         .withColumn("position", F.row_number().over(order))
         .where(F.col("position") <= limit)
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,18 +30,10 @@ def build_session(app: str = "monthcast", master: str | None = None, **conf) ->
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster shares for intermediate tables.
-
-    Taken from ``spark.checkpoint.dir``; only a local session that sets none
-    gets a temporary folder of its own.
-    """
+    """The folder the cluster shares for intermediate tables, from ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="monthcast-")
-    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
