@@ -40,10 +40,14 @@ def baseline_rows(spark, sf):
     )
 
 
-def folded(spark, sf):
-    """Rows are read by the ranking and its counts, folds by errors and lines."""
+def rows_and_folds(spark, sf):
+    """Rows are read by the ranking and its counts and by predictions, folds by errors and lines."""
     rows = materialize(baseline_rows(spark, sf), "rows")
-    return materialize(with_folds(rows), "folded", "level")
+    return rows, materialize(with_folds(rows), "folded", "level")
+
+
+def folded(spark, sf):
+    return rows_and_folds(spark, sf)[1]
 
 
 def scored(spark, sf):
@@ -148,16 +152,16 @@ def m4(spark, sf):
     return shown(E.inverse_error_weights(errors(spark, sf)).drop("mae"), 6)
 
 
-def final_models(spark, sf):
+def final_models(rows):
     """Weights and the line fitted on all rows, per level and key."""
-    rows = folded(spark, sf)
     lines = B.line_statistics(rows, "sales_lag_1").where(F.col("fold") == FOLDS + 1).drop("fold")
     weights = E.inverse_error_weights(E.cross_validation_errors(B.with_line_member(rows), MEMBERS))
     return materialize(E.wide_weights(weights, MEMBERS).join(lines, ["level", "key"]), "models", "level")
 
 
 def predicted_rows(spark, sf):
-    levelled = E.most_specific(baseline_rows(spark, sf), final_models(spark, sf))
+    rows, folds = rows_and_folds(spark, sf)
+    levelled = E.most_specific(rows, final_models(folds))
     return levelled.withColumn("linear", F.col("slope") * F.col("sales_lag_1") + F.col("intercept"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +67,17 @@ def time_rank(rows: DataFrame) -> DataFrame:
     )
 
 
+def product_rank(rows: DataFrame) -> DataFrame:
+    """``time_rank`` for keys with one row per month, which one window ranks and counts."""
+    key = Window.partitionBy("level", "key")
+    return rows.withColumns(
+        {
+            "r": F.row_number().over(key.orderBy("MONAT", "_md5", "product_id")) - 1,
+            "n": F.count(F.lit(1)).over(key),
+        }
+    ).drop("_md5")
+
+
 def fold_of(r: Column, n: Column, folds: int = FOLDS) -> Column:
     """Fold a row is tested in: 1..folds, or 0 for rows that only train.
 
@@ -88,7 +100,12 @@ def with_folds(
     Category and product keys need ``min_rows`` rows, and every key enough
     rows to be split; other keys have no model of their own.
     """
-    ranked = time_rank(with_level_keys(with_product_hash(rows), levels))
+    hashed = with_product_hash(rows)
+    parts = [product_rank(with_level_keys(hashed, ["product"]))] if "product" in levels else []
+    wide = [level for level in levels if level != "product"]
+    if wide:
+        parts.append(time_rank(with_level_keys(hashed, wide)))
+    ranked = reduce(DataFrame.unionByName, parts)
     enough = (F.col("level") == "global") | (F.col("n") >= min_rows)
     return ranked.where(enough).withColumn("fold", fold_of(F.col("r"), F.col("n"), folds)).where(
         F.col("fold").isNotNull()
