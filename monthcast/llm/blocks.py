@@ -1,7 +1,6 @@
 """Messages between blocks of documents and shards of a key space.
 
-A block is the documents of one batch of a task, at most ``BLOCK_BYTES`` of
-text. Where a value per token has to be looked up, a block sends each shard
+A block is a run of documents of a task, at most ``BLOCK_BYTES`` of text. Where a value per token has to be looked up, a block sends each shard
 one row with the distinct keys it has there, and gets one row back; so a key
 that a third of all tokens share travels once a block. Shards never hold more
 than one copy of a key from each block, and their number follows the number
@@ -45,18 +44,28 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[int, int, pa.RecordBatch, list[bytes]]]:
-    """Number of each block, its first row in the batch, the batch, and its texts.
+def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Table, list[bytes]]]:
+    """Number of each block, the other columns of its rows, and its texts.
 
-    A text above the block size is a block of its own. Numbers are unique in
-    a job; a task that runs again makes the same numbers for the rows it
-    then reads, and its rows replace those of the lost attempt together.
+    Rows are gathered until their texts reach the block size. Numbers are
+    unique in a job; a task that runs again makes the same numbers for the
+    rows it then reads, and its rows replace those of the lost attempt
+    together.
     """
     number = TaskContext.get().partitionId() << 32
+    held, rows, size = [], [], 0
     for batch in batches:
-        for first, rows in chunks(texts(batch.column(text)), BLOCK_BYTES, 1 << 20):
-            yield number, first, batch, rows
-            number += 1
+        rest = pa.Table.from_batches([batch]).drop_columns(["text"])
+        for first, part in chunks(texts(batch.column("text"))):
+            more = sum(map(len, part))
+            if rows and size + more > most:
+                yield number, pa.concat_tables(held).combine_chunks(), rows
+                number, held, rows, size = number + 1, [], [], 0
+            held.append(rest.slice(first, len(part)))
+            rows += part
+            size += more
+    if rows:
+        yield number, pa.concat_tables(held).combine_chunks(), rows
 
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from monthcast.llm.blocks import blocks, gather, pack, split, unpack
-from monthcast.llm.tables import partitions, stored_by
+from monthcast.llm.tables import bounded_batches, partitions, stored_by
 
 SHARDS_PER_PARTITION = 4
 
@@ -58,7 +58,7 @@ STAGED = "kind string, block long, shard int, {id}, data binary"
 def _pretokens(batches: Iterator[pa.RecordBatch], pattern: str, shards: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows 'doc', the positions of a document's pre-tokens in the block's word list, and 'word', that list by shard."""
     find = regex.compile(pattern).findall
-    for block, first, batch, rows in blocks(batches):
+    for block, rest, rows in blocks(batches):
         numbers = _Numbers()
         docs = [np.fromiter(map(numbers.__getitem__, find(row.decode())), np.uint32) for row in rows]
         count = np.bincount(np.concatenate(docs), minlength=len(numbers))
@@ -73,7 +73,7 @@ def _pretokens(batches: Iterator[pa.RecordBatch], pattern: str, shards: int, sch
             own = [words[i] for i in at]
             size = np.fromiter(map(len, own), np.uint32, len(own))
             lists.append((part, pack(rank[at], size, np.frombuffer(b"".join(own), np.uint8))))
-        ids = batch.column("id").slice(first, len(rows))
+        ids = rest["id"].chunk(0)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(["doc"] * len(rows) + ["word"] * len(lists)),
@@ -104,8 +104,17 @@ def _encode_shard(messages: pa.Table, path: str) -> pa.Table:
     return pa.table({"block": messages["block"], "data": pa.array(out, pa.binary())})
 
 
-def _assemble(docs: pa.Table, answers: pa.Table, kind: pa.DataType) -> pa.Table:
-    """The ids of a block's documents, by position."""
+def _bytes_of(ids: np.ndarray, table: pa.Array) -> bytes:
+    """The bytes of token ids, in order."""
+    found = table.take(pa.array(ids))
+    if found.null_count:
+        raise ValueError("a token id without bytes")
+    end = int(np.frombuffer(found.buffers()[1], np.int64)[len(found)]) if len(found) else 0
+    return found.buffers()[2].to_pybytes()[:end] if end else b""
+
+
+def _assemble(docs: pa.Table, answers: pa.Table, kind: pa.DataType, path: str | None) -> pa.Table:
+    """The ids of a block's documents, by position; with a path also their bytes."""
     parts = [unpack(a) for a in answers["data"].to_pylist()]
     words = sum(len(p[0]) for p in parts)
     start, size = np.zeros(words, np.int64), np.zeros(words, np.int64)
@@ -116,16 +125,27 @@ def _assemble(docs: pa.Table, answers: pa.Table, kind: pa.DataType) -> pa.Table:
         flat.append(ids)
         base += len(ids)
     flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    out = []
+    out, back = [], []
     for data in docs["data"].to_pylist():
         at = unpack(data)[0]
-        out.append(gather(flat, start[at], size[at]).astype("<u4").tobytes())
-    return pa.table({"id": docs["id"].cast(kind), "ids": pa.array(out, pa.binary())})
-
-
-def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        ids = gather(flat, start[at], size[at]).astype("<u4")
+        out.append(ids.tobytes())
+        if path:
+            back.append(_bytes_of(ids, _token_bytes(path)))
+    table = {"id": docs["id"].cast(kind), "ids": pa.array(out, pa.binary())}
+    if path:
+        table["decoded"] = pa.array(back, pa.binary())
+    return pa.table(table)
+
+
+def encoded(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False
+) -> DataFrame:
     """id_col and ids, the token ids as little-endian unsigned 32-bit numbers, one row per row of ``docs``.
 
+    With ``decode`` there is a third column, decoded, as ``decoded`` makes it
+    from the ids: in the task that has them, so that they need not move.
+
     Texts are split by ``pattern`` into pre-tokens, each merged by the ranks
     in ``path``, without special tokens. Pre-tokens stand as positions in
     their block's list of distinct ones; the lists go to shards by a hash of
@@ -139,6 +159,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     no others if it is above the block size.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shards = SHARDS_PER_PARTITION * partitions(spark)
@@ -154,7 +175,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return (
         positions.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(lambda d, a: _assemble(d, a, id_type), f"id {kind}, ids binary")
+        .applyInArrow(
+            lambda d, a: _assemble(d, a, id_type, path if decode else None),
+            f"id {kind}, ids binary" + (", decoded binary" if decode else ""),
+        )
         .withColumnRenamed("id", id_col)
     )
 
@@ -170,16 +194,8 @@ def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _token_bytes(path)
         for batch in batches:
-            out = []
-            for ids in batch.column("ids").to_pylist():
-                if ids is None:
-                    out.append(None)
-                    continue
-                found = table.take(pa.array(np.frombuffer(ids, "<u4")))
-                if found.null_count:
-                    raise ValueError("a token id without bytes")
-                end = np.frombuffer(found.buffers()[1], np.int64)[len(found)] if len(found) else 0
-                out.append(found.buffers()[2].to_pybytes()[:end] if end else b"")
+            rows = batch.column("ids").to_pylist()
+            out = [None if ids is None else _bytes_of(np.frombuffer(ids, "<u4"), table) for ids in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("ids"), pa.array(out, pa.binary())], ["id", "ids", "decoded"]
             )
@@ -190,7 +206,7 @@ def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of the ids and of the bytes decoded from them: id_col, n_tokens, ids_sha256, decoded_sha256."""
-    both = decoded(encoded(docs, path, pattern, id_col, text_col), path, id_col)
+    both = encoded(docs, path, pattern, id_col, text_col, decode=True)
     return both.select(
         id_col,
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from monthcast.llm.blocks import pack, unpack
-from monthcast.llm.tables import stored
-from monthcast.llm.words import BYTE_BASE, chunks, mix, texts
+from monthcast.llm.tables import bounded_batches, stored
+from monthcast.llm.words import BYTE_BASE, chunks, hashed_places, texts
 
 #: Length of the hashed vectors.
 DIMS = 4096
@@ -20,6 +20,8 @@ DIMS = 4096
 #: training documents enter the document frequencies.
 SAMPLE = 1500
 CENTROIDS = 4
+#: The model holds vectors for each language, so their number is checked.
+MOST_LANGUAGES = 1000
 ROUNDS = 12
 #: Below this cosine a document is marked as rejected.
 LEAST = 0.15
@@ -39,24 +41,13 @@ def counts(rows: list[bytes]) -> np.ndarray:
     blank = data == 32
     a, b, c = data[:-2].astype(np.uint32), data[1:-1].astype(np.uint32), data[2:].astype(np.uint32)
     place = np.empty((2, len(a)), np.int64)
-    place[0] = _table(16)[a << 8 | b]
-    place[1] = _table(24)[(a << 16) | (b << 8) | c]
+    place[0] = hashed_places(16, BYTE_BASE[0], DIMS)[a << 8 | b]
+    place[1] = hashed_places(24, BYTE_BASE[1], DIMS)[(a << 16) | (b << 8) | c]
     place += doc[:-2] * DIMS
     used = np.stack([~(blank[:-2] & blank[1:-1]), ~(blank[1:-1] & (blank[:-2] | blank[2:]))])
     return np.bincount(place[used], minlength=len(rows) * DIMS).reshape(len(rows), DIMS)
 
 
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def _table(bits: int) -> np.ndarray:
-    """The place of every run of two (16 bits) or three bytes (24 bits)."""
-    if bits not in _TABLES:
-        keys = np.arange(1 << bits, dtype=np.uint64) * np.uint64(BYTE_BASE[bits == 24])
-        _TABLES[bits] = (mix(keys) >> np.uint64(64 - DIMS.bit_length() + 1)).astype(np.uint16)
-    return _TABLES[bits]
-
-
 def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of length 1 (or 0 where nothing is counted)."""
     out = np.log1p(count).astype(np.float32) * idf
@@ -64,7 +55,7 @@ def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    return chunks(texts(column), 2 << 20, 512)
+    return chunks(texts(column), 1 << 20, 256)
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +114,17 @@ def fit(
     Document frequencies cover all rows. Centroids are fitted per language on
     a sample of about ``sample`` rows chosen by a hash of id and text; all rows
     of a language with fewer. The driver receives one vector of fixed length
-    and ``centroids`` vectors a language. No rows give a model without
-    languages.
+    and ``centroids`` vectors a language; more than ``MOST_LANGUAGES``
+    languages are an error. No rows give a model without languages.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_rows"))
+    sizes = stored(rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_rows")), "languages")
+    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     dice = F.pmod(F.xxhash64(F.lit(3), F.col(id_col), F.xxhash64(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.join(sizes, F.col(lang_col) == F.col("_lang")).select(
+    # At most MOST_LANGUAGES rows; a language may hold most texts, which stay where they are.
+    rows = rows.join(F.broadcast(sizes), F.col(lang_col) == F.col("_lang")).select(
         F.col("_lang").alias("lang"), F.col(text_col).alias("text"), (dice < sample / F.col("_rows")).alias("chosen")
     )
     learnt = stored(rows.mapInArrow(_learn, "lang string, data binary"), "langid")

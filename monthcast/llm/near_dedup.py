@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from monthcast.llm.tables import connected, stored
+from monthcast.llm.tables import bounded_batches, connected, stored
 from monthcast.llm.words import WORD_BASE, Words, chunks, mix, spans, texts, windows
 
 #: Words of a shingle; links need 100 * common >= PERCENT * union.
@@ -189,6 +189,7 @@ def near_duplicates(
     rows with an equal set, null if there is none. Repeated rows share all
     values. Ids are whole numbers. No rows give no rows.
     """
+    bounded_batches(docs.sparkSession)
     size = bands_ * rows
     rows_ = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scan = stored(

@@ -6,13 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from monthcast.llm.blocks import pack, unpack
-from monthcast.llm.tables import stored
-from monthcast.llm.words import BYTE_BASE, Words, chunks, mix, texts, windows
+from monthcast.llm.tables import bounded_batches, stored
+from monthcast.llm.words import BYTE_BASE, Words, chunks, hashed_places, mix, texts, windows
 
 #: Votes of a labeller.
 LOW, GOOD, ABSTAIN = 0, 1, 2
@@ -32,6 +31,8 @@ DIMS = 2048
 SHORT = 40
 #: Documents the scorer is fitted on, on average, chosen by a hash.
 SAMPLE = 6000
+#: Least score of a document that is kept: only what is rather sure to be poor goes.
+LEAST = 0.4
 
 LETTER, UPPER, DIGIT, HIGH = (np.zeros(256, bool) for _ in range(4))
 UPPER[65:91] = True
@@ -98,33 +99,23 @@ def votes(measure: np.ndarray) -> np.ndarray:
     return out
 
 
-def _table() -> np.ndarray:
-    keys = np.arange(1 << 24, dtype=np.uint64) * np.uint64(BYTE_BASE[0])
-    return (mix(keys) >> np.uint64(64 - DIMS.bit_length() + 1)).astype(np.uint16)
-
-
-_PLACES: list[np.ndarray] = []
-
-
 def features(rows: list[bytes]) -> np.ndarray:
     """Roots of hashed shares of runs of three byte classes, and a constant.
 
     Shares are shrunk as if the text had ``SHORT`` more runs, so that a very
     short text says little and gets about the score of a text unseen.
     """
-    if not _PLACES:
-        _PLACES.append(_table())
     data = SHAPE[np.frombuffer(b"   ".join(rows) + b"   ", np.uint8)].astype(np.uint32)
     begin = np.cumsum([0] + [len(r) + 3 for r in rows])
     doc = np.repeat(np.arange(len(rows)), np.diff(begin))[:-2]
-    place = _PLACES[0][data[:-2] << 16 | data[1:-1] << 8 | data[2:]].astype(np.int64) + doc * DIMS
+    place = hashed_places(24, BYTE_BASE[0], DIMS)[data[:-2] << 16 | data[1:-1] << 8 | data[2:]].astype(np.int64) + doc * DIMS
     out = np.sqrt(np.bincount(place, minlength=len(rows) * DIMS).reshape(len(rows), DIMS).astype(np.float32))
     out /= np.sqrt(np.diff(begin) + SHORT).astype(np.float32)[:, None]
     return np.hstack([out, np.ones((len(rows), 1), np.float32)])
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    return chunks(texts(column), 2 << 20, 512)
+    return chunks(texts(column), 1 << 20, 256)
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +195,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
     of labellers) and the sample. Null text counts as empty. No rows, or only
     one class among the sample's labels, give a scorer by the prior alone.
     """
+    bounded_batches(docs.sparkSession)
     count = max(1, docs.count())
     dice = F.pmod(F.xxhash64(F.lit(5), F.col(id_col), F.xxhash64(text_col)), F.lit(1 << 30)) / float(1 << 30)
     rows = docs.select(F.col(text_col).alias("text"), (dice < sample / count).alias("chosen"))
@@ -226,33 +218,27 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
     return regress(x, y)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", id_col: str = "doc_id", *keep: str, least: float = 0.4) -> DataFrame:
-    """The columns of ``docs`` named in ``keep``, or its id, with score (0 to 1, high is good) and kept (at least ``least``).
+def score_of(text: Column, weights: np.ndarray) -> Column:
+    """Score of a text, 0 to 1, high is good. Null counts as empty, which has no features but the constant."""
 
-    Every row gets one. An empty or null text has no features but the
-    constant. Names that clash with score or kept are replaced.
-    """
-    names = [c for c in (keep or (id_col,)) if c not in ("score", "kept")]
-    schema = [docs.schema[c] for c in names]
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    kinds = [to_arrow_type(f.dataType) for f in schema]
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        out = [1 / (1 + np.exp(-(features(rows) @ weights))) for _, rows in _pieces(column)]
+        return pa.array(np.concatenate(out).astype(float) if out else np.zeros(0))
+
+    return score(F.coalesce(text, F.lit("")))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [1 / (1 + np.exp(-(features(rows) @ shared.value))) for _, rows in _pieces(batch.column("_text"))]
-            value = np.concatenate(out) if out else np.zeros(0)
-            columns = [batch.column(c).cast(k) for c, k in zip(names, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(value, pa.float64())], [*names, "score"])
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", score double"
-    rows = docs.select(*names, F.col(text_col).alias("_text"))
-    return rows.mapInArrow(score, kind).withColumn("kept", F.col("score") >= least)
+def scored(
+    docs: DataFrame, weights: np.ndarray, text_col: str = "text", id_col: str = "doc_id", least: float = LEAST
+) -> DataFrame:
+    """id_col, score and kept (a score of at least ``least``) of every row; other columns are not looked at."""
+    out = docs.select(F.col(id_col), score_of(F.col(text_col), weights).alias("score"))
+    return out.withColumn("kept", F.col("score") >= least)
 
 
-def without_rejected(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+def without_rejected(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = LEAST, **options
+) -> DataFrame:
     """The rows of ``docs`` that a scorer fitted on them keeps, all columns as they are, under any names."""
-    weights = fit(docs, text_col, id_col, **options)
-    names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text, id_ = (f"c{names.index(c)}" for c in (text_col, id_col))
-    return scored(plain, weights, text, id_, *plain.columns).where("kept").select(*plain.columns).toDF(*names)
+    return docs.where(score_of(F.col(text_col), fit(docs, text_col, id_col, **options)) >= least)

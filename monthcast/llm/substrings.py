@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from monthcast.llm.blocks import blocks, gather, pack, split, unpack
-from monthcast.llm.tables import partitions, stored, stored_by
+from monthcast.llm.tables import bounded_batches, partitions, stored, stored_by
 from monthcast.llm.words import Words, chunks, windows
 
 WINDOW = 20
@@ -203,6 +203,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     if window < 10:
         raise ValueError("the window needs ten words at least")
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     id_type = to_arrow_type(rows.schema["id"].dataType)
@@ -211,10 +212,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     message = "block long, shard int, data binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, first, batch, texts in blocks(batches):
+        for block, rest, texts in blocks(batches):
             asked = list(_ask(texts, [], window, shards))
             n, m = len(texts), len(asked)
-            ids = batch.column("id").slice(first, n).cast(id_type)
+            ids = rest["id"].chunk(0).cast(id_type)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(["doc"] * n + ["run"] * m),

@@ -40,6 +40,11 @@ def stored_by(df: DataFrame, name: str, key: str, *parts: str) -> DataFrame:
     return spark.table(found)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches for Python tasks end at 4 MB, however long their rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def words_of(text: Column) -> Column:
     """Number of words, runs of anything but the six ASCII white-space characters; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

@@ -73,6 +73,17 @@ def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) ->
     return mix((total[end] - total[start]) * down[start])
 
 
+@lru_cache(maxsize=4)
+def hashed_places(bits: int, base: int, dims: int) -> np.ndarray:
+    """The place, below ``dims`` (a power of two), of every number of ``bits`` bits. Built in parts, to stay small."""
+    out = np.empty(1 << bits, np.uint16)
+    step = 1 << 16
+    for low in range(0, 1 << bits, step):
+        keys = np.arange(low, low + step, dtype=np.uint64) * np.uint64(base)
+        out[low : low + step] = mix(keys) >> np.uint64(64 - dims.bit_length() + 1)
+    return out
+
+
 @dataclass
 class Words:
     """Words of a few texts: bytes, where each word starts and ends, its text, and the first word of each text."""

@@ -57,7 +57,7 @@ def test_quality_against_labels(spark, labelled):
 def test_quality_edge_rows(documents):
     docs = documents(EDGES)
     weights = quality.fit(docs)
-    got = quality.scored(docs, weights, "text", "doc_id", "doc_id", "kept", "block").collect()
+    got = quality.scored(docs, weights).collect()
     assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
     assert quality.scored(documents([]), quality.fit(documents([]))).count() == 0
 
