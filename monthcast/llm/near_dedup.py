@@ -20,11 +20,13 @@ PERCENT = 80
 #: Bands of rows: a pair of similarity 0.8 misses every band with a probability of 5e-6.
 BANDS = 40
 ROWS = 6
-#: Bands' pairs whose sketches agree on a smaller share are not compared. At
+#: Pairs whose own sketches agree on a smaller share are not compared. At
 #: similarity 0.8 the share is 0.8 with a standard deviation of 0.026.
 LEAST_AGREEMENT = 0.6
 #: Texts compared at once.
 CHUNK = 192
+#: Members of a band whose sketches are compared at once.
+BAND_CHUNK = 1024
 
 
 def shingles(words: Words, length: int = SHINGLE, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +159,34 @@ def _compare(group: pa.Table, length: int, percent: int) -> pa.Table:
     return pa.table({"u": pa.array(node[join]), "v": pa.array(node[root[join]])})
 
 
+def _candidates(group: pa.Table) -> pa.Table:
+    """Texts to compare on full sets: (a, b, node), where a and b are the places of two nodes that may be linked.
+
+    Asking nodes are held against the asked ones of their band. Pairs of one
+    component, and pairs that were compared on full sets before, are left out.
+    """
+    column = {k: group[k].to_numpy() for k in ("band", "node", "component", "cluster", "chunk", "place", "asks", "asked")}
+    low = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(group), -1)
+    order = np.argsort(column["band"], kind="stable")
+    edge = np.flatnonzero(np.diff(column["band"][order], prepend=~column["band"][order[0]], append=~column["band"][order[-1]]))
+    component, cluster, chunk, place = (column[k] for k in ("component", "cluster", "chunk", "place"))
+    out = []
+    for at in np.split(order, edge[1:-1]):
+        x, y = at[column["asks"][at]], at[column["asked"][at]]
+        differ = component[x][:, None] != component[y][None, :]
+        done = (chunk[x][:, None] == chunk[y][None, :]) | (chunk[x] == 0)[:, None] | (chunk[y] == 0)[None, :]
+        u, v = np.nonzero(differ & ~(done & (cluster[x][:, None] == cluster[y][None, :])))
+        u, v = x[u], y[v]
+        for first in range(0, len(u), 1 << 14):
+            s, t = u[first : first + (1 << 14)], v[first : first + (1 << 14)]
+            alike = (low[s] == low[t]).mean(axis=1) >= LEAST_AGREEMENT
+            s, t = s[alike], t[alike]
+            ends = np.minimum(place[s], place[t]), np.maximum(place[s], place[t])
+            out += [np.stack([*ends, column["node"][k]], axis=1) for k in (s, t)]
+    rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+    return pa.table({k: pa.array(rows[:, i]) for i, k in enumerate(("a", "b", "node"))})
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -179,10 +209,14 @@ def near_duplicates(
        node of the band, unless their sketches show that they are far apart;
        what hangs together is a cluster, the candidates.
     3. A cluster is compared on full sets in chunks: every chunk in itself
-       and with the first one. Members then outside the cluster's largest
-       component are compared with all chunks. So a cluster of any size is
-       settled without all its pairs, and without a cap.
-    4. Components of the links found, over all clusters.
+       and with the first one.
+    4. In each band the members outside its most frequent component so far
+       are compared by sketches with all its members, whatever their
+       clusters. Where two of different components agree, the chunks they
+       are in are compared on full sets, with the texts that agree. So every
+       pair of a band is judged by its own sketches or linked already, and
+       no pair is judged by a third text.
+    5. Components of the links found, over all clusters.
 
     Null and empty texts have no shingles and are linked with nothing: their
     component is their own id. A null id takes the component of the other
@@ -205,7 +239,8 @@ def near_duplicates(
 
     at = known.select("node", F.explode("bands").alias("band"))
     centers = stored(at.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("c")).where("c > 1").drop("c"), "bands")
-    pairs = at.join(centers, "band").where("node != center").select("node", "center").distinct()
+    shared = stored(at.join(centers, "band"), "shared")
+    pairs = shared.where("node != center").select("node", "center").distinct()
     sketch = known.select("node", "sketch")
     pairs = pairs.join(sketch, "node").join(sketch.select(F.col("node").alias("center"), F.col("sketch").alias("s")), "center")
     clusters = connected(
@@ -215,31 +250,57 @@ def near_duplicates(
     members = clusters.join(stored(chunks_, "chunks"), "component").select(
         "node", F.col("component").alias("cluster"), "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")
     )
+    members = stored(members, "members")
     found = members.join(rows_.withColumnRenamed("id", "node"), "node")
-    found = stored(found.select("cluster", "chunks", "chunk", "node", "text"), "members")
+    found = stored(found.select("cluster", "chunks", "chunk", "node", "text"), "found")
 
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     first = found.withColumn("with", F.explode(F.when(F.col("chunk") == 0, every).otherwise(F.array("chunk"))))
     compare = lambda t: _compare(t, length, percent)
     near = stored(first.groupBy("cluster", "with").applyInArrow(compare, "u long, v long"), "links")
 
-    # What is not in the largest component of a cluster of several chunks.
-    large = found.where("chunks > 1").select("cluster", "chunks", "node")
-    parts = large.join(connected(near), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = stored(parts, "parts")
-    main = parts.groupBy("cluster", "component").count().groupBy("cluster")
-    main = stored(main.agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("all")), "main")
-    left = parts.join(main, "cluster").where("component != m.component")
-    stray = left.select(
-        "cluster", "node", "chunks", F.ceil((F.col("all") - F.col("m.count")) / chunk).cast("int").alias("strays")
+    # Members of the bands that hold pairs not settled so far.
+    linked = connected(near)
+    seen = shared.join(members, "node", "left").join(linked, "node", "left")
+    seen = seen.select(
+        "band", "node", F.coalesce("component", "node").alias("component"), F.coalesce("cluster", "node").alias("cluster"),
+        F.coalesce("chunks", F.lit(1)).alias("chunks"), F.coalesce("chunk", F.lit(0)).alias("chunk"),
+    )
+    seen = stored(seen, "seen")
+    parts = seen.groupBy("band", "component").agg(
+        F.count("*").alias("count"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.max("chunks").alias("chunks")
+    )
+    open_ = parts.groupBy("band").agg(
+        F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("all"), F.count("*").alias("parts"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.max("chunks").alias("chunks"),
+    )
+    # A band of two has been judged by its sketches, a cluster of one chunk on full sets.
+    unsettled = F.when(F.col("low") == F.col("high"), F.col("chunks") > 1).otherwise(F.col("all") > 2)
+    open_ = open_.where((F.col("parts") > 1) & unsettled).select(
+        "band", F.col("m.component").alias("main"),
+        F.ceil(F.col("all") / BAND_CHUNK).cast("int").alias("n"), F.ceil((F.col("all") - F.col("m.count")) / BAND_CHUNK).cast("int").alias("strays"),
+    )
+    asked = seen.join(stored(open_, "open"), "band").withColumn("stray", F.col("component") != F.col("main"))
+    asked = stored(asked, "asked")
+    buckets = 1 + asked.count() // (4 * BAND_CHUNK)
+    own = [F.pmod(F.xxhash64(F.lit(k), "node"), F.col(n)).cast("int") for k, n in ((1, "strays"), (2, "n"))]
+    role = lambda i, j, asks, asked: F.struct(
+        i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"), F.lit(asked).alias("asked")
+    )
+    asking = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: role(own[0], j, True, False))
+    roles = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda i: role(i, own[1], False, True)),
+        F.when(F.col("stray"), asking).otherwise(F.slice(asking, 1, 0)),
     )
-    stray = stray.withColumn("stray", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("strays")).cast("int"))
-    counts = main.select("cluster", F.ceil((F.col("all") - F.col("m.count")) / chunk).cast("int").alias("strays")).where("strays > 0")
-    text = found.where("chunks > 1")
-    asked = stray.join(text.select("node", "text"), "node").withColumn("with", F.explode(every)).select("cluster", "stray", "with", "node", "text")
-    asking = text.join(counts, "cluster").withColumn("stray", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)))
-    asked = asked.union(asking.select("cluster", "stray", F.col("chunk").alias("with"), "node", "text"))
-    more = asked.groupBy("cluster", "stray", "with").applyInArrow(compare, "u long, v long")
+    whole = F.array(role(F.lit(0), F.lit(0), F.col("stray"), True))
+    asked = asked.select(
+        F.when(F.col("n") > 1, F.col("band")).otherwise(F.pmod(F.xxhash64("band"), F.lit(buckets))).alias("bucket"),
+        "band", "node", "component", "cluster", "chunk", F.xxhash64("cluster", "chunk").alias("place"),
+        F.explode(F.when(F.col("n") > 1, roles).otherwise(whole)).alias("r"),
+    ).select("*", "r.*").drop("r")
+    asked = asked.join(sketch, "node").groupBy("bucket", "i", "j").applyInArrow(_candidates, "a long, b long, node long")
+    asked = stored(asked.distinct(), "candidates").join(rows_.withColumnRenamed("id", "node"), "node")
+    more = asked.groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
     components = stored(connected(near.union(more)), "components")
     named = nodes.select("s1", "s2", "node").join(components, "node", "left")

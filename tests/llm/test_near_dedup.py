@@ -67,6 +67,32 @@ def test_against_all_pairs(documents, chunk):
     assert result(near_dedup.near_duplicates(documents(rows), chunk=chunk)) == brute(rows)
 
 
+def slotted(dice, singles, pairs, slots=20, choices=5):
+    """Texts of one template with filled slots, few of them linked; then pairs that differ in four slots."""
+
+    def text(fill):
+        return " ".join(f"t{2 * i} t{2 * i + 1} t{2 * i + 2}x s{i}v{v}" for i, v in enumerate(fill))
+
+    out = [text([dice.randrange(choices) for _ in range(slots)]) for _ in range(singles)]
+    for _ in range(pairs):
+        fill = [dice.randrange(choices) for _ in range(slots)]
+        out.append(text(fill))
+        for at in dice.sample(range(slots), 4):
+            fill[at] = (fill[at] + 1) % choices
+        out.append(text(fill))
+    return out
+
+
+@pytest.mark.parametrize("chunk, band_chunk", [(192, 1024), (64, 100)])
+def test_a_third_text_hides_no_link(documents, monkeypatch, chunk, band_chunk):
+    """Every band that two linked texts share has a smaller text of about half their similarity."""
+    monkeypatch.setattr(near_dedup, "BAND_CHUNK", band_chunk)
+    rows = list(enumerate(slotted(random.Random(5), 1000, 40)))
+    want = brute(rows)
+    assert sum(not kept for _, _, kept in want.values()) >= 40
+    assert result(near_dedup.near_duplicates(documents(rows), chunk=chunk)) == want
+
+
 def test_edge_rows(documents):
     got = near_dedup.near_duplicates(documents([(None, "a b"), (3, "a b"), (3, "a b"), (None, "c d"), (None, None)])).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == [
