@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthcast.llm import archive, bpe, exact_dedup, langid, lm, merkle, mixing, near_dedup, quality, substrings
+from monthcast.llm import archive, bpe, exact_dedup, langid, lm, merkle, mixing, near_dedup, neighbours, periodic
+from monthcast.llm import quality, substrings, whitening
 from monthcast.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +169,33 @@ FROM s""",
 )
 def op10_merkle_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, sf, "documents")).drop("edited_sections")
+
+
+@query(
+    "op11_nearest_neighbours",
+    """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_dot_product(q.e, c.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(c.e, c.e)) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+)
+def op11_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_whitened_embeddings")
+def op12_whitened_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    changed = docs.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text")))
+    return periodic.digests(periodic.without_runs(changed))
