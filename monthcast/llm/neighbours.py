@@ -37,16 +37,15 @@ def rotation(dims: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def unit(v: np.ndarray) -> np.ndarray:
-    """Vectors of length 1. Scaled by a power of two first, so that no square overflows."""
-    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
-    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that no square overflows and no cosine changes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of a with the same row of b. A row's sum does not depend on the rows beside it."""
-    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) for x in (a, b))
-    return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+def unit(v: np.ndarray) -> np.ndarray:
+    """Vectors of length 1."""
+    v = scaled(v)
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
 def encode(v: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -78,7 +77,8 @@ class Block:
         rows = rows.combine_chunks()
         number = lambda k: rows[k].to_numpy().astype(np.float32)
         self.id = rows["id"].to_numpy()
-        self.vector = _binary(rows["vector"], np.float64, dims)
+        self.vector = scaled(_binary(rows["vector"], np.float64, dims))
+        self.square = (self.vector * self.vector).sum(axis=1)
         bits = np.unpackbits(_binary(rows["code"], np.uint8, (dims + 7) // 8), axis=1, count=dims)
         self.sign = np.where(bits, np.float32(1), np.float32(-1))
         size, aligned = number("size"), rows["aligned"].to_numpy()
@@ -90,7 +90,7 @@ class Block:
         """Query id, and ids and cosines of the nearest rows of the block, nearest first."""
         dims = len(centre)
         ids = queries["id"].to_numpy()
-        vector = _binary(queries["vector"], np.float64, dims)
+        vector = scaled(_binary(queries["vector"], np.float64, dims))
         turned = _binary(queries["code"], np.float32, dims)
         size, shift = (queries[c].to_numpy().astype(np.float32) for c in ("size", "shift"))
         base = self.shift - np.float32(centre @ centre)
@@ -116,8 +116,12 @@ class Block:
                 yield int(ids[low + i]), self.id[r[own]], score[own]
 
     def _exact(self, vector: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
-        parts = [slice(i, i + PAIRS) for i in range(0, len(q), PAIRS)]
-        return np.concatenate([cosines(vector[q[p]], self.vector[r[p]]) for p in parts]) if parts else np.zeros(0)
+        """Cosines of vectors q with rows r. A pair's sum does not depend on the pairs beside it."""
+        square, out = (vector * vector).sum(axis=1), np.zeros(len(q))
+        for i in range(0, len(q), PAIRS):
+            a, b = q[i : i + PAIRS], r[i : i + PAIRS]
+            out[i : i + PAIRS] = (vector[a] * self.vector[b]).sum(axis=1) / np.sqrt(square[a] * self.square[b])
+        return out
 
 
 def _binary(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
@@ -226,7 +230,7 @@ def nearest(
     asked = used.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     every = asked.mapInArrow(queries, MESSAGE).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     both = used.select("id", "v").mapInArrow(index, MESSAGE).withColumn("block", own).unionByName(every)
-    each = both.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(scan, "query_id long, vec_id long, score double")
+    each = both.repartitionById(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(scan, "query_id long, vec_id long, score double")
     each = stored(each, "neighbours")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
