@@ -22,11 +22,14 @@ BANDS = 40
 ROWS = 6
 #: Pairs whose own sketches agree on a smaller share are not compared. At
 #: similarity 0.8 the share is 0.8 with a standard deviation of 0.026.
-LEAST_AGREEMENT = 0.6
+LEAST_AGREEMENT = 0.68
 #: Texts compared at once.
 CHUNK = 192
-#: Members of a band whose sketches are compared at once.
-BAND_CHUNK = 1024
+#: Members of a band that are compared at once, a text of many shingles counting as several.
+BAND_CHUNK = 2048
+SHINGLES = 512
+#: Shingles that more sets share are counted by products of matrices, others pair by pair.
+DENSE = 48
 
 
 def shingles(words: Words, length: int = SHINGLE, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -121,70 +124,116 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1) if len(a) else np.zeros(0))
 
 
-def links(part: list[bytes], length: int = SHINGLE, percent: int = PERCENT) -> np.ndarray:
-    """Which of a few texts are linked, from the sizes of their common shingles: a square of booleans."""
-    n = len(part)
-    doc, h = shingles(Words.of(part, lower=True), length)
+def alike(doc: np.ndarray, h: np.ndarray, n: int, percent: int = PERCENT) -> np.ndarray:
+    """Which of n sets are linked, from the sizes of their intersections: a square of booleans. Elements by set, in any order."""
     size = np.bincount(doc, minlength=n).astype(float)
-    _, place, times = np.unique(h, return_inverse=True, return_counts=True)
-    shared = times[place] > 1
-    doc, place = doc[shared], np.unique(place[shared], return_inverse=True)[1]
+    order = np.lexsort((doc, h))
+    doc, h = doc[order], h[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
+    times = np.diff(np.r_[first, len(h)])
     common = np.zeros((n, n), np.float32)
-    order = np.argsort(place, kind="stable")
-    doc, place = doc[order], place[order]
-    step = 4096
-    for low in range(0, int(place[-1]) + 1 if len(place) else 0, step):
-        a, b = np.searchsorted(place, [low, low + step])
-        has = np.zeros((n, step), np.float32)
-        has[doc[a:b], place[a:b] - low] = 1
+    few = np.repeat((times > 1) & (times <= DENSE), times)
+    d, t = doc[few], np.repeat(np.arange(len(times)), times)[few]
+    for step in range(1, int(times[times <= DENSE].max(initial=1))):
+        same = np.flatnonzero(t[:-step] == t[step:])
+        np.add.at(common, (d[same], d[same + step]), 1)
+    common += common.T
+    dense = first[times > DENSE], times[times > DENSE]
+    for low in range(0, len(dense[0]), 1024):
+        start, many = (x[low : low + 1024] for x in dense)
+        at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        has = np.zeros((n, len(many)), np.float32)
+        has[doc[at], np.repeat(np.arange(len(many)), many)] = 1
         common += has @ has.T
-    union = size[:, None] + size[None, :] - common
-    return (100 * common.astype(float) >= percent * union) & (size[:, None] > 0) & (size[None, :] > 0)
+    linked = np.zeros((n, n), bool)
+    for low in range(0, n, 256):  # in doubles: exact at any size
+        c, own = common[low : low + 256].astype(float), size[low : low + 256, None]
+        linked[low : low + 256] = (100 * c >= percent * (own + size - c)) & (own > 0) & (size > 0)
+    np.fill_diagonal(linked, size > 0)
+    return linked
 
 
-def _compare(group: pa.Table, length: int, percent: int) -> pa.Table:
-    """Links among the texts of one comparison, as few as keep its components: (u, v)."""
-    first = dict(zip(group["node"].to_pylist(), texts(group["text"].combine_chunks()).to_pylist(), strict=True))
-    node = np.array(sorted(first), np.int64)
-    near = links([first[k] for k in node.tolist()], length, percent)
-    np.fill_diagonal(near, True)
-    root = np.arange(len(node))
+def links(part: list[bytes], length: int = SHINGLE, percent: int = PERCENT) -> np.ndarray:
+    """Which of a few texts are linked: a square of booleans."""
+    doc, h = shingles(Words.of(part, lower=True), length)
+    return alike(doc, h, len(part), percent)
+
+
+def _joined(near: np.ndarray, name: np.ndarray) -> pa.Table:
+    """As few links as join the names of what hangs together: (u, v). Places with one name hang together."""
+    _, same = np.unique(name, return_inverse=True)
+    root = np.arange(len(name))
     while True:
-        low = np.where(near, root[None, :], len(node)).min(axis=1)
+        low = np.minimum(root, np.where(near, root[None, :], len(name)).min(axis=1, initial=len(name)))
+        least = np.full(same.max(initial=-1) + 1, len(name))
+        np.minimum.at(least, same, low)
+        low = least[same]
         low = np.minimum(low, low[low])
         if (low == root).all():
             break
         root = low
-    join = root != np.arange(len(node))
-    return pa.table({"u": pa.array(node[join]), "v": pa.array(node[root[join]])})
+    pairs = np.unique(np.stack([name, name[root]], axis=1)[name != name[root]], axis=0)
+    return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
 
-def _candidates(group: pa.Table) -> pa.Table:
-    """Texts to compare on full sets: (a, b, node), where a and b are the places of two nodes that may be linked.
+def _compare(group: pa.Table, length: int, percent: int) -> pa.Table:
+    """Links among the texts of one comparison, as few as keep its components: (u, v)."""
+    first = dict(zip(group["node"].to_pylist(), texts(group["text"].combine_chunks()).to_pylist(), strict=True))
+    node = np.array(sorted(first), np.int64)
+    return _joined(links([first[k] for k in node.tolist()], length, percent), node)
+
 
-    Asking nodes are held against the asked ones of their band. Pairs of one
-    component, and pairs that were compared on full sets before, are left out.
+def _verify(group: pa.Table, percent: int) -> pa.Table:
+    """Links among the components of the sets of one unit, as few as join them: (u, v)."""
+    order = np.argsort(group["node"].to_numpy(), kind="stable")
+    sets = [np.frombuffer(x, np.uint64) for x in group["set"].take(pa.array(order)).to_pylist()]
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    return _joined(alike(doc, np.concatenate(sets), len(sets), percent), group["component"].to_numpy()[order])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The shingle hashes of every text as bytes."""
+    for batch in batches:
+        for first, part in chunks(texts(batch.column("text"))):
+            doc, h = shingles(Words.of(part, lower=True), length)
+            edge = np.searchsorted(doc, np.arange(len(part) + 1))
+            each = pa.array([h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(part)), each], ["node", "set"])
+
+
+UNIT = "unit long, node long, component long"
+
+
+def _units(group: pa.Table) -> pa.Table:
+    """Members of each band that have to be compared on full sets: (unit, node, component).
+
+    Asking members are held against the asked ones of their band. A member is
+    returned, once, if its sketch agrees with that of a member of another
+    component with which it was not compared on full sets before and shares
+    no band of a smaller number, where the pair is seen to.
     """
-    column = {k: group[k].to_numpy() for k in ("band", "node", "component", "cluster", "chunk", "place", "asks", "asked")}
+    group = group.combine_chunks()
+    column = {k: group[k].to_numpy() for k in ("unit", "at", "node", "component", "cluster", "chunk", "asks", "asked")}
     low = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(group), -1)
-    order = np.argsort(column["band"], kind="stable")
-    edge = np.flatnonzero(np.diff(column["band"][order], prepend=~column["band"][order[0]], append=~column["band"][order[-1]]))
-    component, cluster, chunk, place = (column[k] for k in ("component", "cluster", "chunk", "place"))
-    out = []
-    for at in np.split(order, edge[1:-1]):
+    bands_ = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(group), -1)
+    order = np.argsort(column["unit"], kind="stable")
+    unit = column["unit"][order]
+    component, cluster, chunk = (column[k] for k in ("component", "cluster", "chunk"))
+    found = np.zeros(len(group), bool)
+    for at in np.split(order, np.flatnonzero(unit[1:] != unit[:-1]) + 1):
         x, y = at[column["asks"][at]], at[column["asked"][at]]
-        differ = component[x][:, None] != component[y][None, :]
-        done = (chunk[x][:, None] == chunk[y][None, :]) | (chunk[x] == 0)[:, None] | (chunk[y] == 0)[None, :]
-        u, v = np.nonzero(differ & ~(done & (cluster[x][:, None] == cluster[y][None, :])))
-        u, v = x[u], y[v]
-        for first in range(0, len(u), 1 << 14):
-            s, t = u[first : first + (1 << 14)], v[first : first + (1 << 14)]
-            alike = (low[s] == low[t]).mean(axis=1) >= LEAST_AGREEMENT
-            s, t = s[alike], t[alike]
-            ends = np.minimum(place[s], place[t]), np.maximum(place[s], place[t])
-            out += [np.stack([*ends, column["node"][k]], axis=1) for k in (s, t)]
-    rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
-    return pa.table({k: pa.array(rows[:, i]) for i, k in enumerate(("a", "b", "node"))})
+        number = int(column["at"][at[0]])
+        for first in range(0, len(x), 256):
+            a = x[first : first + 256]
+            open_ = component[a][:, None] != component[y][None, :]
+            done = (chunk[a][:, None] == chunk[y][None, :]) | (chunk[a] == 0)[:, None] | (chunk[y] == 0)[None, :]
+            u, v = np.nonzero(open_ & ~(done & (cluster[a][:, None] == cluster[y][None, :])))
+            for part in range(0, len(u), 1 << 14):
+                s, t = a[u[part : part + (1 << 14)]], y[v[part : part + (1 << 14)]]
+                near = (low[s] == low[t]).mean(axis=1) >= LEAST_AGREEMENT
+                near[near] = ~(bands_[s[near], :number] == bands_[t[near], :number]).any(axis=1)
+                found[s[near]] = found[t[near]] = True
+    return pa.table({k: pa.array(column[k][found]) for k in ("unit", "node", "component")})
 
 
 def near_duplicates(
@@ -209,14 +258,21 @@ def near_duplicates(
        node of the band, unless their sketches show that they are far apart;
        what hangs together is a cluster, the candidates.
     3. A cluster is compared on full sets in chunks: every chunk in itself
-       and with the first one.
+       and with the first one. Links found make components.
     4. In each band the members outside its most frequent component so far
-       are compared by sketches with all its members, whatever their
-       clusters. Where two of different components agree, the chunks they
-       are in are compared on full sets, with the texts that agree. So every
-       pair of a band is judged by its own sketches or linked already, and
-       no pair is judged by a third text.
-    5. Components of the links found, over all clusters.
+       are held against all its members by their sketches, whatever their
+       clusters. A pair of different components that agrees is seen to in
+       the first band it shares. Members with such a pair are a unit, which
+       is compared on full sets in one task and returns as few links as join
+       its components. So every pair of a band is judged by its own sketches
+       or linked already, no pair is judged by a third text, and no list of
+       pairs is made: a unit has as many rows as members.
+    5. Components of the links found, over all components of step 3.
+
+    Members of a band beyond BAND_CHUNK are dealt to parts, and units hold
+    the parts two by two. A family of more texts of 0.68 to 0.8 similarity
+    than that, without links, therefore costs rows in proportion to its size
+    times its parts, and comparisons to its square.
 
     Null and empty texts have no shingles and are linked with nothing: their
     component is their own id. A null id takes the component of the other
@@ -234,10 +290,10 @@ def near_duplicates(
     )
     sets = scan.where("n > 0").groupBy("s1", "s2")
     # Written, so that the last join has a plain shuffle on either side and Spark can split a large group.
-    nodes = stored(sets.agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = stored(sets.agg(F.min("id").alias("node"), F.first("n").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     known = nodes.where("node is not null")
 
-    at = known.select("node", F.explode("bands").alias("band"))
+    at = known.select("node", "size", F.posexplode("bands").alias("at", "band"))
     centers = stored(at.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("c")).where("c > 1").drop("c"), "bands")
     shared = stored(at.join(centers, "band"), "shared")
     pairs = shared.where("node != center").select("node", "center").distinct()
@@ -260,25 +316,28 @@ def near_duplicates(
     near = stored(first.groupBy("cluster", "with").applyInArrow(compare, "u long, v long"), "links")
 
     # Members of the bands that hold pairs not settled so far.
-    linked = connected(near)
+    linked = stored(connected(near), "linked")
     seen = shared.join(members, "node", "left").join(linked, "node", "left")
     seen = seen.select(
-        "band", "node", F.coalesce("component", "node").alias("component"), F.coalesce("cluster", "node").alias("cluster"),
+        "band", "at", "node", F.coalesce("component", "node").alias("component"), F.coalesce("cluster", "node").alias("cluster"),
         F.coalesce("chunks", F.lit(1)).alias("chunks"), F.coalesce("chunk", F.lit(0)).alias("chunk"),
+        (1 + F.col("size") / SHINGLES).cast("long").alias("weight"),
     )
     seen = stored(seen, "seen")
     parts = seen.groupBy("band", "component").agg(
-        F.count("*").alias("count"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.max("chunks").alias("chunks")
-    )
+        F.sum("weight").alias("weight"), F.count("*").alias("count"),
+        F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.max("chunks").alias("chunks"),
+    )
     open_ = parts.groupBy("band").agg(
-        F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("all"), F.count("*").alias("parts"),
-        F.min("low").alias("low"), F.max("high").alias("high"), F.max("chunks").alias("chunks"),
+        F.max(F.struct("weight", "component")).alias("m"), F.sum("weight").alias("all"), F.sum("count").alias("members"),
+        F.count("*").alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("chunks").alias("chunks"),
     )
     # A band of two has been judged by its sketches, a cluster of one chunk on full sets.
-    unsettled = F.when(F.col("low") == F.col("high"), F.col("chunks") > 1).otherwise(F.col("all") > 2)
+    unsettled = F.when(F.col("low") == F.col("high"), F.col("chunks") > 1).otherwise(F.col("members") > 2)
     open_ = open_.where((F.col("parts") > 1) & unsettled).select(
         "band", F.col("m.component").alias("main"),
-        F.ceil(F.col("all") / BAND_CHUNK).cast("int").alias("n"), F.ceil((F.col("all") - F.col("m.count")) / BAND_CHUNK).cast("int").alias("strays"),
+        F.ceil(F.col("all") / BAND_CHUNK).cast("int").alias("n"),
+        F.ceil((F.col("all") - F.col("m.weight")) / BAND_CHUNK).cast("int").alias("strays"),
     )
     asked = seen.join(stored(open_, "open"), "band").withColumn("stray", F.col("component") != F.col("main"))
     asked = stored(asked, "asked")
@@ -294,15 +353,21 @@ def near_duplicates(
     )
     whole = F.array(role(F.lit(0), F.lit(0), F.col("stray"), True))
     asked = asked.select(
-        F.when(F.col("n") > 1, F.col("band")).otherwise(F.pmod(F.xxhash64("band"), F.lit(buckets))).alias("bucket"),
-        "band", "node", "component", "cluster", "chunk", F.xxhash64("cluster", "chunk").alias("place"),
+        "band", "at", "node", "component", "cluster", "chunk", "n",
         F.explode(F.when(F.col("n") > 1, roles).otherwise(whole)).alias("r"),
-    ).select("*", "r.*").drop("r")
-    asked = asked.join(sketch, "node").groupBy("bucket", "i", "j").applyInArrow(_candidates, "a long, b long, node long")
-    asked = stored(asked.distinct(), "candidates").join(rows_.withColumnRenamed("id", "node"), "node")
-    more = asked.groupBy("a", "b").applyInArrow(compare, "u long, v long")
-
-    components = stored(connected(near.union(more)), "components")
+    ).select("*", "r.*", F.xxhash64("band", "r.i", "r.j").alias("unit"))
+    bucket = F.when(F.col("n") > 1, F.col("unit")).otherwise(F.pmod("unit", F.lit(buckets)))
+    asked = asked.select(
+        bucket.alias("bucket"), "unit", "at", "node", "component", "cluster", "chunk", "asks", "asked"
+    ).join(known.select("node", "sketch", "bands"), "node")
+    units = stored(asked.groupBy("bucket").applyInArrow(_units, UNIT).distinct(), "units")
+    some = stored(units.select("node").distinct(), "compared").join(rows_.withColumnRenamed("id", "node"), "node")
+    some = stored(some.mapInArrow(lambda b: _sets(b, length), "node long, set binary").dropDuplicates(["node"]), "sets")
+    more = units.join(some, "node").groupBy("unit").applyInArrow(lambda t: _verify(t, percent), "u long, v long")
+    above = connected(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    every = linked.select("node", "component").union(above.select(F.col("component").alias("node"), F.col("component")))
+    components = every.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    components = stored(components.groupBy("node").agg(F.min("component").alias("component")), "components")
     named = nodes.select("s1", "s2", "node").join(components, "node", "left")
     named = stored(named.select("s1", "s2", F.coalesce("component", "node").alias("component")), "named")
     out = scan.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")

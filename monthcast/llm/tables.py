@@ -55,9 +55,10 @@ def connected(edges: DataFrame) -> DataFrame:
 
     ``edges`` has the long columns u and v; nodes without an edge do not
     appear. Alternating large-star and small-star steps shrink the graph to
-    stars in a number of rounds logarithmic in its diameter. Each round is
-    written to the shared folder; the driver sees two sums a round. A hub is
-    a hot key of the joins only, which Spark splits at run time.
+    stars in a number of rounds logarithmic in its diameter. What a step
+    joins is written to the shared folder first; the driver sees two sums a
+    round. A hub is a hot key of the joins only: both sides are shuffled
+    there, so Spark can split it at run time.
     """
     pair = edges.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
@@ -66,10 +67,10 @@ def connected(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "lowest")
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        large = stored(large.where(F.col("u") != F.col("v")).distinct(), "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("low")), "lowest")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v")))
         now = stored(small.where(F.col("u") != F.col("v")).distinct(), "edges")
