@@ -93,6 +93,31 @@ def test_a_third_text_hides_no_link(documents, monkeypatch, chunk, band_chunk):
     assert result(near_dedup.near_duplicates(documents(rows), chunk=chunk)) == want
 
 
+def test_unlinked_families_cost_rows_in_proportion(documents, monkeypatch):
+    """A family of about 0.75 similarity without links: rows compared on full sets grow with its texts, not their square."""
+    counts, linked, keep = {}, {}, near_dedup.stored
+
+    def stored(frame, name):
+        out = keep(frame, name)
+        if name == "units":
+            counts[size] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", stored)
+    dice = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+    for size in (250, 1000):
+        rows = []
+        for i in range(size):
+            own = list(base)
+            for at in dice.sample(range(150), 6):
+                own[at] = f"x{dice.random()}"
+            rows.append((i, " ".join(own)))
+        linked[size] = near_dedup.near_duplicates(documents(rows)).where("not kept").count()
+    assert linked[1000] < 200, linked  # a few have their words replaced in the same places
+    assert counts[1000] <= 5 * counts[250] and counts[1000] <= 1000 * near_dedup.BANDS, counts
+
+
 def test_edge_rows(documents):
     got = near_dedup.near_duplicates(documents([(None, "a b"), (3, "a b"), (3, "a b"), (None, "c d"), (None, None)])).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == [

@@ -173,3 +173,40 @@ def test_next_text_across_ranges(documents):
     rows = [(i * 3, f"t{i}") for i in range(500)]
     got = {r.id: r.next_text for r in merkle.with_next(documents(rows).repartition(5)).collect()}
     assert got == {i * 3: f"t{i - 1 if i else 499}" for i in range(500)}
+
+
+def taken_words(frame):
+    return {r.source: r.n for r in frame.groupBy("source").agg(F.sum(mixing.words_of(F.col("text"))).alias("n")).collect()}
+
+
+def test_the_mix_meets_every_target_with_null_ids(documents):
+    """Null ids in several sources, equal rows on a border, a source without words: each source gets its target."""
+    rows = [(None, f"w{i} x y z", None, "A") for i in range(40)] + [(None, f"w{i} x y z", None, "B") for i in range(10)]
+    got = [taken_words(mixing.repeated(documents(rows).repartition(n))) for n in (1, 3, 7)]
+    assert got == [{"A": 80, "B": 120}] * 3
+    rows = [(None, "one two three", None, "A")] * 50 + [(7, "a b c d e", None, "B")] * 30 + [(i, "q " * i, None, None) for i in range(20)]
+    rows += [(900, None, None, "C"), (901, "", None, "C"), (902, "w " * 40, None, "D")]
+    frame = documents(rows).repartition(4)
+    sizes = {s: sum(len((t or "").split()) for _, t, _, x in rows if x == s) for s in {r[3] for r in rows}}
+    targets = {r.source: int(r.target) for r in mixing.source_targets(
+        frame.sparkSession.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    first = mixing.repeated(frame)
+    assert {k: v for k, v in taken_words(first).items() if v} == {k: v for k, v in targets.items() if v}
+    again = mixing.repeated(documents(rows[::-1]).repartition(2))
+    assert sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
+
+
+def test_the_mix_takes_what_mixed_says(documents):
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 13)), None, "ABC"[i % 3]) for i in range(200)]
+    want = {r.doc_id: r.taken for r in mixing.mixed(documents(rows)).collect()}
+    got = {}
+    for r in mixing.repeated(documents(rows)).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert got == {k: v for k, v in want.items() if k in got} and all(not v for k, v in want.items() if k not in got)
+
+
+def test_the_mix_moves_no_texts(documents):
+    """The only shuffle of the last job is that of rows equal to a border document."""
+    plan = mixing.repeated(documents([(i, "a b c", None, "AB"[i % 2]) for i in range(50)]))
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Exchange hashpartitioning") <= 1 and "Window" not in shown and "SortMergeJoin" not in shown
