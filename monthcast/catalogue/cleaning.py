@@ -219,8 +219,8 @@ def c9_category(spark, sf):
     FACT
     + """
 SELECT product_id, CAST(MONAT AS VARCHAR) AS MONAT, anz_produkt
-FROM fact, (SELECT avg(anz_produkt) AS m, stddev_samp(anz_produkt) AS s FROM fact)
-WHERE abs((anz_produkt - m) / s) <= 2""",
+FROM fact
+WHERE abs((anz_produkt - (SELECT avg(anz_produkt) FROM fact)) / (SELECT stddev_samp(anz_produkt) FROM fact)) <= 2""",
 )
 def c10(spark, sf):
     df = filter_outliers(fact(spark, sf), "anz_produkt", "zscore", 2)

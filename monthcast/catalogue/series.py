@@ -22,10 +22,9 @@ def t1(spark, sf):
 
 YOY = FILLED + """,
 yoy AS (
-  SELECT a.product_id, a.MONAT, a.x, b.x AS last_year_sales, b.x IS NOT NULL AS has_comparison,
-         CASE WHEN b.x > 0 THEN (a.x - b.x) / b.x * 100 WHEN b.x IS NOT NULL THEN 0.0 END AS change_pct
-  FROM filled a LEFT JOIN filled b
-    ON b.product_id = a.product_id AND b.MONAT = a.MONAT - INTERVAL 1 YEAR)"""
+  SELECT product_id, MONAT, x, last AS last_year_sales, last IS NOT NULL AS has_comparison,
+         CASE WHEN last > 0 THEN (x - last) / last * 100 WHEN last IS NOT NULL THEN 0.0 END AS change_pct
+  FROM (SELECT *, lag(x, 12) OVER (PARTITION BY product_id ORDER BY MONAT) AS last FROM filled))"""
 
 
 @query(
@@ -73,20 +72,18 @@ def t11(spark, sf):
     return shown(dominant_period(filled(spark, sf)))
 
 
-# The moving average by a self join on positions, with a per-series length.
+# The moving average by a window with a per-series frame; the ends repeat the first and last full average.
 DECOMPOSED = FILLED + """,
 lengths AS (
   SELECT product_id, MONAT, x, t, n, least(12, n // 2) AS m, (least(12, n // 2) - 1) // 2 AS o FROM pos),
 averages AS (
-  SELECT a.product_id, a.t, avg(b.x) AS v
-  FROM lengths a JOIN lengths b ON b.product_id = a.product_id AND b.t BETWEEN a.t - (a.m - 1 - a.o) AND a.t + a.o
-  WHERE a.m > 1 AND a.t - (a.m - 1 - a.o) >= 0 AND a.t + a.o <= a.n - 1
-  GROUP BY a.product_id, a.t),
+  SELECT *, avg(x) OVER (PARTITION BY product_id ORDER BY t ROWS BETWEEN greatest(m - 1 - o, 0) PRECEDING AND greatest(o, 0) FOLLOWING) AS v
+  FROM lengths),
 trended AS (
-  SELECT l.*, CASE WHEN m <= 1 THEN x ELSE v END AS trend
-  FROM lengths l
-  LEFT JOIN averages v ON v.product_id = l.product_id
-    AND v.t = greatest(l.m - 1 - l.o, least(l.n - 1 - l.o, l.t))),
+  SELECT product_id, MONAT, x, t, n, m, o,
+         CASE WHEN m <= 1 THEN x ELSE nth_value(v, greatest(m - 1 - o, least(n - 1 - o, t)) + 1) OVER (
+           PARTITION BY product_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS trend
+  FROM averages),
 parts AS (
   SELECT *, x - trend - seasonal AS residual FROM (
     SELECT *, CASE WHEN n >= 12 THEN avg(x - trend) OVER (PARTITION BY product_id, month(MONAT)) ELSE 0 END

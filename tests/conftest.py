@@ -5,7 +5,9 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+
+from helpers import month  # noqa: E402
 
 from monthcast.session import build_session  # noqa: E402
 
@@ -28,13 +30,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def month(index: int):
-    """First day of the month ``index`` months after January 2020."""
-    from datetime import date
-
-    return date(2020 + index // 12, index % 12 + 1, 1)
-
-
 @pytest.fixture(scope="session")
 def monthly(spark):
     """Build a monthly fact from {product: [quantity per month, None = no row]}."""

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import month
+from helpers import month
 from monthcast.operators import decomposition as D
 from monthcast.operators import trend as M
 from monthcast.operators.routing import routed_forecast
