@@ -15,6 +15,7 @@ from monthcast.plans.forecasts import export_all
 from monthcast.session import scratch_path
 from monthcast.sources import exports, sales
 from monthcast.sources.snapshots import SnapshotStore
+from monthcast.sources.files import remove
 from monthcast.streaming.ingest import KeyedTable, ingest, sales_stream
 
 NOW = datetime(2024, 5, 1, 12)
@@ -163,14 +164,69 @@ def test_files_per_batch_do_not_matter(spark, tmp_path, files):
     assert taken(keyed) == {("A", 1): (9.0, 10.0), **{("B", m): (1.0, 1.0) for m in (1, 2, 3)}}
 
 
+LINES = "product_id string, MONAT string, MENGE double, PREIS double, source_file string"
+
+
 def test_a_repeated_batch_or_file_leaves_the_same_table(spark, tmp_path):
     keyed = KeyedTable(spark, str(tmp_path / "keyed"))
-    lines = lambda data: spark.createDataFrame(data, "product_id string, MONAT string, MENGE double, PREIS double, source_file string")
+    lines = lambda data: spark.createDataFrame(data, LINES)
     keyed.add(lines([("A", "2023-01-01", 1.0, 2.0, "f1")]), 0)
     for _ in range(2):
         keyed.add(lines([("A", "2023-01-09", 9.0, 4.0, "f2"), ("B", "2023-01-01", 3.0, 1.0, "f2"), ("A", "2023-01-01", 1.0, 2.0, "f1")]), 1)
-    keyed.add(lines([("B", "2023-01-01", 3.0, 1.0, "f2")]), 2)
+    keyed.add(lines([("B", "2023-01-01", 3.0, 1.0, "f2"), ("A", "2023-01-09", 9.0, 4.0, "f2")]), 2)
     assert taken(keyed) == {("A", 1): (10.0, 3.0), ("B", 1): (3.0, 1.0)}
+    keyed.add(lines([("B", "2023-01-01", 4.0, 1.0, "f2")]), 2)  # the same name with other lines
+    assert taken(keyed) == {("A", 1): (10.0, 3.0), ("B", 1): (7.0, 1.0)}
+
+
+def units(keyed):
+    return sum(r.anz_produkt for r in keyed.read().collect())
+
+
+@pytest.mark.parametrize("fold", [False, True])
+def test_a_fresh_checkpoint_loses_and_doubles_nothing(spark, tmp_path, fold):
+    keyed = KeyedTable(spark, str(tmp_path / "keyed"))
+
+    def run(inbox, progress):
+        ingest(sales_stream(spark, str(tmp_path / inbox)), keyed, str(tmp_path / progress)).awaitTermination()
+        if fold:
+            keyed.compact()
+            keyed.expire()
+        return units(keyed)
+
+    line = lambda n: HEAD + f"A,,2023-01-05,{n},10\n"
+    write(tmp_path / "inbox/a.csv", line(2))
+    assert run("inbox", "one") == 2
+    write(tmp_path / "inbox/b.csv", line(3))
+    assert run("inbox", "one") == 5
+    assert run("inbox", "two") == 5  # the same files again
+    write(tmp_path / "later/c.csv", line(7))  # the old files archived, one new
+    assert run("later", "three") == 12
+    write(tmp_path / "later/a.csv", line(2))  # an old file back under its name
+    assert run("later", "three") == 12
+    write(tmp_path / "later/d.csv", line(2))  # equal lines under another name are other sales
+    assert run("later", "three") == 14
+
+
+def test_a_batch_that_dies_between_its_writes_does_not_count(spark, tmp_path):
+    keyed = KeyedTable(spark, str(tmp_path / "keyed"))
+    lines = lambda data: spark.createDataFrame(data, LINES)
+    batch = lines([("A", "2023-01-01", 1.0, 2.0, "f1")])
+    keyed.add(lines([("A", "2023-01-01", 4.0, 2.0, "f0")]), 0, run="x")
+    keyed.add(batch, 1, run="x")
+    remove(spark, f"{keyed.path}/ledger/run=run-x/batch=1")  # its parts are there, its ledger row is not
+    assert units(keyed) == 4
+    keyed.compact()
+    assert units(keyed) == 4
+    keyed.add(batch, 1, run="x")
+    assert units(keyed) == 5
+    keyed.compact()
+    spark.range(1).write.parquet(f"{keyed.path}/compacted/00000003/ledger")  # a compaction that died
+    assert units(keyed) == 5
+    assert keyed.expire() == 5 and units(keyed) == 5  # two batches of two folders, one compaction
+    keyed.add(batch, 1, run="x")  # a folded batch runs again
+    keyed.compact()
+    assert units(keyed) == 5
 
 
 def test_columns_are_taken_by_name(spark, tmp_path):
