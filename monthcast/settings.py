@@ -123,6 +123,11 @@ SNAPSHOT_LOG = T.StructType(
                 ]
             ),
         ),
+        T.StructField("bytes_written", T.LongType()),
+        T.StructField(
+            "manifest",
+            T.ArrayType(T.StructType([T.StructField("part", T.StringType()), T.StructField("folder", T.StringType())])),
+        ),
     ]
 )
 

@@ -10,7 +10,7 @@ from monthcast import settings as S
 from monthcast.operators import members as B
 from monthcast.operators.features import create_features
 from monthcast.plans import runs
-from monthcast.plans.build import full_build, incremental_update, load_hierarchy
+from monthcast.plans.build import fold, full_build, incremental_update, load_hierarchy
 from monthcast.plans.forecasts import export_all
 from monthcast.session import scratch_path
 from monthcast.sources import exports, sales
@@ -127,6 +127,32 @@ def test_update_equals_a_build_from_scratch(store, monthly, sold):
     assert load_hierarchy(store, 1).counts()["product_models"] == 5
 
 
+def test_versions_add_up_fold_and_expire(spark, monthly, sold):
+    """Updates write what arrived; many layers read as one table; folding and expiry change nothing that is read."""
+    store = SnapshotStore(spark, scratch_path(spark, "store"))
+    months = (15, 17, 18, 20)
+    full_build(store, lambda: monthly({p: v[: months[0]] for p, v in sold.items() if p != "P5"}), NOW, estimators={})
+    for k, m in enumerate(months[1:], 1):
+        some = {p: v[:m] for p, v in sold.items() if m == 20 or p in ("P1", "P2")}
+        incremental_update(store, lambda some=some: monthly(some), NOW + timedelta(days=k))
+    names = ["product_id", "MONAT", *S.SELECTED_FEATURES]
+    want = sorted(map(str, create_features(monthly(sold)).select(names).collect()))
+    seen = lambda: sorted(map(str, store.read_features().select(names).collect()))
+    assert seen() == want and [len(f) for f in store.manifest().values()] == [4, 1, 4, 4]
+    log = {r.version: r for r in store.log().collect()}
+    assert log[2].bytes_written < log[1].bytes_written and log[2].arrived_records == 4 and log[4].num_records == 120
+    assert spark.read.parquet(store.part_path(2, "features")).select("product_id").distinct().count() == 2
+    counts = load_hierarchy(store).counts()
+    spark.range(1).write.parquet(store.part_path(3, "left"))  # what a job that died has left
+    assert store.expire() == ["v00000001/category", "v00000002/category", "v00000003/category", "v00000003/left"]
+    assert seen() == want and store.has_parts()
+    assert fold(store, NOW) == 5 and seen() == want and load_hierarchy(store).counts() == counts
+    assert len(store.expire(keep=2)) == 0 and len(store.expire()) == 13 and store.expire() == []
+    assert seen() == want and store.has_parts() and not store.has_parts(4)
+    with pytest.raises(ValueError):
+        store.expire(0)
+
+
 def test_update_without_a_snapshot_builds_one(spark, monthly, sold):
     store = SnapshotStore(spark, scratch_path(spark, "store"))
     features, _ = incremental_update(store, lambda: monthly(sold), NOW, estimators={})
