@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from monthcast.llm.blocks import blocks, gather, pack, split, unpack
+from monthcast.llm.blocks import BLOCK_BYTES, blocks, gather, pack, split, unpack
 from monthcast.llm.tables import bounded_batches, partitions, stored_by
 
 SHARDS_PER_PARTITION = 4
@@ -55,10 +55,12 @@ class _Numbers(dict):
 STAGED = "kind string, block long, shard int, {id}, data binary"
 
 
-def _pretokens(batches: Iterator[pa.RecordBatch], pattern: str, shards: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _pretokens(
+    batches: Iterator[pa.RecordBatch], pattern: str, shards: int, schema: pa.Schema, most: int
+) -> Iterator[pa.RecordBatch]:
     """Rows 'doc', the positions of a document's pre-tokens in the block's word list, and 'word', that list by shard."""
     find = regex.compile(pattern).findall
-    for block, rest, rows in blocks(batches):
+    for block, rest, rows in blocks(batches, most):
         numbers = _Numbers()
         docs = [np.fromiter(map(numbers.__getitem__, find(row.decode())), np.uint32) for row in rows]
         count = np.bincount(np.concatenate(docs), minlength=len(numbers))
@@ -139,7 +141,13 @@ def _assemble(docs: pa.Table, answers: pa.Table, kind: pa.DataType, path: str |
 
 
 def encoded(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    decode: bool = False,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """id_col and ids, the token ids as little-endian unsigned 32-bit numbers, one row per row of ``docs``.
 
@@ -167,7 +175,7 @@ def encoded(
     schema = pa.schema(
         [("kind", pa.string()), ("block", pa.int64()), ("shard", pa.int32()), ("id", id_type), ("data", pa.binary())]
     )
-    sent = rows.mapInArrow(lambda batches: _pretokens(batches, pattern, shards, schema), STAGED.format(id=f"id {kind}"))
+    sent = rows.mapInArrow(lambda batches: _pretokens(batches, pattern, shards, schema, block_bytes), STAGED.format(id=f"id {kind}"))
     staged = stored_by(sent, "pretokens", "block", "kind")
     words = staged.where("kind = 'word'").select("shard", "block", "data")
     answers = words.groupBy("shard").applyInArrow(lambda t: _encode_shard(t, path), "block long, data binary")
@@ -204,9 +212,11 @@ def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return rows.mapInArrow(join, f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Digests of the ids and of the bytes decoded from them: id_col, n_tokens, ids_sha256, decoded_sha256."""
-    both = encoded(docs, path, pattern, id_col, text_col, decode=True)
+    both = encoded(docs, path, pattern, id_col, text_col, True, block_bytes)
     return both.select(
         id_col,
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

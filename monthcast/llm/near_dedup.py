@@ -245,6 +245,7 @@ def near_duplicates(
     bands_: int = BANDS,
     rows: int = ROWS,
     chunk: int = CHUNK,
+    band_chunk: int | None = None,
 ) -> DataFrame:
     """id_col, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -269,7 +270,7 @@ def near_duplicates(
        pairs is made: a unit has as many rows as members.
     5. Components of the links found, over all components of step 3.
 
-    Members of a band beyond BAND_CHUNK are dealt to parts, and units hold
+    Members of a band beyond ``band_chunk`` are dealt to parts, and units hold
     the parts two by two. A family of more texts of 0.68 to 0.8 similarity
     than that, without links, therefore costs rows in proportion to its size
     times its parts, and comparisons to its square.
@@ -280,7 +281,7 @@ def near_duplicates(
     values. Ids are whole numbers. No rows give no rows.
     """
     bounded_batches(docs.sparkSession)
-    size = bands_ * rows
+    size, band_chunk = bands_ * rows, band_chunk or BAND_CHUNK
     rows_ = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scan = stored(
         rows_.mapInArrow(
@@ -336,12 +337,12 @@ def near_duplicates(
     unsettled = F.when(F.col("low") == F.col("high"), F.col("chunks") > 1).otherwise(F.col("members") > 2)
     open_ = open_.where((F.col("parts") > 1) & unsettled).select(
         "band", F.col("m.component").alias("main"),
-        F.ceil(F.col("all") / BAND_CHUNK).cast("int").alias("n"),
-        F.ceil((F.col("all") - F.col("m.weight")) / BAND_CHUNK).cast("int").alias("strays"),
+        F.ceil(F.col("all") / band_chunk).cast("int").alias("n"),
+        F.ceil((F.col("all") - F.col("m.weight")) / band_chunk).cast("int").alias("strays"),
     )
     asked = seen.join(stored(open_, "open"), "band").withColumn("stray", F.col("component") != F.col("main"))
     asked = stored(asked, "asked")
-    buckets = 1 + asked.count() // (4 * BAND_CHUNK)
+    buckets = 1 + asked.count() // (4 * band_chunk)
     own = [F.pmod(F.xxhash64(F.lit(k), "node"), F.col(n)).cast("int") for k, n in ((1, "strays"), (2, "n"))]
     role = lambda i, j, asks, asked: F.struct(
         i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"), F.lit(asked).alias("asked")
