@@ -9,6 +9,12 @@ from monthcast.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from monthcast.llm.tables import stored, table
 
 
+#: Python workers live through all stages and keep what they once held, so
+#: the stages work in smaller pieces than the queries. Results are the same.
+SMALL_UNITS = 1024
+SMALL_BLOCKS = 6 << 20
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier does not reject."""
     return quality.without_rejected(docs)
@@ -21,7 +27,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return near_dedup.without_near_duplicates(docs, length=5)
+    return near_dedup.without_near_duplicates(docs, length=5, band_chunk=SMALL_UNITS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +38,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, block_bytes=SMALL_BLOCKS)
 
 
 STAGES = [
