@@ -42,6 +42,11 @@ def scaled(v: np.ndarray) -> np.ndarray:
     return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
 
 
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up from the first component to the last, so that any engine can restate them."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     """Vectors of length 1."""
     v = scaled(v)
@@ -78,7 +83,7 @@ class Block:
         number = lambda k: rows[k].to_numpy().astype(np.float32)
         self.id = rows["id"].to_numpy()
         self.vector = scaled(_binary(rows["vector"], np.float64, dims))
-        self.square = (self.vector * self.vector).sum(axis=1)
+        self.square = dots(self.vector, self.vector)
         bits = np.unpackbits(_binary(rows["code"], np.uint8, (dims + 7) // 8), axis=1, count=dims)
         self.sign = np.where(bits, np.float32(1), np.float32(-1))
         size, aligned = number("size"), rows["aligned"].to_numpy()
@@ -116,11 +121,11 @@ class Block:
                 yield int(ids[low + i]), self.id[r[own]], score[own]
 
     def _exact(self, vector: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """Cosines of vectors q with rows r. A pair's sum does not depend on the pairs beside it."""
-        square, out = (vector * vector).sum(axis=1), np.zeros(len(q))
+        """Cosines of vectors q with rows r."""
+        square, out = dots(vector, vector), np.zeros(len(q))
         for i in range(0, len(q), PAIRS):
             a, b = q[i : i + PAIRS], r[i : i + PAIRS]
-            out[i : i + PAIRS] = (vector[a] * self.vector[b]).sum(axis=1) / np.sqrt(square[a] * self.square[b])
+            out[i : i + PAIRS] = dots(vector[a], self.vector[b]) / np.sqrt(square[a] * self.square[b])
         return out
 
 
