@@ -132,7 +132,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archived_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """The pages written as records and read back; an unverified payload has a null digest."""
+    """The pages written as records and read back; an unverified payload has a null digest.
+
+    Every record is rebuilt, and its exact bytes are measured: record_bytes, record_sha256.
+    """
     path = scratch_path(spark, "warc")
     write_archive(table(spark, sf, "pages"), path)
     return read_records(spark, path).select(
@@ -141,4 +144,6 @@ def archived_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("verified"), F.col("payload_digest")).alias("payload_digest"),
         "record_type",
         "refers_to",
+        F.octet_length("record").cast("long").alias("record_bytes"),
+        F.sha2("record", 256).alias("record_sha256"),
     )

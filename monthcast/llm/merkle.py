@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 
 from monthcast.llm.tables import partitions
 
-#: A paragraph is a line; a longer one is cut after this many code points.
-PIECE = 32
-#: Leaves of one section.
-SECTION = 16
+#: A paragraph is a line. A longer one is cut after a space that follows one of these letters, so an edit moves no
+#: later cut; a stretch without such a place is cut after MOST code points.
+CUTS = "aeost"
+MOST = 128
+PIECES = rf"[^\n]{{0,{MOST - 2}}}?(?:[{CUTS}] |\n)|[^\n]{{1,{MOST}}}"
+#: A section ends after a leaf whose digest starts so: one of 16 leaves, chosen by content.
+ENDS = "0"
 
 
 def leaves(text: Column) -> Column:
     """Digests of the paragraphs in order, long ones in pieces. Empty or null text has none."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\n]{{1,{PIECE}}}\n?|\n"), F.lit(0))
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0))
     return F.transform(pieces, lambda p: F.substring(F.md5(p.cast("binary")), 1, 16))
 
 
 def sections(leaf: Column) -> Column:
-    """Digests of runs of ``SECTION`` leaves."""
-    starts = F.when(F.size(leaf) > 0, F.sequence(F.lit(0), F.floor((F.size(leaf) - 1) / SECTION).cast("int")))
-    starts = F.coalesce(starts, F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.sha2(F.array_join(F.slice(leaf, i * SECTION + 1, F.lit(SECTION)), ""), 256))
+    """Digests of runs of leaves, each up to a leaf that ends a section or the last one."""
+    places = F.transform(leaf, lambda x, i: F.when(x.startswith(ENDS) | (i == F.size(leaf) - 1), i + 1))
+    ends = F.filter(places, lambda i: i.isNotNull())
+    starts = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends))
+    return F.zip_with(starts, ends, lambda s, e: F.sha2(F.array_join(F.slice(leaf, s + 1, e - s), ""), 256))
 
 
 def root(section: Column) -> Column:
@@ -39,11 +43,10 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * both / total)
 
 
-def differing_sections(a: Column, b: Column) -> Column:
-    """Numbers, from 0, of the sections that differ between two trees."""
-    most = F.greatest(F.size(a), F.size(b))
-    numbers = F.coalesce(F.when(most > 0, F.sequence(F.lit(0), most - 1)), F.array().cast("array<int>"))
-    return F.filter(numbers, lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
+def differing_sections(section: Column, absent: Column) -> Column:
+    """Numbers, from 0, of the sections that are among ``absent``: with those another tree lacks, where the two differ."""
+    places = F.transform(section, lambda x, i: F.when(F.array_contains(absent, x), i))
+    return F.filter(places, lambda i: i.isNotNull())
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,8 +95,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has its last floor(n_chars / 2) code points replaced by
     the first as many, or all, of the next row's text (``with_next``).
     Columns: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, edited_sections (numbers of the sections that
-    differ). Null text counts as empty, and empty texts are alike; a single
+    near_edited, near_next, n_edited_sections (distinct sections of the edited
+    text that the original lacks), edited_sections (their numbers in the
+    edited text, from 0). Null text counts as empty, and empty texts are alike; a single
     row is its own next. Repeated rows each give a row.
     """
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.char_length("text").cast("long"))
@@ -111,6 +115,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.select(
         "*", sections(F.col("a")).alias("sa"), sections(F.col("b")).alias("sb")
     )
+    # A column of its own: inside the function over sections it would be found anew for each.
+    rows = rows.withColumn("absent", F.array_except("sb", "sa"))
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",
@@ -119,5 +125,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         root(F.col("sb")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"),
         likeness(F.col("a"), F.col("c")).alias("near_next"),
-        differing_sections(F.col("sa"), F.col("sb")).alias("edited_sections"),
+        F.size("absent").alias("n_edited_sections"),
+        differing_sections(F.col("sb"), F.col("absent")).alias("edited_sections"),
     )

@@ -40,16 +40,27 @@ def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "op3_warc_archive",
-    """
+    r"""
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes,
+  SELECT page_id, url, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes,
          sha256(coalesce(html, '')) AS payload_digest
   FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
-FROM f""",
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first AS again FROM f),
+w AS (
+  SELECT *, 'WARC/1.1' || n || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || n
+    || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none') || '>' || n
+    || 'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\r\n]+', ' ', 'g') || n
+    || 'WARC-Date: 1970-01-01T00:00:00Z' || n || 'WARC-Payload-Digest: sha256:' || payload_digest || n
+    || CASE WHEN again THEN 'WARC-Refers-To: <urn:page:' || coalesce(CAST(first AS VARCHAR), 'none') || '>' || n
+         || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || n ELSE '' END
+    || 'Content-Type: text/html' || n
+    || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE payload_bytes END || n || n
+    || CASE WHEN again THEN '' ELSE body END || n || n AS record
+  FROM r, (SELECT chr(13) || chr(10) AS n))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to, strlen(record) AS record_bytes, sha256(record) AS record_sha256
+FROM w""",
 )
 def op3_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
     return archive.archived_pages(spark, sf)
@@ -147,28 +158,36 @@ o AS (
 e AS (SELECT *, left(t, n - n // 2) || left(nx, n // 2) AS ed FROM o),
 l AS (
   SELECT doc_id, n, ed,
-         list_transform(regexp_extract_all(t, '[^\n]{{1,{merkle.PIECE}}}\n?|\n'), lambda x: md5(x)[1:16]) AS a,
-         list_transform(regexp_extract_all(ed, '[^\n]{{1,{merkle.PIECE}}}\n?|\n'), lambda x: md5(x)[1:16]) AS b,
-         list_transform(regexp_extract_all(nx, '[^\n]{{1,{merkle.PIECE}}}\n?|\n'), lambda x: md5(x)[1:16]) AS c
+         list_transform(regexp_extract_all(t, '{merkle.PIECES}'), lambda x: md5(x)[1:16]) AS a,
+         list_transform(regexp_extract_all(ed, '{merkle.PIECES}'), lambda x: md5(x)[1:16]) AS b,
+         list_transform(regexp_extract_all(nx, '{merkle.PIECES}'), lambda x: md5(x)[1:16]) AS c
   FROM e),
+m AS (
+  SELECT *, list_filter(range(1, len(a) + 1), lambda i: a[i][1] = '{merkle.ENDS}' OR i = len(a)) AS ea,
+         list_filter(range(1, len(b) + 1), lambda i: b[i][1] = '{merkle.ENDS}' OR i = len(b)) AS eb
+  FROM l),
 s AS (
   SELECT *,
-         list_transform(range((len(a) + {merkle.SECTION - 1}) // {merkle.SECTION}),
-           lambda i: sha256(list_aggregate(a[i * {merkle.SECTION} + 1:i * {merkle.SECTION} + {merkle.SECTION}], 'string_agg', ''))) AS sa,
-         list_transform(range((len(b) + {merkle.SECTION - 1}) // {merkle.SECTION}),
-           lambda i: sha256(list_aggregate(b[i * {merkle.SECTION} + 1:i * {merkle.SECTION} + {merkle.SECTION}], 'string_agg', ''))) AS sb
-  FROM l)
+         list_transform(range(1, len(ea) + 1), lambda k:
+           sha256(list_aggregate(a[CASE WHEN k > 1 THEN ea[k - 1] ELSE 0 END + 1:ea[k]], 'string_agg', ''))) AS sa,
+         list_transform(range(1, len(eb) + 1), lambda k:
+           sha256(list_aggregate(b[CASE WHEN k > 1 THEN eb[k - 1] ELSE 0 END + 1:eb[k]], 'string_agg', ''))) AS sb
+  FROM m),
+x AS (SELECT *, list_filter(range(len(sb)), lambda i: NOT list_contains(sa, sb[i + 1])) AS news FROM s)
 SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256,
        sha256(coalesce(list_aggregate(sa, 'string_agg', ''), '')) AS fingerprint,
        sha256(coalesce(list_aggregate(sb, 'string_agg', ''), '')) AS edited_fingerprint,
        CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE
          2.0::DOUBLE * len(list_intersect(a, b)) / (len(list_distinct(a)) + len(list_distinct(b))) END AS near_edited,
        CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE
-         2.0::DOUBLE * len(list_intersect(a, c)) / (len(list_distinct(a)) + len(list_distinct(c))) END AS near_next
-FROM s""",
+         2.0::DOUBLE * len(list_intersect(a, c)) / (len(list_distinct(a)) + len(list_distinct(c))) END AS near_next,
+       CAST(len(list_distinct(list_transform(news, lambda i: sb[i + 1]))) AS INTEGER) AS n_edited_sections,
+       array_to_string(news, ',') AS edited_sections
+FROM x""",
 )
 def op10_merkle_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    return merkle.edited_fingerprints(table(spark, sf, "documents")).drop("edited_sections")
+    rows = merkle.edited_fingerprints(table(spark, sf, "documents"))
+    return rows.withColumn("edited_sections", F.array_join("edited_sections", ","))
 
 
 @query(
