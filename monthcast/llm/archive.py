@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthcast.llm.tables import stored, table
+from monthcast.llm.tables import by_key, stored, table
 from monthcast.session import scratch_path
 
 #: Smaller payloads are written as responses even where an equal one exists.
 LEAST_REVISIT_BYTES = 100
+#: Payloads up to this size travel to the records that hold them; records come to longer ones.
+SHORT_BYTES = 1024
 
 # Field names and constants of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -75,16 +77,24 @@ def records(
     return headers, payloads
 
 
-def write_archive(pages: DataFrame, path: str, **options) -> None:
-    """Write both tables below ``path``. A folder that exists is an error."""
+def write_archive(pages: DataFrame, path: str, **options) -> DataFrame:
+    """Write both tables below ``path``. A folder that exists is an error.
+
+    Returns the payloads as they are stored, bucketed by digest, which this
+    session joins without moving them. Any session reads the files.
+    """
     headers, payloads = records(pages, **options)
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
-    payloads.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    return by_key(payloads, "payloads", "digest", path=f"{path}/payloads")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """digest, payload, and what is measured on the stored bytes: payload_bytes, payload_digest."""
-    return spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads").select(
+    return _measured(spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads"))
+
+
+def _measured(payloads: DataFrame) -> DataFrame:
+    return payloads.select(
         "digest",
         "payload",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -97,28 +107,29 @@ def _value(name: str) -> Column:
     return F.when(found != "", found)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The original records, headers joined with payloads by digest.
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """header and digest as stored, and what the header bytes say.
 
-    Columns: page_id, uri, record_type, refers_to from the header bytes;
-    payload, payload_bytes, payload_digest from the stored payload, also for
-    revisits; verified, whether the stored bytes have the digest the header
-    names; record, the exact bytes of the WARC record. Columns a query does
-    not ask for, such as the bytes, do not take part in the join.
+    page_id, uri, record_type, refers_to, content_length, and named, the
+    digest in the header.
     """
     headers = spark.read.schema("header binary, digest string").parquet(f"{path}/headers")
     number = r"^<urn:page:(-?\d+)>$"
-    parsed = headers.select(
+    return headers.select(
         "header",
         "digest",
         F.regexp_extract(_value("WARC-Record-ID"), number, 1).try_cast("long").alias("page_id"),
         _value("WARC-Target-URI").alias("uri"),
         _value("WARC-Type").alias("record_type"),
         F.regexp_extract(_value("WARC-Refers-To"), number, 1).try_cast("long").alias("refers_to"),
+        _value("Content-Length").try_cast("long").alias("content_length"),
         F.regexp_replace(_value("WARC-Payload-Digest"), "^sha256:", "").alias("named"),
     )
+
+
+def _rebuilt(joined: DataFrame) -> DataFrame:
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return parsed.join(read_payloads(spark, path), "digest", "left").select(
+    return joined.select(
         "page_id",
         "uri",
         "record_type",
@@ -131,14 +142,43 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The original records, headers joined with payloads by digest.
+
+    Columns: page_id, uri, record_type, refers_to from the header bytes;
+    payload, payload_bytes, payload_digest from the stored payload, also for
+    revisits; verified, whether the stored bytes have the digest the header
+    names; record, the exact bytes of the WARC record. Columns a query does
+    not ask for, such as the bytes, do not take part in the join.
+    """
+    return _rebuilt(read_headers(spark, path).join(read_payloads(spark, path), "digest", "left"))
+
+
+def rebuilt_records(spark: SparkSession, path: str, payloads: DataFrame) -> DataFrame:
+    """The records of ``read_records`` without a revisit's payload, which its record does not hold.
+
+    ``payloads`` is what ``write_archive`` returned. Responses, one for each
+    payload but for repeated ids, come to the long payloads in their buckets.
+    All other records, of which one digest may have any number, take sizes,
+    digests and short payloads, in a plain join that Spark can split. The
+    record of a short response whose stored bytes have become long is null.
+    """
+    headers = read_headers(spark, path)
+    long = F.coalesce((F.col("record_type") == "response") & (F.col("content_length") > SHORT_BYTES), F.lit(False))
+    short = F.when(F.col("payload_bytes") <= SHORT_BYTES, F.col("payload"))
+    light = read_payloads(spark, path).withColumn("payload", short)
+    whole = _rebuilt(headers.where(long).join(_measured(payloads), "digest", "left"))
+    return whole.unionByName(_rebuilt(headers.where(~long).join(light, "digest", "left")))
+
+
 def archived_pages(spark: SparkSession, sf: str) -> DataFrame:
     """The pages written as records and read back; an unverified payload has a null digest.
 
     Every record is rebuilt, and its exact bytes are measured: record_bytes, record_sha256.
     """
     path = scratch_path(spark, "warc")
-    write_archive(table(spark, sf, "pages"), path)
-    return read_records(spark, path).select(
+    payloads = write_archive(table(spark, sf, "pages"), path)
+    return rebuilt_records(spark, path, payloads).select(
         "page_id",
         "payload_bytes",
         F.when(F.col("verified"), F.col("payload_digest")).alias("payload_digest"),

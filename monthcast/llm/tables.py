@@ -31,9 +31,14 @@ def stored_by(df: DataFrame, name: str, key: str, *parts: str) -> DataFrame:
     There are as many buckets as shuffle partitions, so the other side of a
     join meets them without a new shuffle of this one.
     """
+    return by_key(df, name, key, *parts, path=scratch_path(df.sparkSession, name))
+
+
+def by_key(df: DataFrame, name: str, key: str, *parts: str, path: str) -> DataFrame:
+    """``stored_by`` in a folder that the caller names."""
     spark = df.sparkSession
     found = f"{name}_{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd").option("path", scratch_path(spark, name))
+    writer = df.write.option("compression", "zstd").option("path", path)
     if parts:
         writer = writer.partitionBy(*parts)
     writer.bucketBy(partitions(spark), key).saveAsTable(found)

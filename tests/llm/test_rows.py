@@ -73,8 +73,11 @@ def test_records_come_back(spark, pages, tmp_path):
     big = "<p>é</p>" * 50
     rows = [(4, "u4", big), (2, "u\r\n2", big), (9, None, big), (1, "u1", "small"), (3, "u3", "small"), (5, "u5", None),
             (6, "u6", ""), (2, "again", big), (None, "none", big), (7, "u7", LONG)]
-    archive.write_archive(pages(rows), str(tmp_path / "a"))
+    payloads = archive.write_archive(pages(rows), str(tmp_path / "a"))
     got = archive.read_records(spark, str(tmp_path / "a")).collect()
+    columns = ["page_id", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "verified", "record"]
+    rebuilt = archive.rebuilt_records(spark, str(tmp_path / "a"), payloads)
+    assert sorted(str([r[c] for c in columns]) for r in got) == sorted(str([r[c] for c in columns]) for r in rebuilt.collect())
     assert len(got) == len(rows) and all(r.verified for r in got)
     assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 4
     by_uri = {r.uri: r for r in got}
@@ -102,6 +105,19 @@ def test_no_pages(spark, pages, tmp_path):
     assert archive.read_records(spark, str(tmp_path / "a")).count() == 0
 
 
+def test_long_payloads_stay_where_they_are(spark, pages, tmp_path):
+    """The payload table takes part in the join of long responses without an exchange."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        payloads = archive.write_archive(pages([(i, f"u{i}", f"{i} " * 2000) for i in range(9)]), str(tmp_path / "a"))
+        frame = archive.rebuilt_records(spark, str(tmp_path / "a"), payloads)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert frame.where("length(record) > 2000 and verified").count() == 9
+
+
 # --- mixing ------------------------------------------------------------------------
 
 
