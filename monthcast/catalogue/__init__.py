@@ -5,6 +5,7 @@ from monthcast.catalogue import (  # noqa: F401
     ensembles,
     features,
     forecasts,
+    holdout,
     joins,
     jobs,
     quality,
