@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from monthcast.catalogue.registry import (
     FACT,
     LINES,
+    SNAPSHOT_END,
     SPARSE,
     fact,
     query,
@@ -16,6 +17,7 @@ from monthcast.catalogue.registry import (
     table,
 )
 from monthcast.operators import quality as Q
+from monthcast.session import materialize
 from monthcast.sources.snapshots import snapshot_freshness
 
 
@@ -122,8 +124,7 @@ def _marked_sql(c: str) -> str:
     return f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
 
 
-@query(
-    "q8_content_fingerprint",
+FINGERPRINT = (
     LINES
     + f""",
 hashes AS (
@@ -133,13 +134,25 @@ buckets AS (
   FROM hashes GROUP BY bucket)
 SELECT md5(string_agg(bucket || ':' || n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3, ','
            ORDER BY bucket)) AS fingerprint
-FROM buckets""",
+FROM buckets"""
 )
+
+
+@query("q8_content_fingerprint", FINGERPRINT)
 def q8(spark, sf):
     columns = ["product_id", "MONAT", "MENGE", "l_returnflag"]
     return Q.content_fingerprint(sales_lines(spark, sf), columns)
 
 
+@query("q8_fingerprint_of_arrivals", FINGERPRINT)
+def q8_arrivals(spark, sf):
+    """Sums kept for the lines before a date, and those of the lines since, give the fingerprint of all."""
+    columns = ["product_id", "MONAT", "MENGE", "l_returnflag"]
+    lines, later = sales_lines(spark, sf), F.col("MONAT") >= F.lit(SNAPSHOT_END).cast("date")
+    kept = materialize(Q.fingerprint_sums(lines.where(~later), columns), "sums")
+    return Q.fingerprint_of(Q.added_sums(kept.unionByName(Q.fingerprint_sums(lines.where(later), columns))))
+
+
 @query(
     "q9_snapshot_freshness",
     """

@@ -122,18 +122,20 @@ def _marked(text: Column) -> Column:
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
-def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One md5 that is equal exactly when two tables hold the same rows.
+SUMS = ("n", *[f"s{i}" for i in range(LANES)])
+
+
+def fingerprint_sums(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """At most 4096 rows (bucket, n, s0..): the rows' hashes summed by their leading digits.
 
-    Every row is hashed; the hashes are summed by their leading digits, which
-    ignores row order but not copies, and the at most 4096 sums are hashed
-    together. Seven digits a lane leave room for 10^14 rows. Only those sums leave the executors' partial aggregates.
+    Sums of two tables add up to those of both (``added_sums``), so what
+    arrives is hashed alone. Seven digits a lane leave room for 10^14 rows.
     Every value stands after its length, and null has a mark of its own, so
     values cannot run into each other.
     """
     columns = list(columns or df.columns)
     digest = F.md5(F.concat(*[_marked(F.col(c).cast("string")) for c in columns]).cast("binary"))
-    buckets = (
+    return (
         df.select(digest.alias("h"))
         .groupBy(F.substring("h", 1, HASH_BUCKET_DIGITS).alias("bucket"))
         .agg(
@@ -141,7 +143,25 @@ def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) ->
             *[F.sum(_lane(F.col("h"), i)).alias(f"s{i}") for i in range(LANES)],
         )
     )
-    line = F.concat_ws(":", "bucket", "n", *[f"s{i}" for i in range(LANES)])
-    return buckets.agg(
+
+
+def added_sums(sums: DataFrame) -> DataFrame:
+    """Sums of several tables, one below the other, as those of all their rows."""
+    return sums.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def fingerprint_of(sums: DataFrame) -> DataFrame:
+    """The md5 of the at most 4096 sums, which is all that leaves the executors."""
+    line = F.concat_ws(":", "bucket", *SUMS)
+    return sums.agg(
         F.md5(F.array_join(F.sort_array(F.collect_list(line)), ",").cast("binary")).alias("fingerprint")
     )
+
+
+def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One md5 that is equal exactly when two tables hold the same rows.
+
+    Every row is hashed; the hashes are summed (``fingerprint_sums``), which
+    ignores row order but not copies, and the sums are hashed together.
+    """
+    return fingerprint_of(fingerprint_sums(df, columns))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from monthcast import settings as S
 from monthcast.operators import members as B
 from monthcast.operators.features import create_features
+from monthcast.operators.quality import content_fingerprint
 from monthcast.plans import runs
 from monthcast.plans.build import fold, full_build, incremental_update, load_hierarchy
 from monthcast.plans.forecasts import export_all
@@ -138,21 +139,35 @@ def test_versions_add_up_fold_and_expire(spark, monthly, sold):
     names = ["product_id", "MONAT", *S.SELECTED_FEATURES]
     want = sorted(map(str, create_features(monthly(sold)).select(names).collect()))
     seen = lambda: sorted(map(str, store.read_features().select(names).collect()))
-    assert seen() == want and [len(f) for f in store.manifest().values()] == [4, 1, 4, 4]
+    assert seen() == want and {p: len(f) for p, f in store.manifest().items()} == {
+        "base": 4, "category": 1, "features": 4, "models": 4, "sums": 4,
+    }
     log = {r.version: r for r in store.log().collect()}
     assert log[2].bytes_written < log[1].bytes_written and log[2].arrived_records == 4 and log[4].num_records == 120
     assert spark.read.parquet(store.part_path(2, "features")).select("product_id").distinct().count() == 2
+    whole = {v: content_fingerprint(store.read_part("base", v)).first()[0] for v in log}
+    assert {v: r.fingerprint for v, r in log.items()} == whole and len(set(whole.values())) == 4
     counts = load_hierarchy(store).counts()
     spark.range(1).write.parquet(store.part_path(3, "left"))  # what a job that died has left
     assert store.expire() == ["v00000001/category", "v00000002/category", "v00000003/category", "v00000003/left"]
     assert seen() == want and store.has_parts()
     assert fold(store, NOW) == 5 and seen() == want and load_hierarchy(store).counts() == counts
-    assert len(store.expire(keep=2)) == 0 and len(store.expire()) == 13 and store.expire() == []
+    assert len(store.expire(keep=2)) == 0 and len(store.expire()) == 17 and store.expire() == []
     assert seen() == want and store.has_parts() and not store.has_parts(4)
     with pytest.raises(ValueError):
         store.expire(0)
 
 
+def test_fingerprint_of_an_update_with_another_column(spark, monthly, sold):
+    """Rows of before get a null in it, so all are hashed again."""
+    store = SnapshotStore(spark, scratch_path(spark, "store"))
+    full_build(store, lambda: monthly({p: v[:15] for p, v in sold.items()}), NOW, estimators={})
+    incremental_update(store, lambda: monthly(sold).withColumn("note", F.lit("n")), NOW + timedelta(days=1))
+    base = store.read_part("base")
+    assert "note" in base.columns and len(store.manifest()["sums"]) == 1
+    assert store.log().where("version = 2").first().fingerprint == content_fingerprint(base).first()[0]
+
+
 def test_update_without_a_snapshot_builds_one(spark, monthly, sold):
     store = SnapshotStore(spark, scratch_path(spark, "store"))
     features, _ = incremental_update(store, lambda: monthly(sold), NOW, estimators={})
