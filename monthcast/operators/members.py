@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from monthcast.functions.skew import salted_lookup
 from monthcast.operators.features import check_columns
 from monthcast.operators.folds import FOLDS
+from monthcast.session import materialize, scratch_root
 
 BASELINES = ("naive", "seasonal_naive", "rolling_mean", "linear")
 
@@ -149,10 +150,16 @@ def with_linear_member(
 
 # --- Spark ML members ----------------------------------------------------------
 
+#: The trained columns in order, as one vector.
+VECTOR = "_features"
+
 
 @dataclass(frozen=True)
 class TreeParameters:
-    """Sizes of the tree members; the defaults are the tuned values."""
+    """Sizes of the tree members; the defaults are the tuned values.
+
+    The tuned column share is drawn anew for every node, not once a tree.
+    """
 
     # fixed values
     boosted_a: Mapping = field(
@@ -161,6 +168,7 @@ class TreeParameters:
             "maxDepth": 10,
             "stepSize": 0.10487662447025792,
             "subsamplingRate": 0.8493831368447333,
+            "featureSubsetStrategy": "0.9578410352643851",
             "seed": 42,
         }
     )
@@ -170,18 +178,25 @@ class TreeParameters:
             "maxDepth": 9,
             "stepSize": 0.1594880549905189,
             "subsamplingRate": 0.829623127594056,
+            "featureSubsetStrategy": "0.9945381025198837",
             "seed": 42,
         }
     )
     forest: Mapping = field(default_factory=lambda: {"numTrees": 200, "maxDepth": 10, "seed": 42})
 
 
+#: Rows keep the node they reached, so that a level does not walk every tree
+#: from its root again; that and boosting's residuals grow a lineage, which is
+#: cut every so many rounds.
+GROWING = {"cacheNodeIds": True, "checkpointInterval": 10}
+
+
 def tree_estimators(parameters: TreeParameters = TreeParameters()) -> dict[str, Estimator]:
     """The boosted and forest members by name."""
     return {
-        "boosted_a": GBTRegressor(**parameters.boosted_a),
-        "boosted_b": GBTRegressor(**parameters.boosted_b),
-        "forest": RandomForestRegressor(**parameters.forest),
+        "boosted_a": GBTRegressor(**GROWING, **parameters.boosted_a),
+        "boosted_b": GBTRegressor(**GROWING, **parameters.boosted_b),
+        "forest": RandomForestRegressor(**GROWING, **parameters.forest),
     }
 
 
@@ -189,25 +204,55 @@ def global_linear() -> Estimator:
     return LinearRegression(regParam=0.0)
 
 
+def _assembler(features: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(features), outputCol=VECTOR)
+
+
+def assembled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The rows with their trained columns as one vector, written for the many fits that read them.
+
+    A fit works for long on few bytes, so a table too small to be read in
+    as many tasks as the cluster has cores is dealt out to that many.
+    """
+    check_columns(rows, features)
+    vectors = _assembler(features).transform(rows).drop(*features)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        vectors = vectors.repartition(cores, *[c for c in ("product_id", "MONAT") if c in vectors.columns])
+    return materialize(vectors, "assembled")
+
+
 def fit_member(
     train: DataFrame, estimator: Estimator, features: Sequence[str], output: str, y: str = "y"
 ) -> Model:
-    """Assemble the trained columns in order and fit; absent ones are an error."""
-    check_columns(train, features)
-    assembler = VectorAssembler(inputCols=list(features), outputCol=f"_{output}_in")
-    regressor = estimator.copy()
-    regressor.setFeaturesCol(f"_{output}_in").setLabelCol(y).setPredictionCol(output)
-    return Pipeline(stages=[assembler, regressor]).fit(train)
+    """Fit on assembled rows, or on plain ones, whose columns are assembled in order; absent ones are an error.
+
+    The estimator may be any of Spark ML's or a user's own with the three
+    usual columns (features, label, prediction); its fitted model is stored
+    with the others if it can write and read itself.
+    """
+    assembler = _assembler(features)
+    if VECTOR not in train.columns:
+        check_columns(train, features)
+        train = assembler.transform(train)
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_root(train.sparkSession))
+    columns = {estimator.featuresCol: VECTOR, estimator.labelCol: y, estimator.predictionCol: output}
+    return PipelineModel([assembler, estimator.fit(train, columns)])
 
 
 def predict_member(model: Model, rows: DataFrame, output: str) -> DataFrame:
-    return model.transform(rows).drop(f"_{output}_in")
+    """The rows with a member's prediction; rows that are assembled already are not assembled again."""
+    if VECTOR in rows.columns:
+        return model.stages[-1].transform(rows)
+    return model.transform(rows).drop(model.stages[0].getOutputCol())
 
 
 def member_importance(model: Model, features: Sequence[str]) -> list[tuple[str, float]]:
-    """(feature, importance) of a fitted member, coefficients by size."""
+    """(feature, importance) of a fitted member, coefficients by size; 0 where a model has neither."""
     fitted = model.stages[-1]
     values = getattr(fitted, "featureImportances", None)
     if values is None:
-        values = [abs(c) for c in fitted.coefficients]
+        values = [abs(c) for c in getattr(fitted, "coefficients", np.zeros(len(features)))]
     return [(f, float(values[i])) for i, f in enumerate(features)]

@@ -11,7 +11,9 @@ from monthcast.operators import ensemble as E
 from monthcast.operators import features as T
 from monthcast.operators import members as B
 from monthcast.operators.folds import fold_ranges, with_folds, with_level_keys, time_rank
-from monthcast.plans.training import fit_hierarchy
+from monthcast.operators.calendar_member import CalendarMeans
+from monthcast.plans.training import HierarchicalModel, fit_hierarchy
+from monthcast.sources.models import changed_nodes, load_models, save_models, tree_nodes
 
 TREES = B.TreeParameters(
     boosted_a={"maxIter": 2, "maxDepth": 3, "seed": 1},
@@ -134,3 +136,109 @@ def test_hierarchy(monthly):
     assert all(abs(r.s - 1) < 1e-9 for r in shares)
     with pytest.raises(ValueError):
         model.predict(rows.drop("trend_6"))
+
+
+def test_vectors_are_written_once_and_dealt_out(monthly):
+    features = ["a", "b"]
+    rows = monthly({"P": range(30)}).selectExpr("product_id", "MONAT", "anz_produkt AS y", "anz_produkt AS a", "-anz_produkt AS b")
+    ready = B.assembled(rows.coalesce(1), features)
+    assert ready.columns == ["product_id", "MONAT", "y", B.VECTOR]
+    assert ready.inputFiles() and {tuple(r[B.VECTOR]) for r in ready.collect()} == {(float(i), -float(i)) for i in range(30)}
+    spread = B.assembled(monthly({f"P{i}": range(9) for i in range(50)}).selectExpr("product_id", "MONAT", "anz_produkt AS a").coalesce(1), ["a"])
+    assert spread.count() == 450 and len(spread.inputFiles()) > 4
+
+
+def test_assembled_and_plain_rows_give_the_same_member(monthly):
+    rows = monthly({"P": [3, 1, 4, 1, 5, 9, 2, 6]}).selectExpr("product_id", "MONAT", "anz_produkt AS y", "month(MONAT) * 1.0 AS a")
+    ready = B.assembled(rows, ["a"])
+    one, two = (B.fit_member(t, B.global_linear(), ["a"], "m") for t in (rows, ready))
+    want = [r.m for r in B.predict_member(one, rows, "m").orderBy("MONAT").collect()]
+    assert [r.m for r in B.predict_member(two, ready, "m").orderBy("MONAT").collect()] == pytest.approx(want)
+    assert B.predict_member(two, rows, "m").columns == [*rows.columns, "m"]
+
+
+def test_tuned_share_and_checkpoints():
+    made = B.tree_estimators()
+    assert made["boosted_a"].getFeatureSubsetStrategy() == "0.9578410352643851"
+    assert made["boosted_b"].getFeatureSubsetStrategy() == "0.9945381025198837"
+    assert all(e.getCheckpointInterval() > 0 and e.getCacheNodeIds() for e in made.values())
+
+
+def test_boosting_over_several_checkpoints(spark, monthly):
+    rng = np.random.default_rng(3)
+    rows = monthly({f"P{i}": rng.integers(1, 60, 20).tolist() for i in range(4)})
+    rows = rows.selectExpr("product_id", "MONAT", "anz_produkt AS y", "month(MONAT) * 1.0 AS a", "anz_produkt * 0.5 AS b")
+    ready = B.assembled(rows, ["a", "b"])
+    sizes = B.TreeParameters(boosted_a={"maxIter": 25, "maxDepth": 3, "stepSize": 0.2, "featureSubsetStrategy": "0.9", "seed": 1})
+    model = B.fit_member(ready, B.tree_estimators(sizes)["boosted_a"], ["a", "b"], "m")
+    assert spark.sparkContext.getCheckpointDir()
+    error = B.predict_member(model, ready, "m").agg(F.avg(F.abs(F.col("m") - F.col("y")))).first()[0]
+    plain = ready.agg(F.mean(F.abs(F.col("y") - ready.agg(F.avg("y").alias("m")).scalar()))).first()[0]
+    assert model.stages[-1].getNumTrees == 25 and error < plain / 2
+
+
+@pytest.fixture
+def stored_trees(spark, monthly, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = monthly({f"P{i}": rng.integers(1, 60, 20).tolist() for i in range(4)})
+    ready = B.assembled(rows.selectExpr("product_id", "MONAT", "anz_produkt AS y", "month(MONAT) * 1.0 AS a"), ["a"])
+    made = B.tree_estimators(TREES)
+    members = {n: B.fit_member(ready, made[n], ["a"], n) for n in ("forest", "boosted_a")}
+    path = f"{tmp_path}/first"
+    save_models(spark, path, members, {}, ["a"])
+    return members, path
+
+
+def test_stored_trees_node_by_node(spark, stored_trees, tmp_path):
+    members, path = stored_trees
+    loaded, _, _ = load_models(spark, path)
+    save_models(spark, f"{tmp_path}/second", loaded, {}, ["a"])
+    first, second = (tree_nodes(spark, p, list(members)) for p in (path, f"{tmp_path}/second"))
+    got = {r.member: r for r in changed_nodes(first, second).collect()}
+    assert {m: (r.trees, r.changed) for m, r in got.items()} == {"forest": (3, 0), "boosted_a": (2, 0)}
+    for name, model in members.items():
+        assert got[name].nodes == model.stages[-1].totalNumNodes
+    leaves = first.where("left < 0")
+    assert leaves.where("feature IS NOT NULL OR threshold IS NOT NULL").isEmpty()
+    assert first.where("left >= 0 AND (feature IS NULL OR threshold IS NULL)").isEmpty()
+    assert {r.weight for r in first.where("member = 'forest'").collect()} == {1.0}
+
+
+def test_a_changed_added_or_missing_node_is_found(spark, stored_trees):
+    members, path = stored_trees
+    nodes = tree_nodes(spark, path, ["forest"])
+    moved = nodes.withColumn("threshold", F.when(F.col("tree") == 0, F.col("threshold") + 1).otherwise(F.col("threshold")))
+    splits = nodes.where("tree = 0 AND left >= 0").count()
+    assert splits > 0 and changed_nodes(nodes, moved).first().changed == splits
+    assert changed_nodes(nodes, nodes.where("node <> 0")).first().changed == 3
+    assert changed_nodes(nodes.where("tree < 2"), nodes).first().changed == nodes.where("tree = 2").count()
+
+
+def test_own_member_is_weighed_stored_and_loaded(spark, monthly, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = T.complete_rows(T.create_features(monthly({f"P{i}": rng.integers(5, 50, 24).tolist() for i in range(5)})))
+    model = fit_hierarchy(rows, estimators={"calendar": CalendarMeans(), "linear_all": B.global_linear()})
+    assert model.weights.where("member = 'calendar'").count() == 7
+    path = f"{tmp_path}/models"
+    save_models(spark, path, model.members, {"models": model.models, "weights": model.weights}, model.features)
+    members, tables, features = load_models(spark, path)
+    loaded = HierarchicalModel(members, tables["models"], tables["weights"], features)
+    order = ["product_id", "MONAT"]
+    assert loaded.predict(rows).orderBy(*order).collect() == model.predict(rows).orderBy(*order).collect()
+    data = rows.toPandas()
+    means = data.groupby(data.MONAT.map(lambda d: d.month)).anz_produkt.mean()
+    got = B.predict_member(members["calendar"], rows, "calendar").collect()
+    assert all(r.calendar == pytest.approx(means[r.MONAT.month]) for r in got)
+    shares = loaded.importance().groupBy("level", "key").agg(F.sum("importance").alias("s")).collect()
+    assert all(r.s == pytest.approx(1) or r.s == 0 for r in shares)
+
+
+def test_calendar_means_without_a_month_date_or_rows(spark):
+    schema = "MONAT date, y double"
+    train = spark.createDataFrame([("2024-01-01", 2.0), ("2024-01-01", 4.0), ("2024-03-01", 9.0), (None, 1.0), ("2024-03-01", None)], "d string, y double")
+    train = train.selectExpr("CAST(d AS DATE) AS MONAT", "y")
+    model = CalendarMeans()._set(labelCol="y").fit(train)
+    asked = spark.createDataFrame([("2025-01-05",), ("2025-03-01",), ("2025-02-01",), (None,)], "d string").selectExpr("CAST(d AS DATE) AS MONAT")
+    assert [r.prediction for r in model.transform(asked).collect()] == [3.0, 9.0, 4.0, 4.0]
+    with pytest.raises(ValueError, match="no rows"):
+        CalendarMeans()._set(labelCol="y").fit(spark.createDataFrame([], schema))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from monthcast import settings as S
 from monthcast.operators import members as B
-from monthcast.operators.features import create_features
+from monthcast.operators.features import complete_rows, create_features
 from monthcast.operators.quality import content_fingerprint
 from monthcast.plans import runs
 from monthcast.plans.build import fold, full_build, incremental_update, load_hierarchy
@@ -16,7 +16,7 @@ from monthcast.plans.forecasts import export_all
 from monthcast.session import scratch_path
 from monthcast.sources import exports, sales
 from monthcast.sources.snapshots import SnapshotStore
-from monthcast.sources.files import remove
+from monthcast.sources.files import children, data_files, overwrite, remove
 from monthcast.streaming.ingest import KeyedTable, ingest, sales_stream
 
 NOW = datetime(2024, 5, 1, 12)
@@ -128,6 +128,23 @@ def test_update_equals_a_build_from_scratch(store, monthly, sold):
     assert load_hierarchy(store, 1).counts()["product_models"] == 5
 
 
+@pytest.mark.parametrize("damage", ["nodes gone", "nodes damaged", "metadata gone"])
+def test_an_update_that_finds_a_damaged_tree_member_builds_anew(spark, monthly, sold, damage):
+    store = SnapshotStore(spark, scratch_path(spark, "store"))
+    full_build(store, lambda: monthly({p: s[:17] for p, s in sold.items()}), NOW, estimators=forest())
+    member = f"{store.part_path(1, 'models')}/members/forest/stages"
+    stage = next(c for c in children(spark, member) if "RandomForest" in c)
+    if damage == "nodes damaged":
+        for path in data_files(spark, f"{stage}/data"):
+            overwrite(spark, path, b"not a tree")
+    else:
+        remove(spark, f"{stage}/{'data' if damage == 'nodes gone' else 'metadata'}")
+    features, model = incremental_update(store, lambda: monthly(sold), NOW + timedelta(days=1), estimators=forest())
+    last = store.log().orderBy(F.desc("version")).first()
+    assert (last.version, last.kind, last.num_products) == (2, "build", features.select("product_id").distinct().count())
+    assert model.names == ["forest", "linear"] and model.predict(complete_rows(features)).count() > 0
+
+
 def test_versions_add_up_fold_and_expire(spark, monthly, sold):
     """Updates write what arrived; many layers read as one table; folding and expiry change nothing that is read."""
     store = SnapshotStore(spark, scratch_path(spark, "store"))
