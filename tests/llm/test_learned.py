@@ -44,6 +44,112 @@ def test_language_without_training_rows(documents):
     assert langid.predicted(documents([]), model).count() == 0
 
 
+def _restated(texts, train, langs):
+    """TF-IDF, centroids and cosines of documents by id, in plain dictionaries and double precision."""
+
+    def grams(text):
+        folded = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+        folded = [32, *folded, 32, 32]
+        found = {}
+        for k, (width, places) in enumerate(((2, _PLACES[0]), (3, _PLACES[1]))):
+            for i in range(len(folded) - 2):
+                run = folded[i : i + width]
+                blanks = [x == 32 for x in run]
+                if (k == 0 and all(blanks)) or (k == 1 and blanks[1] and (blanks[0] or blanks[2])):
+                    continue
+                key = int(places[int.from_bytes(bytes(run))])
+                found[key] = found.get(key, 0) + 1
+        return found
+
+    counted = {i: grams(t) for i, t in texts.items()}
+    seen = np.zeros(langid.DIMS)
+    for i in train:
+        seen[list(counted[i])] += 1
+    idf = np.log((1 + len(train)) / (1 + seen)) + 0.05
+
+    def vector(found):
+        v = np.zeros(langid.DIMS)
+        for place, n in found.items():
+            v[place] = np.log1p(n) * idf[place]
+        length = np.sqrt((v * v).sum())
+        return v / length if length else v
+
+    v = {i: vector(c) for i, c in counted.items()}
+    centers = []
+    for lang in sorted({langs[i] for i in train}):
+        # The operator takes a language's documents by their packed counts; the order decides ties alone.
+        group = [v[i] for i in train if langs[i] == lang]
+        middle = np.mean(group, axis=0)
+        chosen = [max(group, key=lambda x: x @ middle)]
+        while len(chosen) < min(langid.CENTROIDS, len(group)):
+            chosen.append(min(group, key=lambda x: max(x @ c for c in chosen)))
+        for _ in range(langid.ROUNDS):
+            near = [int(np.argmax([x @ c for c in chosen])) for x in group]
+            for k in range(len(chosen)):
+                mine = [x for x, n in zip(group, near, strict=True) if n == k]
+                if mine:
+                    chosen[k] = np.mean(mine, axis=0)
+            chosen = [c / np.sqrt((c * c).sum()) for c in chosen]
+        centers += [(lang, c) for c in chosen]
+    return {i: max((x @ c, lang) for lang, c in centers) for i, x in v.items()}
+
+
+_PLACES = (langid.hashed_places(16, langid.BYTE_BASE[0], langid.DIMS), langid.hashed_places(24, langid.BYTE_BASE[1], langid.DIMS))
+
+
+def test_language_by_restatement(spark):
+    """Every cosine, language and rejection of the smallest table, against the method in plain loops."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [r for r in table.select("doc_id", "text", "lang").collect() if r.text is not None and any(c.isalpha() for c in r.text)]
+    texts, langs = {r.doc_id: r.text for r in rows}, {r.doc_id: r.lang for r in rows}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 3 != 1 and langs[i] is not None]
+    want = _restated(texts, train, langs)
+    learn = table.where(table.doc_id.isin(train))
+    got = {r.doc_id: r for r in langid.predicted(table, langid.fit(learn), least=0.6).collect()}
+    for i, (score, lang) in want.items():
+        assert got[i].score == pytest.approx(min(score, 1), abs=2e-4), i
+        assert got[i].lang_pred == lang, i
+        assert got[i].rejected == (score < 0.6) or abs(score - 0.6) < 2e-4
+    assert 0 < sum(got[i].rejected for i in want) < len(want)
+
+
+def test_counts_do_not_depend_on_the_texts_beside():
+    rows = [b"one", b"", b"two words", b"x", "\u00e4".encode(), b"last one"]
+    together = langid.counts(rows)
+    for i, row in enumerate(rows):
+        assert (together[i] == langid.counts([row])[0]).all(), row
+    assert (langid.counts(rows[::-1])[::-1] == together).all() and together[1].sum() == 0
+
+
+def test_text_far_from_every_language_is_rejected(spark, documents):
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = langid.predicted(documents([(1, "\u4e2d\u6587\u5b57\u7b26" * 30), (2, "zqxj wvkq jxqz")]), model).collect()
+    assert [r.rejected for r in sorted(got)] == [True, True] and all(r.score < langid.LEAST for r in got)
+
+
+@pytest.mark.parametrize("passed", [1, 8])
+def test_more_languages_than_a_block_holds(spark, monkeypatch, passed):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = sorted(langid.predicted(table, langid.fit(table)).collect())
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    monkeypatch.setattr(langid, "PASSED", passed)
+    model = langid.fit(table)
+    assert model.blocks > 2
+    many = sorted(langid.predicted(table, model).collect())
+    assert [r.doc_id for r in one] == [r.doc_id for r in many]
+    assert [r.lang_pred for r in one] == [r.lang_pred for r in many]
+    assert [r.score for r in one] == pytest.approx([r.score for r in many], abs=1e-5)
+
+
+def test_language_of_tables_with_clashing_names(spark):
+    docs = spark.createDataFrame(
+        [(1, "the thing and the thing", "en", 1, "a", 2, 0.5), (2, "der die das und der", "de", 1, "b", 2, 0.5)],
+        "doc_id long, text string, lang string, _lang int, _rows string, size int, dice double",
+    )
+    got = {r.doc_id: r.lang_pred for r in langid.predicted(docs, langid.fit(docs)).collect()}
+    assert got == {1: "en", 2: "de"}
+
+
 def test_quality_against_labels(spark, labelled):
     docs, labels = labelled
     got = {r.doc_id: r for r in queries.QUERIES["op4_quality_classifier"](spark, SF).collect()}
