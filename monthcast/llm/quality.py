@@ -171,6 +171,36 @@ def estimate(patterns: dict[int, int], rounds: int = 200) -> tuple[dict[int, flo
     return out, table, share
 
 
+def accuracies(table: np.ndarray, share: np.ndarray) -> list[tuple[float, float, float]]:
+    """What EM learned of each labeller, in their order: how often it votes low on poor text of any kind, how often on
+    good text, and how often a vote of its (low or good) is right over all text.
+
+    Poor text on which one labeller alone votes low looks like good text on which it errs, so these are close only
+    where labellers overlap; single kinds of poor text are not told apart well enough to report. A labeller that always abstains is right with probability 0.5, as nothing is known of it.
+    """
+    out = []
+    for k in range(len(LABELLERS)):
+        low, good = share * table[:, k, LOW], share * table[:, k, GOOD]
+        voted = low.sum() + good.sum()
+        right = (low[1:].sum() + good[0]) / voted if voted > 0 else 0.5
+        out.append((float(low[1:].sum() / share[1:].sum()), float(table[0, k, LOW]), float(right)))
+    return out
+
+
+def labeller_accuracies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row a labeller: ``labeller`` (its place), ``low_on_poor``, ``low_on_good``, ``right``, from all documents.
+
+    Null text counts as empty, repeated rows vote each time, and ids are not
+    looked at. No rows give the start values of no knowledge.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(text_col).alias("text"), F.lit(False).alias("chosen"))
+    voted = rows.mapInArrow(_label, "pattern int, data binary").groupBy("pattern").agg(F.count("*").alias("n"))
+    _, table, share = estimate({r.pattern: r.n for r in voted.collect()})  # at most 3 to the number of labellers
+    found = [(k, *row) for k, row in enumerate(accuracies(table, share))]
+    return docs.sparkSession.createDataFrame(found, "labeller int, low_on_poor double, low_on_good double, right double")
+
+
 def regress(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, rounds: int = 400, poor: float = 1.0) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient steps; poor text weighs ``poor`` times as much."""
     weight = np.where(y > 0.5, 1.0, poor)

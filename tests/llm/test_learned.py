@@ -182,3 +182,84 @@ def test_em_recovers_labellers_that_miss():
     assert (found == (kind == 0)).mean() > 0.95
     assert abs(share[0] - 0.8) < 0.05
     assert np.allclose(share.sum(), 1) and np.allclose(table.sum(axis=2), 1)
+
+
+def _em_in_loops(patterns, rounds):
+    """The same model, one pattern, class and labeller at a time."""
+    m = len(quality.LABELLERS)
+    votes = {p: [p // 3**k % 3 for k in range(m)] for p in patterns}
+    post = {}
+    for p, v in votes.items():
+        low = [x == quality.LOW for x in v]
+        post[p] = [float(not any(low)), *[x / max(1, sum(low)) for x in low]]
+    for _ in range(rounds):
+        total = sum(patterns.values())
+        weight = {p: [patterns[p] * x for x in post[p]] for p in patterns}
+        share = [(sum(weight[p][c] for p in patterns) + 0.1) / (total + 0.1 * (m + 1)) for c in range(m + 1)]
+        table = {}
+        for c in range(m + 1):
+            for k in range(m):
+                seen = [0.1 + sum(weight[p][c] for p in patterns if votes[p][k] == x) for x in range(3)]
+                table[c, k] = [s / sum(seen) for s in seen]
+        for p in patterns:
+            like = [share[c] * np.prod([table[c, k][votes[p][k]] for k in range(m)]) for c in range(m + 1)]
+            post[p] = [x / sum(like) for x in like]
+    return post, table, share
+
+
+@pytest.mark.parametrize("rounds", [1, 7])
+def test_em_by_restatement(rounds):
+    rng = np.random.default_rng(4)
+    m = len(quality.LABELLERS)
+    patterns = {int(p): int(n) for p, n in zip(rng.integers(0, 3**m, 60), rng.integers(1, 500, 60), strict=True)}
+    patterns.pop(int((np.full(m, quality.ABSTAIN) * 3 ** np.arange(m)).sum()), None)
+    got, table, share = quality.estimate(patterns, rounds)
+    post, want, shares = _em_in_loops(patterns, rounds)
+    assert all(got[p] == pytest.approx(post[p][0], abs=1e-9) for p in patterns)
+    assert share.tolist() == pytest.approx(shares)
+    assert all(table[c, k].tolist() == pytest.approx(want[c, k]) for c, k in want)
+
+
+def test_accuracies_are_the_planted_ones():
+    """Labellers of different keenness that overlap: what EM finds of each is what its votes were drawn from."""
+    rng = np.random.default_rng(8)
+    m, n = len(quality.LABELLERS), 60_000
+    keen = np.linspace(0.75, 0.98, m)
+    alarm = np.linspace(0.002, 0.02, m)
+    kind = np.where(rng.random(n) < 0.7, 0, rng.integers(1, m + 1, n))
+    chance = np.where(kind[:, None] == 0, alarm, 0.35)
+    own = np.arange(1, m + 1) == kind[:, None]
+    low = rng.random((n, m)) < np.where(own, keen, chance)
+    pattern = np.where(low, quality.LOW, quality.GOOD) @ 3 ** np.arange(m)
+    keys, counts = np.unique(pattern, return_counts=True)
+    _, table, share = quality.estimate(dict(zip(keys.tolist(), counts.tolist(), strict=True)), 2000)
+    for k, (poor, good, right) in enumerate(quality.accuracies(table, share)):
+        assert poor == pytest.approx(low[kind > 0, k].mean(), abs=0.05), k
+        assert good == pytest.approx(alarm[k], abs=0.012), k
+        assert right == pytest.approx((low[:, k] == (kind > 0)).mean(), abs=0.04), k
+
+
+def test_labeller_accuracies_of_a_table(spark, documents):
+    rows = quality.labeller_accuracies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert [r.labeller for r in rows] == list(range(len(quality.LABELLERS)))
+    assert all(0 <= x <= 1 for r in rows for x in r[1:])
+    assert all(r.low_on_poor > r.low_on_good for r in rows)
+    assert quality.labeller_accuracies(documents(EDGES)).count() == len(quality.LABELLERS)
+    assert quality.labeller_accuracies(documents([])).count() == len(quality.LABELLERS)
+
+
+def test_scorer_is_at_its_least_loss():
+    rng = np.random.default_rng(6)
+    x = np.hstack([rng.random((300, 5)), np.ones((300, 1))])
+    y = 1 / (1 + np.exp(-(x @ [3, -2, 0, 1, -4, 0.5])))
+
+    def loss(w, penalty=1e-2):
+        z = x @ w
+        return np.mean(np.logaddexp(0, z) - y * z) + penalty / 2 * w @ w
+
+    w = quality.regress(x, y, penalty=1e-2)
+    for i in range(6):
+        for step in (-0.02, 0.02):
+            moved = w.copy()
+            moved[i] += step
+            assert loss(moved) > loss(w)
