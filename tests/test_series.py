@@ -223,3 +223,17 @@ def test_forecast_reads_the_lines_once(spark, monthly, tmp_path):
     plan = M.statistical_forecast(fill_month_gaps(spark.read.parquet(path)))._jdf.queryExecution().executedPlan()
     text = plan.toString()
     assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+
+
+def test_tasks_of_a_long_table_stay_small(spark, monthly, monkeypatch):
+    """More rows are dealt over more tasks, and a decomposition sorts them by product and date only."""
+    rows = monthly({f"P{i}": [float(i + j) for j in range(15)] for i in range(40)})
+    want = {(r.product_id, r.MONAT): r for r in D.decompose(fill_month_gaps(rows)).collect()}
+    monkeypatch.setattr("monthcast.session.ROWS_A_TASK", 20)
+    filled = fill_month_gaps(rows)
+    assert filled.rdd.getNumPartitions() == 30 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = D.decompose(filled)
+    assert {(r.product_id, r.MONAT): r for r in got.collect()} == want and len(want) == 600
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "month(" in plan and "Window" in plan
+    assert not [line for line in plan.splitlines() if "windowspecdefinition(product_id" in line and "_w" in line.split("windowspecdefinition(")[1].split("specifiedwindowframe")[0]]
