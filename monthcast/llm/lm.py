@@ -16,7 +16,7 @@ from monthcast.llm.elias_fano import Level
 from monthcast.llm.tables import bounded_batches, partitions, stored, stored_by
 from monthcast.llm.words import Words, chunks, mix
 
-ORDER = 2
+ORDER = 3
 #: Taken off every count of an n-gram and given to the lower order.
 DISCOUNT = 0.75
 #: Steps of a quantised probability, 12 bits.

@@ -85,6 +85,20 @@ def test_query_and_held_out(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_query_is_a_trigram_model(spark):
+    sf = "/root/testdata/sf0.001"
+    data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = [(i, t, zlib.crc32(str(i).encode()) % 7 != 2) for i, t in data]
+    three, two = brute(rows, 3), brute(rows, 2)
+    got = QUERIES["op1_lm_scores"](spark, sf).collect()
+    assert {r.doc_id for r in got} == set(three) and len(got) == len(three)
+    for r in got:
+        n, known, total, base, score = three[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and r.base_score == pytest.approx(base, rel=1e-9)
+        assert abs(r.score - score) < 0.001 * n  # a step of the quantised logarithms is under 0.001
+    assert sum(abs(r.score - two[r.doc_id][-1]) > 0.1 * r.n_tokens for r in got) > len(got) / 4
+
+
 def test_edge_rows(documents):
     got = lm.scored(documents([(None, "a"), (1, "a"), (1, "a")]), F.lit(None).cast("boolean")).collect()
     assert len(got) == 3 and len({r.score for r in got}) == 1 and not any(r.held_out for r in got)
