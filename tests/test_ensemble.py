@@ -10,7 +10,7 @@ from monthcast import settings as S
 from monthcast.operators import ensemble as E
 from monthcast.operators import features as T
 from monthcast.operators import members as B
-from monthcast.operators.folds import fold_ranges, with_folds, with_level_keys, time_rank
+from monthcast.operators.folds import fold_columns, fold_ranges, level_rows, time_rank, with_folds, with_level_keys
 from monthcast.operators.calendar_member import CalendarMeans
 from monthcast.plans.training import HierarchicalModel, fit_hierarchy
 from monthcast.sources.models import changed_nodes, load_models, save_models, tree_nodes
@@ -54,6 +54,35 @@ def test_short_keys_have_no_model(monthly):
     }
 
 
+def test_fold_columns_are_the_folds_of_every_level(spark):
+    rng = np.random.default_rng(4)
+    facts = [(f"P{i}" if i else None, f"C{i % 3}" if i % 5 else None, m, float(rng.integers(9))) for i in range(30) for m in range(i % 11 + 1)]
+    df = spark.createDataFrame([(*r, r[3] * 2) for r in facts], "product_id string, product_category_id string, m int, y double, x double")
+    rows = df.selectExpr("product_id", "product_category_id", "add_months(DATE'2020-01-01', m) AS MONAT", "y", "x")
+    names = ["level", "key", "product_id", "MONAT", "fold", "y"]
+    table = fold_columns(rows)
+    got = level_rows(table).select(names).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, with_folds(rows).select(names).collect()))
+    assert len(got) > 200
+
+
+def test_folds_of_repeated_rows_keep_their_sizes(monthly):
+    one = monthly({f"P{i}": range(12) for i in range(4)})
+    rows = one.union(one).union(one)
+    sizes = lambda df: sorted(map(tuple, df.groupBy("level", "key", "fold").count().collect()))
+    assert sizes(level_rows(fold_columns(rows))) == sizes(with_folds(rows))
+
+
+def test_products_are_fitted_and_met_where_their_rows_lie(monthly):
+    rows = monthly({f"P{i}": range(12) for i in range(9)}).withColumn("y", F.col("anz_produkt"))
+    table = fold_columns(rows)
+    models = B.fold_models(table, lambda r: B.linear_models(r, ["unit_preis"]), ["product"])
+    plans = []
+    for df in (B.linear_models(level_rows(table, ["product"]), ["unit_preis"]), B.with_fold_models(table, models).select("y", "_product")):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert not any("Exchange hashpartitioning" in plan for plan in plans)
+
+
 def weights_of(spark, maes):
     rows = [("product", "P", m, e) for m, e in maes.items()]
     df = E.inverse_error_weights(spark.createDataFrame(rows, "level string, key string, member string, mae double"))
