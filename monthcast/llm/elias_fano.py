@@ -6,7 +6,6 @@ import os
 
 import numpy as np
 
-POPULATION = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
 #: Place of the r-th set bit of a byte.
 PLACE = np.zeros((256, 8), np.int64)
 for _byte in range(256):
@@ -21,14 +20,13 @@ def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: np.uint6
     """Place of the k-th (from 0) set bit, or zero bit if all are flipped, given the number of them before each word."""
     at = np.searchsorted(before, k, side="right") - 1
     rest, word, out = k - before[at], words[at] ^ flip, at * 64
-    found = np.zeros(len(k), bool)
-    for byte in range(8):
-        part = (word >> np.uint64(8 * byte) & np.uint64(0xFF)).astype(np.int64)
-        here = ~found & (rest < POPULATION[part])
-        out[here] += 8 * byte + PLACE[part[here], rest[here]]
-        found |= here
-        rest = np.where(found, rest, rest - POPULATION[part])
-    return out
+    for bits in (32, 16, 8):  # the half of the word, then of the half, ... that holds the bit
+        ones = np.bitwise_count(word & np.uint64((1 << bits) - 1)).astype(np.int64)
+        over = rest >= ones
+        rest -= ones * over
+        out += bits * over
+        word >>= (bits * over).astype(np.uint64)
+    return out + PLACE[(word & np.uint64(0xFF)).astype(np.int64), rest]
 
 
 class EliasFano:

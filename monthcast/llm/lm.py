@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from monthcast.llm.blocks import blocks, pack, split, unpack
 from monthcast.llm.elias_fano import Level
 from monthcast.llm.tables import bounded_batches, partitions, stored, stored_by
 from monthcast.llm.words import Words, chunks, mix
+from monthcast.session import scratch_path
 
 ORDER = 3
 #: Taken off every count of an n-gram and given to the lower order.
@@ -40,6 +43,15 @@ def _tokens(rows: list[bytes]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them; only the distinct ones are sorted."""
+    at, found = pd.factorize(values)
+    order = np.argsort(found, kind="stable")
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[at]
+
+
 def _read(batches: Iterator[pa.RecordBatch], shards: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows 'doc', a text's tokens as ranks by frequency in the block, and 'word', the block's words and counts by shard.
 
@@ -52,7 +64,8 @@ def _read(batches: Iterator[pa.RecordBatch], shards: int, schema: pa.Schema) ->
         token = _tokens(rows)
         stop = np.flatnonzero(token == END) + 1
         size = np.diff(stop, prepend=0)
-        word, at, times = np.unique(token, return_inverse=True, return_counts=True)
+        word, at = _distinct(token)
+        times = np.bincount(at, minlength=len(word))
         learnt = np.bincount(at, np.repeat(train.to_numpy(zero_copy_only=False).astype(float), size), len(word))
         order = np.argsort(-times, kind="stable")
         rank = np.empty(len(word), np.uint32)
@@ -82,7 +95,7 @@ def _count_words(messages: pa.Table) -> pa.Table:
     """Counts and numbers of a shard's words to each block, in the order asked; one row with the totals of the shard."""
     sent = [unpack(m) for m in messages["data"].to_pylist()]
     size = np.cumsum([len(w) for w, _ in sent])
-    word, at = np.unique(np.concatenate([w for w, _ in sent]), return_inverse=True)
+    word, at = _distinct(np.concatenate([w for w, _ in sent]))
     count = np.bincount(at, np.concatenate([c for _, c in sent])).astype(np.int64)
     known = count > 0
     number = np.where(known, np.cumsum(known) - 1, UNKNOWN).astype(np.uint32)
@@ -99,6 +112,16 @@ def _count_words(messages: pa.Table) -> pa.Table:
     )
 
 
+def _code(times: np.ndarray, count: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Codes of n-grams that occur ``times`` after contexts that occur ``count`` times."""
+    return np.rint((np.log10((times - DISCOUNT) / count) - scale[0]) / scale[1]).astype(np.int64) + 1
+
+
+def _single(count: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Codes of a single occurrence, none below the least or above the greatest code."""
+    return np.clip(_code(1, count, scale), 1, CODES)
+
+
 def _build(folder: str, context: np.ndarray, count: np.ndarray, follower: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Write one level of the trie from sorted n-grams; returns the least logarithm and the step of its codes.
 
@@ -108,10 +131,9 @@ def _build(folder: str, context: np.ndarray, count: np.ndarray, follower: np.nda
     head = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
     share = np.log10((times - DISCOUNT) / count)
     low, high = (share.min(), share.max()) if len(share) else (0.0, 0.0)
-    step = max(high - low, 1e-9) / (CODES - 1)
-    code = np.rint((share - low) / step).astype(np.uint16) + np.uint16(1)
-    Level.write(folder, context[head], np.append(head, len(context)), follower, code)
-    return np.array([low, step])
+    scale = np.array([low, max(high - low, 1e-9) / (CODES - 1)])
+    Level.write(folder, context[head], np.append(head, len(context)), follower, _code(times, count, scale).astype(np.uint16))
+    return scale
 
 
 def _trie(messages: pa.Table, more: bool) -> pa.Table:
@@ -119,34 +141,42 @@ def _trie(messages: pa.Table, more: bool) -> pa.Table:
 
     The level is written to files of the task, mapped into memory, and gone
     with the task. An answer holds, for each context, the number of distinct
-    followers here, for each n-gram its code and, if there is a further
-    level, its place and count, and the scale of the codes.
+    followers here, for each n-gram its code, 0 if it is not known, and, if
+    there is a further level, its place and count, and the scale of the
+    codes. A code travels as its distance from that of a single occurrence,
+    mostly 1, and numbers that rise as their steps.
     """
     sent = [unpack(m) for m in messages["data"].to_pylist()]  # context, its count, number of followers, follower, times
-    context, at = np.unique(np.concatenate([m[0] for m in sent]), return_inverse=True)
+    for m in sent:
+        m[0] = np.cumsum(m[0])
+    context, at = _distinct(np.concatenate([m[0] for m in sent]))
     count = np.zeros(len(context), np.int64)
     count[at] = np.concatenate([m[1] for m in sent])
-    follower, place = np.unique(np.concatenate([m[3] for m in sent]), return_inverse=True)
+    follower, place = _distinct(np.concatenate([m[3] for m in sent]))
     pair = np.repeat(at, np.concatenate([m[2] for m in sent])) << 32 | place
-    pair, at = np.unique(pair, return_inverse=True)
-    times = np.bincount(at, np.concatenate([m[4] for m in sent]), len(pair)).astype(np.int64)
-    pair, times = pair[times > 0], times[times > 0]
-    out = []
+    del place
+    asked, which = _distinct(pair)
+    times = np.bincount(which, np.concatenate([m[4] for m in sent]), len(asked)).astype(np.int64)
+    pair, times = asked[times > 0], times[times > 0]
     with tempfile.TemporaryDirectory() as folder:
-        at = pair >> 32
-        scale = _build(folder, context[at], count[at], follower[pair & 0xFFFFFFFF], times)
+        of = pair >> 32
+        scale = _build(folder, context[of], count[of], follower[pair & 0xFFFFFFFF], times)
         level = Level.open(folder)
-        for own, _, followers, follow, _ in sent:
-            first, end = level.ranges(own)
-            found = level.find(first, end, followers.astype(np.int64), follow)
-            known = found >= 0
-            code = np.zeros(len(found), np.uint16)
-            code[known] = level.code[found[known]]
-            parts = [(end - first).astype(np.uint32), code, scale]
-            if more:
-                parts += [found[known].astype(np.uint32), times[found[known]].astype(np.uint32)]
-            out.append(pack(*parts))
+        first, end = level.ranges(context)
+        found = level.find(first, end, np.bincount(asked >> 32, minlength=len(context)), follower[asked & 0xFFFFFFFF])
+        code, known = np.zeros(len(found), np.int16), found >= 0
+        code[known] = level.code[found[known]] - _single(count[asked[known] >> 32], scale) + 1
+        kinds = (end - first).astype(np.uint32)
         del level
+    out, of, on = [], 0, 0
+    for own, _, _, follow, _ in sent:
+        mine, where = at[of : of + len(own)], which[on : on + len(follow)]
+        of, on = of + len(own), on + len(follow)
+        parts = [kinds[mine], code[where], scale]
+        if more:
+            hit = found[where[found[where] >= 0]]
+            parts += [np.diff(hit, prepend=0).astype(np.uint32), times[hit].astype(np.uint32)]
+        out.append(pack(*parts))
     return pa.table({"block": messages["block"], "shard": messages["shard"], "data": pa.array(out, pa.binary())})
 
 
@@ -195,7 +225,7 @@ class _Block:
         A context with more than an even share of all tokens is cut into
         parts by its followers, one shard each.
         """
-        context, at = np.unique(self.context, return_inverse=True)
+        context, at = _distinct(self.context)
         seen = np.zeros(len(context), np.int64)
         seen[at] = self.seen
         known = context >= 0
@@ -205,14 +235,14 @@ class _Block:
         part = np.arange(len(owner)) - first[owner]
         shard = (mix(context[owner].astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
         shard = (shard + part) % self.shards
-        order = np.lexsort((owner, shard))
+        order = np.argsort(shard.astype(np.uint16 if self.shards <= 1 << 16 else np.uint32), kind="stable")
         rank = np.empty(len(owner), np.int64)
         rank[order] = np.arange(len(owner))
         asked = np.flatnonzero((self.context >= 0) & self.known)
         word = self.number[self.word[asked]]
         own = at[asked]
         spread = (mix(word.astype(np.uint64)) % np.maximum(1, cut[own]).astype(np.uint64)).astype(np.int64)
-        key, where, = np.unique(rank[first[own] + spread] << 40 | word, return_inverse=True)
+        key, where = _distinct(rank[first[own] + spread] << 40 | word)
         return context, seen, at, owner[order], shard[order], asked, key, where
 
     def ask(self) -> Iterator[tuple[int, bytes]]:
@@ -224,7 +254,7 @@ class _Block:
         edge = np.concatenate([[0], np.cumsum(followers)])
         for s, at in split(shard, self.shards):
             a, b = edge[at[0]], edge[at[-1] + 1]
-            own = context[owner[at]]
+            own = np.diff(context[owner[at]], prepend=0)
             yield s, pack(own, seen[owner[at]], followers[at].astype(np.uint32), follower[a:b], times[a:b])
 
     def _add(self, level: int, given: dict[int, list[np.ndarray]]) -> None:
@@ -238,10 +268,11 @@ class _Block:
             kinds, code, scale, *rest = given[s]
             np.add.at(distinct, owner[own], kinds)
             a, b = edge[own[0]], edge[own[-1] + 1]
-            share[a:b] = np.where(code > 0, 10.0 ** (scale[0] + scale[1] * (code - 1.0)), 0.0)
+            hit = a + np.flatnonzero(code)
+            full = code[hit - a] + _single(seen[owner[key[hit] >> 40]], scale) - 1
+            share[hit] = 10.0 ** (scale[0] + scale[1] * (full - 1.0))
             if rest:
-                hit = a + np.flatnonzero(code)
-                number[hit] = rest[0].astype(np.int64) * self.shards + s
+                number[hit] = np.cumsum(rest[0].astype(np.int64)) * self.shards + s
                 times[hit] = rest[1]
         has = (context >= 0) & (seen > 0)
         weight = np.where(has, DISCOUNT * distinct / np.maximum(1, seen), 1.0)
@@ -299,7 +330,18 @@ def scored(
     counts = stored(counts, "counts")
     total, kinds = counts.where("block = -1").agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = total or 0, kinds or 0
-    answers = counts.where("block >= 0").select("block", "shard", "data", F.lit(1).alias("level"))
+
+    found, path = f"answers_{uuid.uuid4().hex}", scratch_path(spark, "answers")
+
+    def kept(answers: DataFrame, level: int) -> DataFrame:
+        """The answers of all levels so far: each is dealt to the buckets of the blocks once and not moved again."""
+        own = answers.select("block", "shard", "data", F.lit(level).alias("level"))
+        own = own.repartition(partitions(spark), "block")
+        writer = own.write.mode("append").option("compression", "zstd").option("path", path)
+        writer.partitionBy("level").bucketBy(partitions(spark), "block").saveAsTable(found)
+        return spark.table(found)
+
+    answers = kept(counts.where("block >= 0"), 1)
 
     def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
         found = list(_Block(docs, answers, total, kinds, shards).ask())
@@ -317,8 +359,7 @@ def scored(
     for level in range(2, order + 1):
         asked = texts.cogroup(answers.groupBy("block")).applyInArrow(ask, "block long, shard int, data binary")
         got = asked.groupBy("shard").applyInArrow(build(level < order), "block long, shard int, data binary")
-        got = got.withColumn("level", F.lit(level))
-        answers = answers.union(got if level == order else stored(got, "ngrams"))
+        answers = kept(got, level)
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         b = _Block(docs, answers, total, kinds, shards)

@@ -134,3 +134,18 @@ def test_level(tmp_path):
     assert ((level.find(a, b, size, follower + 1) >= 0) == want).all()
     a, b = level.ranges(context + 1)
     assert ((b > a) == np.isin(context + 1, context)).all()
+
+
+def test_answers_meet_the_tokens_of_their_blocks_where_they_lie(spark):
+    docs = spark.createDataFrame([(i, f"a b c {i % 3} d") for i in range(20)], "doc_id long, text string")
+    plan = lm.scored(docs, F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_codes_travel_where_all_shares_of_a_shard_are_equal(spark):
+    docs = spark.createDataFrame([(i, "x y") for i in range(5)], "doc_id long, text string")
+    got = {round(r.score, 4) for r in lm.scored(docs, F.lit(True)).collect()}
+    p = (5 + 1) / (15 + 3 + 1)
+    two = (5 - lm.DISCOUNT) / 5 + lm.DISCOUNT / 5 * p
+    three = (5 - lm.DISCOUNT) / 5 + lm.DISCOUNT / 5 * two
+    assert got == {round(log10(two) + 2 * log10(three), 4)}
