@@ -54,8 +54,12 @@ def scored(spark, sf):
     return B.with_line_member(folded(spark, sf))
 
 
+def member_errors(folds):
+    return E.cross_validation_errors(B.with_line_member(folds), MEMBERS)
+
+
 def errors(spark, sf):
-    return E.cross_validation_errors(scored(spark, sf), MEMBERS)
+    return member_errors(folded(spark, sf))
 
 
 FOLDED = UNCATEGORIZED + f""",
@@ -218,9 +222,8 @@ def m6(spark, sf):
     return shown(band.select("product_id", "MONAT", "predicted_sales", "lower_bound", "upper_bound"))
 
 
-def importance_rows(spark, sf):
+def importance_rows(rows):
     """Coefficients of two one-variable lines per key as member importances."""
-    rows = folded(spark, sf)
     parts = [
         B.line_statistics(rows, x)
         .where(F.col("fold") == FOLDS + 1)
@@ -246,8 +249,9 @@ raw AS (
 SELECT level, key, feature, {rnd("v / sum(v) OVER (PARTITION BY level, key)", 6)} AS importance FROM raw""",
 )
 def m7(spark, sf):
-    weights = E.inverse_error_weights(errors(spark, sf))
-    return shown(E.feature_importance(importance_rows(spark, sf), weights), 6)
+    rows = folded(spark, sf)
+    weights = E.inverse_error_weights(member_errors(rows))
+    return shown(E.feature_importance(importance_rows(rows), weights), 6)
 
 
 @query(
