@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from monthcast.llm.words import chunks, texts
 
 BLOCK_BYTES = 16 << 20
+#: Made once a worker: a worker runs one task at a time.
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -28,11 +30,11 @@ def pack(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a)
         out.append(f"{a.dtype.str}:{len(a)};".encode())
         out.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+    return _COMPRESSOR.compress(b"".join(out))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    raw, at, out = _DECOMPRESSOR.decompress(data), 0, []
     while at < len(raw):
         end = raw.index(b";", at)
         kind, count = raw[at:end].decode().split(":")

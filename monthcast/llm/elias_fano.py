@@ -13,6 +13,8 @@ for _byte in range(256):
     PLACE[_byte, : len(_set)] = _set
 
 
+#: Numbers looked up at once, so that what is computed for them stays in a core's cache.
+PIECE = 1 << 14
 NONE, ALL = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -51,9 +53,12 @@ class EliasFano:
         at = np.arange(n, dtype=np.int64) * bits
         part = (values & ((1 << bits) - 1)).astype(np.uint64)
         shift = (at & 63).astype(np.uint64)
-        np.bitwise_or.at(low, at >> 6, part << shift)
-        over = (at & 63) + bits > 64
-        np.bitwise_or.at(low, (at[over] >> 6) + 1, part[over] >> (np.uint64(64) - shift[over]))
+        word = at >> 6
+        if bits:
+            head = np.flatnonzero(np.diff(word, prepend=-1))
+            low[word[head]] = np.bitwise_or.reduceat(part << shift, head)
+        over = np.flatnonzero((at & 63) + bits > 64)  # at most one a word
+        low[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
         up = values >> bits
         place = up + np.arange(n)
         length = (int(up[-1]) if n else 0) + n + 1
@@ -78,10 +83,14 @@ class EliasFano:
         """The numbers at places ``i``."""
         if not self.size:
             return np.zeros(len(i), np.int64)
+        if len(i) > PIECE:
+            return np.concatenate([self.at(i[a : a + PIECE]) for a in range(0, len(i), PIECE)])
         return (_select(self.high, self.ones, i) - i) << self.bits | self._low(i)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Place of the first number that is at least ``x``; the length where there is none."""
+        if len(x) > PIECE:
+            return np.concatenate([self.successor(x[a : a + PIECE]) for a in range(0, len(x), PIECE)])
         up = x >> self.bits
         top = int(self.at(np.array([self.size - 1]))[0]) >> self.bits if self.size else -1
         out = np.full(len(x), self.size, np.int64)

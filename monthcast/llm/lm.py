@@ -27,6 +27,8 @@ CODES = 4095
 SHARDS_PER_PARTITION = 4
 #: A block's tokens are held in some twenty arrays of 8 bytes each.
 BLOCK_BYTES = 8 << 20
+#: Text hashed at once: its arrays of 8 bytes a byte stay in a core's cache.
+TOKEN_BYTES = 1 << 16
 #: The hash that stands for the end of a text, and for what is before its first word.
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 UNKNOWN = np.uint32(0xFFFFFFFF)
@@ -35,7 +37,7 @@ UNKNOWN = np.uint32(0xFFFFFFFF)
 def _tokens(rows: list[bytes]) -> np.ndarray:
     """Hashes of the lower-cased words of all texts, each text followed by ``END``."""
     out = []
-    for _, part in chunks(pa.array(rows, pa.large_binary())):
+    for _, part in chunks(pa.array(rows, pa.large_binary()), TOKEN_BYTES):
         words = Words.of(part, lower=True)
         own = np.full(len(words) + len(part), END, np.uint64)
         own[np.arange(len(words)) + words.doc] = words.hashes()
@@ -44,14 +46,40 @@ def _tokens(rows: list[bytes]) -> np.ndarray:
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values in order, and the place of each value among them; only the distinct ones are sorted."""
+    """The distinct values in order, and the place of each value among them.
+
+    Whole numbers that leave room for their own places in 64 bits are sorted
+    together with them, in one go; of others only the distinct ones are sorted.
+    """
+    bits = len(values).bit_length()
+    if values.dtype == np.int64 and len(values):
+        low = int(values.min())
+        if (int(values.max()) - low).bit_length() + bits < 64:
+            mixed = np.sort((values - low) << bits | np.arange(len(values)))
+            value = mixed >> bits
+            head = np.empty(len(values), bool)
+            head[0] = True
+            np.not_equal(value[1:], value[:-1], out=head[1:])
+            at = np.empty(len(values), np.int64)
+            at[mixed & ((1 << bits) - 1)] = np.cumsum(head) - 1
+            return value[head] + low, at
     at, found = pd.factorize(values)
-    order = np.argsort(found, kind="stable")
+    order = np.argsort(found)
     place = np.empty(len(found), np.int64)
     place[order] = np.arange(len(found))
     return found[order], place[at]
 
 
+def _small(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the narrowest type that holds them all, as they travel."""
+    return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
+
+
+def _long(parts: list[np.ndarray]) -> np.ndarray:
+    """Numbers that travelled, one after the other."""
+    return np.concatenate(parts).astype(np.int64)
+
+
 def _read(batches: Iterator[pa.RecordBatch], shards: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows 'doc', a text's tokens as ranks by frequency in the block, and 'word', the block's words and counts by shard.
 
@@ -70,9 +98,9 @@ def _read(batches: Iterator[pa.RecordBatch], shards: int, schema: pa.Schema) ->
         order = np.argsort(-times, kind="stable")
         rank = np.empty(len(word), np.uint32)
         rank[order] = np.arange(len(word), dtype=np.uint32)
-        word, learnt = word[order], learnt[order].astype(np.uint32)
+        word, learnt = word[order], learnt[order].astype(np.int64)
         shard = (word % np.uint64(shards)).astype(np.uint32)
-        asked = [(s, pack(word[i], learnt[i])) for s, i in split(shard, shards)]
+        asked = [(s, pack(word[i], _small(learnt[i]))) for s, i in split(shard, shards)]
         docs = np.split(rank[at], stop[:-1])
         m = len(asked)
         yield pa.RecordBatch.from_arrays(
@@ -83,7 +111,7 @@ def _read(batches: Iterator[pa.RecordBatch], shards: int, schema: pa.Schema) ->
                 pa.concat_arrays([rest["id"].chunk(0).cast(id_type), pa.nulls(1 + m, id_type)]),
                 pa.concat_arrays([train, pa.nulls(1 + m, pa.bool_())]),
                 pa.array(
-                    [pack(d) for d in docs] + [pack(shard, np.flatnonzero(word == END).astype(np.uint32))] + [d for _, d in asked],
+                    [pack(_small(d)) for d in docs] + [pack(shard, np.flatnonzero(word == END).astype(np.uint32))] + [d for _, d in asked],
                     pa.binary(),
                 ),
             ],
@@ -99,7 +127,7 @@ def _count_words(messages: pa.Table) -> pa.Table:
     count = np.bincount(at, np.concatenate([c for _, c in sent])).astype(np.int64)
     known = count > 0
     number = np.where(known, np.cumsum(known) - 1, UNKNOWN).astype(np.uint32)
-    out = [pack(count[i].astype(np.uint32), number[i]) for i in np.split(at, size[:-1])]
+    out = [pack(_small(count[i]), number[i]) for i in np.split(at, size[:-1])]
     shard = messages["shard"][0].as_py()
     return pa.table(
         {
@@ -148,34 +176,36 @@ def _trie(messages: pa.Table, more: bool) -> pa.Table:
     """
     sent = [unpack(m) for m in messages["data"].to_pylist()]  # context, its count, number of followers, follower, times
     for m in sent:
-        m[0] = np.cumsum(m[0])
+        m[0] = np.cumsum(m[0], dtype=np.int64)
     context, at = _distinct(np.concatenate([m[0] for m in sent]))
     count = np.zeros(len(context), np.int64)
     count[at] = np.concatenate([m[1] for m in sent])
-    follower, place = _distinct(np.concatenate([m[3] for m in sent]))
-    pair = np.repeat(at, np.concatenate([m[2] for m in sent])) << 32 | place
+    follower, place = _distinct(_long([m[3] for m in sent]))
+    bits = len(follower).bit_length()
+    pair = np.repeat(at, _long([m[2] for m in sent])) << bits | place
     del place
     asked, which = _distinct(pair)
     times = np.bincount(which, np.concatenate([m[4] for m in sent]), len(asked)).astype(np.int64)
     pair, times = asked[times > 0], times[times > 0]
     with tempfile.TemporaryDirectory() as folder:
-        of = pair >> 32
-        scale = _build(folder, context[of], count[of], follower[pair & 0xFFFFFFFF], times)
+        of = pair >> bits
+        scale = _build(folder, context[of], count[of], follower[pair & ((1 << bits) - 1)], times)
+        of, word = asked >> bits, follower[asked & ((1 << bits) - 1)]
         level = Level.open(folder)
         first, end = level.ranges(context)
-        found = level.find(first, end, np.bincount(asked >> 32, minlength=len(context)), follower[asked & 0xFFFFFFFF])
+        found = level.find(first, end, np.bincount(of, minlength=len(context)), word)
         code, known = np.zeros(len(found), np.int16), found >= 0
-        code[known] = level.code[found[known]] - _single(count[asked[known] >> 32], scale) + 1
-        kinds = (end - first).astype(np.uint32)
+        code[known] = level.code[found[known]] - _single(count[of[known]], scale) + 1
+        kinds = end - first
         del level
     out, of, on = [], 0, 0
     for own, _, _, follow, _ in sent:
         mine, where = at[of : of + len(own)], which[on : on + len(follow)]
         of, on = of + len(own), on + len(follow)
-        parts = [kinds[mine], code[where], scale]
+        parts = [_small(kinds[mine]), code[where], scale]
         if more:
             hit = found[where[found[where] >= 0]]
-            parts += [np.diff(hit, prepend=0).astype(np.uint32), times[hit].astype(np.uint32)]
+            parts += [_small(np.diff(hit, prepend=0)), _small(times[hit])]
         out.append(pack(*parts))
     return pa.table({"block": messages["block"], "shard": messages["shard"], "data": pa.array(out, pa.binary())})
 
@@ -184,8 +214,9 @@ class _Block:
     """Tokens of a block and what is known of them so far.
 
     For every token: whether it is learnt from, p (its probability by the
-    orders answered), and number and count of the n-gram that ends there, the
-    context of the next token at the next level.
+    orders answered), and ``at``, the place of the n-gram before it, its
+    context at the next level, among the distinct ones. Those lie in
+    ``context`` by number, -1 where not known, with their counts in ``seen``.
     """
 
     def __init__(self, docs: pa.Table, answers: pa.Table, total: int, kinds: int, shards: int):
@@ -197,7 +228,7 @@ class _Block:
         of_rank, end = unpack(data[mark])
         tokens = [unpack(data[i])[0] for i in self.rows]
         self.size = np.array([len(t) for t in tokens])
-        self.word = np.concatenate(tokens).astype(np.int64)
+        self.word = _long(tokens)
         train = docs["train"].to_pylist()
         self.train = np.repeat([float(train[i]) for i in self.rows], self.size)
         self.place = np.arange(len(self.word)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
@@ -211,78 +242,94 @@ class _Block:
             count[at] = c
             number[at] = np.where(k == UNKNOWN, -1, k.astype(np.int64) * shards + s)
         self.number, self.share = number, total / shards
-        self.known = number[self.word] >= 0
-        self.p = (count[self.word] + 1.0) / (total + kinds + 1.0)
+        self.by_number = np.argsort(number, kind="stable")
+        self.rank = np.empty(len(number), np.int64)
+        self.rank[self.by_number] = np.arange(len(number))
+        self.end = end[0] if len(end) else 0
+        self.known = (number >= 0)[self.word]
+        self.p = ((count + 1.0) / (total + kinds + 1.0))[self.word]
         self.base = self.p
-        before = np.where(self.place > 0, np.roll(self.word, 1), end[0] if len(end) else 0)
-        self.context, self.seen = number[before], count[before]
+        # A word stands before another or before the end, and the end before a first word: all words are contexts.
+        self.context, self.seen = number[self.by_number], count[self.by_number]
+        self.at = np.where(self.place > 0, np.roll(self.rank[self.word], 1), self.rank[self.end] if len(end) else 0)
         for level in range(2, max(given) + 1):
             self._add(level, given[level])
 
     def pairs(self) -> tuple:
-        """Distinct contexts, their parts, and distinct n-grams, in the order in which shards get them.
+        """Distinct contexts, their parts, and the part and follower of distinct n-grams, in the order in which shards get them.
 
         A context with more than an even share of all tokens is cut into
         parts by its followers, one shard each.
         """
-        context, at = _distinct(self.context)
-        seen = np.zeros(len(context), np.int64)
-        seen[at] = self.seen
-        known = context >= 0
-        cut = np.where(known, np.clip(np.ceil(seen / max(1.0, self.share)), 1, self.shards), 0).astype(np.int64)
+        known = self.context >= 0
+        cut = np.where(known, np.clip(np.ceil(self.seen / max(1.0, self.share)), 1, self.shards), 0).astype(np.int64)
         first = np.cumsum(cut) - cut
-        owner = np.repeat(np.arange(len(context)), cut)
+        owner = np.repeat(np.arange(len(cut)), cut)
         part = np.arange(len(owner)) - first[owner]
-        shard = (mix(context[owner].astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
+        shard = (mix(self.context[owner].astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
         shard = (shard + part) % self.shards
         order = np.argsort(shard.astype(np.uint16 if self.shards <= 1 << 16 else np.uint32), kind="stable")
         rank = np.empty(len(owner), np.int64)
         rank[order] = np.arange(len(owner))
-        asked = np.flatnonzero((self.context >= 0) & self.known)
-        word = self.number[self.word[asked]]
-        own = at[asked]
-        spread = (mix(word.astype(np.uint64)) % np.maximum(1, cut[own]).astype(np.uint64)).astype(np.int64)
-        key, where = _distinct(rank[first[own] + spread] << 40 | word)
-        return context, seen, at, owner[order], shard[order], asked, key, where
+        asked = np.flatnonzero(known[self.at] & self.known)
+        word, own = self.word[asked], self.at[asked]
+        start = np.zeros(len(cut), np.int64)
+        start[known] = rank[first[known]]
+        entry = start[own]
+        if len(owner) > np.count_nonzero(known):
+            many = np.flatnonzero((cut > 1)[own])
+            spread = mix(self.number[word[many]].astype(np.uint64)) % cut[own[many]].astype(np.uint64)
+            entry[many] = rank[first[own[many]] + spread.astype(np.int64)]
+        bits = len(self.number).bit_length()
+        key, where = _distinct(entry << bits | self.rank[word])
+        follower = self.by_number[key & ((1 << bits) - 1)]
+        return owner[order], shard[order], asked, key >> bits, follower, where
 
     def ask(self) -> Iterator[tuple[int, bytes]]:
         """For each shard its contexts, their counts, numbers of followers, the followers, and their learnt times."""
-        context, seen, _, owner, shard, asked, key, where = self.pairs()
-        times = np.bincount(where, self.train[asked], len(key)).astype(np.uint32)
-        follower, entry = key & ((1 << 40) - 1), key >> 40
+        owner, shard, asked, entry, follower, where = self.pairs()
+        follower = self.number[follower]
+        times = np.bincount(where, self.train[asked], len(entry)).astype(np.int64)
         followers = np.bincount(entry, minlength=len(owner))
         edge = np.concatenate([[0], np.cumsum(followers)])
         for s, at in split(shard, self.shards):
             a, b = edge[at[0]], edge[at[-1] + 1]
-            own = np.diff(context[owner[at]], prepend=0)
-            yield s, pack(own, seen[owner[at]], followers[at].astype(np.uint32), follower[a:b], times[a:b])
+            own = np.diff(self.context[owner[at]], prepend=0)
+            yield s, pack(_small(own), _small(self.seen[owner[at]]), _small(followers[at]), _small(follower[a:b]), _small(times[a:b]))
 
     def _add(self, level: int, given: dict[int, list[np.ndarray]]) -> None:
         """Take in the answers of a level: p of that order, and the contexts of the next."""
-        context, seen, at, owner, shard, asked, key, where = self.pairs()
-        distinct = np.zeros(len(context), np.int64)
-        share = np.zeros(len(key))
-        number, times = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
-        edge = np.concatenate([[0], np.cumsum(np.bincount(key >> 40, minlength=len(owner)))])
+        owner, shard, asked, entry, follower, where = self.pairs()
+        distinct = np.zeros(len(self.context), np.int64)
+        share = np.zeros(len(entry))
+        number, times = np.full(len(entry), -1, np.int64), np.zeros(len(entry), np.int64)
+        edge = np.concatenate([[0], np.cumsum(np.bincount(entry, minlength=len(owner)))])
+        rest = []
         for s, own in split(shard, self.shards):
             kinds, code, scale, *rest = given[s]
-            np.add.at(distinct, owner[own], kinds)
+            distinct[owner[own]] += kinds  # the parts of a context are in different shards
             a, b = edge[own[0]], edge[own[-1] + 1]
             hit = a + np.flatnonzero(code)
-            full = code[hit - a] + _single(seen[owner[key[hit] >> 40]], scale) - 1
+            full = code[hit - a] + _single(self.seen[owner[entry[hit]]], scale) - 1
             share[hit] = 10.0 ** (scale[0] + scale[1] * (full - 1.0))
             if rest:
                 number[hit] = np.cumsum(rest[0].astype(np.int64)) * self.shards + s
                 times[hit] = rest[1]
-        has = (context >= 0) & (seen > 0)
-        weight = np.where(has, DISCOUNT * distinct / np.maximum(1, seen), 1.0)
-        self.p = self.p * weight[at]
+        has = (self.context >= 0) & (self.seen > 0)
+        weight = np.where(has, DISCOUNT * distinct / np.maximum(1, self.seen), 1.0)
+        self.p = self.p * weight[self.at]
         self.p[asked] += share[where]
-        found, many = np.full(len(self.word), -1, np.int64), np.zeros(len(self.word), np.int64)
-        found[asked], many[asked] = number[where], times[where]
-        follows = self.place >= level - 1
-        self.context = np.where(follows, np.roll(found, 1), -1)
-        self.seen = np.where(follows, np.roll(many, 1), 0)
+        if not rest:
+            return
+        # Contexts of the next level: the n-grams found, but for those that end with their text; the first stands for all others.
+        some = np.flatnonzero((number >= 0) & (follower != self.end))
+        some = some[np.argsort(number[some])]
+        self.context, self.seen = np.append(-1, number[some]), np.append(0, times[some])
+        rank = np.zeros(len(entry), np.int64)
+        rank[some] = np.arange(1, len(some) + 1)
+        found = np.zeros(len(self.word), np.int64)
+        found[asked] = rank[where]
+        self.at = np.where(self.place >= level - 1, np.roll(found, 1), 0)
 
 
 def scored(

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from monthcast.llm import lm
+from monthcast.llm import elias_fano, lm
 from monthcast.llm.elias_fano import EliasFano, Level
 from monthcast.llm.queries import QUERIES
 
@@ -149,3 +149,29 @@ def test_codes_travel_where_all_shares_of_a_shard_are_equal(spark):
     two = (5 - lm.DISCOUNT) / 5 + lm.DISCOUNT / 5 * p
     three = (5 - lm.DISCOUNT) / 5 + lm.DISCOUNT / 5 * two
     assert got == {round(log10(two) + 2 * log10(three), 4)}
+
+
+def test_numbers_are_sorted_together_with_their_places(monkeypatch):
+    rng = np.random.default_rng(8)
+    few, wide = rng.integers(-50, 1 << 36, 5000) // 7, rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2)
+    for values in (few, np.repeat(wide, 2), np.array([5, -1, 5]), np.zeros(0, np.int64), np.array([-(1 << 63), (1 << 63) - 1])):
+        found, at = lm._distinct(values)
+        assert found.tolist() == np.unique(values).tolist() and (found[at] == values).all()
+    monkeypatch.setattr(lm.pd, "factorize", lambda values: pytest.fail("a hash table of all tokens"))
+    assert (lm._distinct(few)[0] == np.unique(few)).all()
+
+
+def test_messages_hold_narrow_numbers():
+    for values in ([], [0, 255], [256], [1 << 32]):
+        sent = lm._small(np.array(values, np.int64))
+        assert sent.tolist() == values and sent.dtype.itemsize == {255: 1, 256: 2, 1 << 32: 8}.get(max(values, default=255))
+    assert lm._long([np.array([200], np.uint8), np.array([1 << 40], np.uint64)]).tolist() == [200, 1 << 40]
+
+
+def test_long_sequences_are_searched_in_pieces(monkeypatch):
+    values = np.cumsum(np.random.default_rng(9).integers(0, 9, 1000))
+    asked = np.random.default_rng(10).integers(0, values[-1] + 5, 333)
+    monkeypatch.setattr(elias_fano, "PIECE", 16)
+    made = elias_fano.EliasFano.of(values)
+    assert (made.at(np.arange(1000)) == values).all()
+    assert (made.successor(asked) == np.searchsorted(values, asked)).all()
