@@ -271,3 +271,25 @@ def test_calendar_means_without_a_month_date_or_rows(spark):
     assert [r.prediction for r in model.transform(asked).collect()] == [3.0, 9.0, 4.0, 4.0]
     with pytest.raises(ValueError, match="no rows"):
         CalendarMeans()._set(labelCol="y").fit(spark.createDataFrame([], schema))
+
+
+def test_forest_fitted_a_few_trees_at_a_time(spark, monthly, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = monthly({f"P{i}": rng.integers(1, 60, 20).tolist() for i in range(4)})
+    ready = B.assembled(rows.selectExpr("product_id", "MONAT", "anz_produkt AS y", "month(MONAT) * 1.0 AS a"), ["a"])
+    at_once, fit = [], B.RandomForestRegressor._fit
+    monkeypatch.setattr(B, "TREES_A_FIT", 2, raising=False)
+    monkeypatch.setattr(B.RandomForestRegressor, "_fit", lambda self, train: at_once.append(self.getNumTrees()) or fit(self, train))
+    sizes = B.TreeParameters(forest={"numTrees": 5, "maxDepth": 3, "seed": 1})
+    model = B.fit_member(ready, B.tree_estimators(sizes)["forest"], ["a"], "m")
+    forest = model.stages[-1]
+    assert sum(at_once) == 5 and max(at_once) <= 2
+    assert len(forest.trees) == forest.getNumTrees == forest.getOrDefault("numTrees") == 5
+    assert len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) > 2  # the fits draw differently
+    path = f"{tmp_path}/stored"
+    save_models(spark, path, {"forest": model}, {}, ["a"])
+    loaded = load_models(spark, path)[0]["forest"]
+    read = [B.predict_member(m, ready, "m").orderBy("product_id", "MONAT").toPandas()["m"].tolist() for m in (model, loaded)]
+    vector = ready.orderBy("product_id", "MONAT").first()[B.VECTOR]
+    assert read[0] == read[1] and np.isclose(read[0][0], np.mean([t.predict(vector) for t in forest.trees]))
+    assert tree_nodes(spark, path, ["forest"]).select("tree").distinct().count() == 5
