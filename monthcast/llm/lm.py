@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from monthcast.llm.blocks import blocks, pack, split, unpack
 from monthcast.llm.elias_fano import Level
-from monthcast.llm.tables import bounded_batches, partitions, stored, stored_by
+from monthcast.llm.tables import bounded_batches, partitions, shuffles_removed, stored, stored_by
 from monthcast.llm.words import Words, chunks, mix
 from monthcast.session import scratch_path
 
@@ -350,7 +350,9 @@ def scored(
     n-grams and learnt counts (``blocks``); a shard adds them up, writes its
     part of the level, and answers all blocks from it. Every level covers all
     learnt rows, and its size per shard is that of the input per shard. The
-    tokens are written once, bucketed by block, and do not shuffle.
+    tokens are written once, bucketed by block, and do not shuffle. A level's
+    messages go when its answers are written, so the disk holds those of one
+    level at a time.
 
     Words are told apart by 64 bits of hash. Null and empty texts have one
     token, the end. Null ids and repeated rows keep a row each. If no row is
@@ -374,7 +376,8 @@ def scored(
     texts = staged.where("kind = 'doc'").select("block", "shard", "id", "train", "data").groupBy("block")
     asked = staged.where("kind = 'word'").select("block", "shard", "data")
     counts = asked.groupBy("shard").applyInArrow(_count_words, "block long, shard int, total long, kinds long, data binary")
-    counts = stored(counts, "counts")
+    with shuffles_removed(spark):
+        counts = stored(counts, "counts")
     total, kinds = counts.where("block = -1").agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = total or 0, kinds or 0
 
@@ -385,7 +388,8 @@ def scored(
         own = answers.select("block", "shard", "data", F.lit(level).alias("level"))
         own = own.repartition(partitions(spark), "block")
         writer = own.write.mode("append").option("compression", "zstd").option("path", path)
-        writer.partitionBy("level").bucketBy(partitions(spark), "block").saveAsTable(found)
+        with shuffles_removed(spark):
+            writer.partitionBy("level").bucketBy(partitions(spark), "block").saveAsTable(found)
         return spark.table(found)
 
     answers = kept(counts.where("block >= 0"), 1)

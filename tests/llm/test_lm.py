@@ -1,9 +1,13 @@
 """Scores against a dictionary of n-grams; the Elias-Fano sequences against plain arrays."""
 
+import os
 import re
+import tempfile
+import time
 import zlib
 from collections import Counter
 from math import log10
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -175,3 +179,27 @@ def test_long_sequences_are_searched_in_pieces(monkeypatch):
     made = elias_fano.EliasFano.of(values)
     assert (made.at(np.arange(1000)) == values).all()
     assert (made.successor(asked) == np.searchsorted(values, asked)).all()
+
+
+def shuffle_files(spark):
+    """Shuffle files that the session's executors hold."""
+    root = Path(os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", tempfile.gettempdir()))
+    return set(root.glob("**/blockmgr-*/*/shuffle_*.data"))
+
+
+def test_messages_of_a_level_go_when_its_answers_are_written(spark, documents):
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(12))) for i in range(40)]
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    kept = spark.range(1000).repartition(3, "id").persist()
+    assert kept.count() == 1000
+    held = shuffle_files(spark)
+    assert held
+    out = lm.scored(documents(rows), ~lm.held_out(F.col("doc_id")))
+    for _ in range(40):  # files are removed in the background
+        if not (left := shuffle_files(spark) - held):
+            break
+        time.sleep(0.25)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    assert out.count() == out.count() == 40
+    kept.unpersist()
