@@ -15,7 +15,7 @@ from monthcast.functions.scalars import half_up
 from monthcast.operators import ensemble as E
 from monthcast.operators import members as B
 from monthcast.operators.features import lag_features, rolling_features
-from monthcast.operators.folds import FOLDS, fold_ranges, with_folds
+from monthcast.operators.folds import FOLDS, fold_columns, fold_ranges, level_rows, with_folds
 from monthcast.session import materialize
 
 MEMBERS = list(B.BASELINES)
@@ -40,14 +40,10 @@ def baseline_rows(spark, sf):
     )
 
 
-def rows_and_folds(spark, sf):
-    """Rows are read by the ranking and its counts and by predictions, folds by errors and lines."""
-    rows = materialize(baseline_rows(spark, sf), "rows")
-    return rows, materialize(with_folds(rows), "folded", "level")
-
-
 def folded(spark, sf):
-    return rows_and_folds(spark, sf)[1]
+    """Rows are read by the ranking and its counts, folds by errors and lines."""
+    rows = materialize(baseline_rows(spark, sf), "rows")
+    return materialize(with_folds(rows), "folded", "level")
 
 
 def scored(spark, sf):
@@ -164,8 +160,9 @@ def final_models(rows):
 
 
 def predicted_rows(spark, sf):
-    rows, folds = rows_and_folds(spark, sf)
-    levelled = E.most_specific(rows, final_models(folds))
+    """Folds are columns of the rows, which are written once; copies per level and key last as long as a sum."""
+    rows = fold_columns(baseline_rows(spark, sf))
+    levelled = E.most_specific(rows, final_models(level_rows(rows)))
     return levelled.withColumn("linear", F.col("slope") * F.col("sales_lag_1") + F.col("intercept"))
 
 

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from monthcast import settings as S
+from monthcast.catalogue import ensembles
 from monthcast.operators import ensemble as E
 from monthcast.operators import features as T
+from monthcast.operators import folds
 from monthcast.operators import members as B
 from monthcast.operators.folds import fold_columns, fold_ranges, level_rows, time_rank, with_folds, with_level_keys
 from monthcast.operators.calendar_member import CalendarMeans
@@ -293,3 +295,16 @@ def test_forest_fitted_a_few_trees_at_a_time(spark, monthly, tmp_path, monkeypat
     vector = ready.orderBy("product_id", "MONAT").first()[B.VECTOR]
     assert read[0] == read[1] and np.isclose(read[0][0], np.mean([t.predict(vector) for t in forest.trees]))
     assert tree_nodes(spark, path, ["forest"]).select("tree").distinct().count() == 5
+
+
+def test_predictions_write_their_rows_once(spark, monthly, monkeypatch):
+    """No copy of the rows per level and key is written for the errors and lines behind a prediction."""
+    fact = monthly({f"P{i}": [float(i + j % 7) for j in range(15)] for i in range(12)})
+    monkeypatch.setattr(ensembles, "uncategorized_fact", lambda spark, sf: fact)
+    written = []
+    for module in (ensembles, folds):
+        keep = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, *by, keep=keep: (written.append((name, df.count())), keep(df, name, *by))[1])
+    rows = ensembles.predicted_rows(spark, "")
+    assert rows.count() == 12 * 14
+    assert written and not [(name, n) for name, n in written if n >= 12 * 14]
