@@ -11,7 +11,6 @@ from monthcast.catalogue.registry import (
     LINES,
     SHORTENED,
     descriptions,
-    filled,
     monthly,
     query,
     rnd,
@@ -23,13 +22,20 @@ from monthcast.catalogue.registry import (
 from monthcast.functions.skew import salted_lookup
 from monthcast.operators import reporting as R
 from monthcast.operators.cleaning import collapse_months
+from monthcast.operators.series import fill_month_gaps
 from monthcast.operators.trend import forecast_steps, moving_level, series_statistics
 from monthcast.plans.forecasts import export_all, summarize_all
+from monthcast.session import materialize, spread
 
 
-def level_forecast(spark, sf):
-    """A forecast that repeats the recent level, to feed the reports."""
-    return forecast_steps(series_statistics(filled(spark, sf))).select(
+def written_months(spark, sf):
+    """The monthly fact, written once for the forecast and for the report beside it."""
+    return materialize(monthly(spark, sf), "monthly")
+
+
+def level_forecast(months):
+    """A forecast that repeats the recent level, to feed the reports; of months that are written."""
+    return forecast_steps(series_statistics(fill_month_gaps(months, deal=spread))).select(
         "product_id", "MONAT", "step", moving_level().alias("forecast")
     )
 
@@ -120,7 +126,8 @@ SELECT product_id, {rnd("total")} AS total_forecast, {rnd("mean")} AS avg_foreca
 FROM totals JOIN kpis USING (product_id)""",
 )
 def a5(spark, sf):
-    df = summarize_all(monthly(spark, sf), level_forecast(spark, sf))
+    months = written_months(spark, sf)
+    df = summarize_all(months, level_forecast(months))
     return shown(df.drop("total_forecast_shown", "avg_forecast_shown"))
 
 
@@ -133,7 +140,8 @@ SELECT product_id, CAST(MONAT AS VARCHAR) AS MONAT, {rnd("anz_produkt")} AS anz_
   UNION ALL SELECT product_id, MONAT, forecast, 'Forecast' FROM forecast)""",
 )
 def a6(spark, sf):
-    return shown(R.history_and_forecast(monthly(spark, sf), level_forecast(spark, sf)))
+    months = written_months(spark, sf)
+    return shown(R.history_and_forecast(months, level_forecast(months)))
 
 
 EXPORT = FORECAST + f""", {DESCRIPTIONS},
@@ -148,7 +156,8 @@ export AS (
 
 @query("a6_export_rows", EXPORT + "SELECT * FROM export")
 def a6_export(spark, sf):
-    return shown(export_all(monthly(spark, sf), level_forecast(spark, sf), descriptions(spark, sf)))
+    months = written_months(spark, sf)
+    return shown(export_all(months, level_forecast(months), descriptions(spark, sf)))
 
 
 @query(
@@ -223,5 +232,6 @@ SELECT product_id, CAST(MONAT AS VARCHAR) AS MONAT, step, {rnd("forecast")} AS f
 FROM forecast LEFT JOIN last_prices USING (product_id)""",
 )
 def a11(spark, sf):
-    df = R.revenue_projection(level_forecast(spark, sf), monthly(spark, sf))
+    months = written_months(spark, sf)
+    df = R.revenue_projection(level_forecast(months), months)
     return shown(df, revenue=2)

@@ -12,7 +12,6 @@ from monthcast.catalogue.registry import (
     descriptions,
     fact,
     master,
-    monthly,
     product_key,
     query,
     rnd,
@@ -21,7 +20,7 @@ from monthcast.catalogue.registry import (
     supplier_regions,
     table,
 )
-from monthcast.catalogue.reports import EXPORT, REGIONAL, level_forecast
+from monthcast.catalogue.reports import EXPORT, REGIONAL, level_forecast, written_months
 from monthcast.functions.skew import salted_lookup
 from monthcast.plans.forecasts import export_all
 from monthcast.session import scratch_path
@@ -199,6 +198,7 @@ EXPORT_SCHEMA = (
 @query("s6_analysis_export", EXPORT + "SELECT * FROM export")
 def s6(spark, sf):
     path = scratch_path(spark, "export")
-    rows = export_all(monthly(spark, sf), level_forecast(spark, sf), descriptions(spark, sf))
+    months = written_months(spark, sf)
+    rows = export_all(months, level_forecast(months), descriptions(spark, sf))
     exports.write_export(rows, path)
     return shown(spark.read.schema(EXPORT_SCHEMA).csv(path, header=True))

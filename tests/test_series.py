@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import month
+from monthcast.catalogue import QUERIES, reports
 from monthcast.operators import decomposition as D
 from monthcast.operators import trend as M
 from monthcast.operators.routing import routed_forecast
@@ -237,3 +238,17 @@ def test_tasks_of_a_long_table_stay_small(spark, monthly, monkeypatch):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "month(" in plan and "Window" in plan
     assert not [line for line in plan.splitlines() if "windowspecdefinition(product_id" in line and "_w" in line.split("windowspecdefinition(")[1].split("specifiedwindowframe")[0]]
+
+
+def test_export_reads_the_lines_once(spark, monthly, monkeypatch, tmp_path):
+    """History and forecast of a report come from one written table; the lines behind it are read and summed once."""
+    path = str(tmp_path / "fact")
+    monthly({"P": range(30), "Q": range(5)}).write.parquet(path)
+    names = spark.createDataFrame([("P", "name")], "NUMMER string, BANAME1 string")
+    monkeypatch.setattr(reports, "monthly", lambda spark, sf: spark.read.parquet(path))
+    monkeypatch.setattr(reports, "filled", lambda spark, sf: fill_month_gaps(spark.read.parquet(path)), raising=False)
+    monkeypatch.setattr(reports, "descriptions", lambda spark, sf: names)
+    made = [name for name in ("a5_forecast_summary", "a6_history_and_forecast", "a6_export_rows") if path in str(QUERIES[name](spark, "").inputFiles())]
+    assert made == []
+    rows = QUERIES["a6_export_rows"](spark, "").collect()
+    assert len(rows) == 35 + 12 and {r.Product_Name for r in rows if r.Product_ID == "P"} == {"name"}
