@@ -12,7 +12,7 @@ from monthcast.operators import ensemble as E
 from monthcast.operators.folds import with_level_keys
 from monthcast.operators.routing import routed_forecast
 from monthcast.operators.series import fill_month_gaps
-from monthcast.session import materialize
+from monthcast.session import clustered, dealt_to_buckets
 
 #: Predictions that are weighed against each other; ``forecast`` is the routed forecast.
 MEMBERS = ("forecast", "seasonal_naive", "naive")
@@ -37,7 +37,8 @@ def holdout_predictions(
     A cut-off sees the rows up to its month, and the ``horizon`` months after
     it are its test; ``age`` 1 is the newest. A history's copies are keyed by
     age and product, so gap filling and forecasts of all cut-offs are those
-    of one job over longer keys. Columns: product_id, age, cutoff, MONAT, y,
+    of one job over longer keys; they are written clustered by it, so statistics
+    and rivals take them where they lie. Columns: product_id, age, cutoff, MONAT, y,
     forecast, seasonal_naive (a year before, else the mean of the last six
     months), naive (the last month).
 
@@ -49,9 +50,8 @@ def holdout_predictions(
     key = F.concat(F.col("age").cast("string"), F.lit(":"), F.col("product_id"))
     keyed = dated.drop("_c").withColumn("_key", key)
     past = keyed.where(F.col("MONAT") <= F.col("cutoff"))
-    filled = materialize(
-        fill_month_gaps(past.select(F.col("_key").alias("product_id"), "MONAT", "anz_produkt")), "holdout"
-    )
+    copies = past.select(F.col("_key").alias("product_id"), "MONAT", "anz_produkt")
+    filled = clustered(fill_month_gaps(copies, deal=dealt_to_buckets), "holdout", "product_id")
     listed = [f"{k}:{p}" for k in range(1, cutoffs + 1) for p in decomposed]
     forecast = routed_forecast(filled, horizon, listed).select(
         F.col("product_id").alias("_key"), "MONAT", "forecast"

@@ -87,3 +87,16 @@ def test_no_history_and_no_rows(spark, monthly):
     assert H.holdout_errors(H.holdout_predictions(empty)).count() == 0
     one = spark.createDataFrame([(None, date(2020, 1, 1), 3.0)], empty.schema)
     assert H.holdout_predictions(one).count() == 0
+
+
+def test_statistics_take_the_copies_where_they_lie(table, monkeypatch):
+    """Copies of the histories are dealt by key once, one file a task, and the forecast and its rivals do not move them."""
+    seen = []
+    routed = H.routed_forecast
+    monkeypatch.setattr(H, "routed_forecast", lambda filled, *rest: (seen.append(filled), routed(filled, *rest))[1])
+    monkeypatch.setattr("monthcast.session.ROWS_A_TASK", 50)
+    got = H.holdout_predictions(table, decomposed=("P1",))
+    assert got.count() > 0
+    plan = routed(seen[0], 6, [])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    assert len(seen[0].inputFiles()) <= -(-table.count() * 3 // 50 // 4) * 4
