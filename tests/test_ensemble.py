@@ -1,16 +1,18 @@
 """Folds, errors, weights, bands and the fitted hierarchy."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel, regression
 from pyspark.sql import functions as F
 
 from monthcast import settings as S
 from monthcast.catalogue import ensembles
 from monthcast.operators import ensemble as E
 from monthcast.operators import features as T
-from monthcast.operators import folds
+from monthcast.operators import folds, forest
 from monthcast.operators import members as B
 from monthcast.operators.folds import fold_columns, fold_ranges, level_rows, time_rank, with_folds, with_level_keys
 from monthcast.operators.calendar_member import CalendarMeans
@@ -297,6 +299,58 @@ def test_forest_fitted_a_few_trees_at_a_time(spark, monthly, tmp_path, monkeypat
     assert tree_nodes(spark, path, ["forest"]).select("tree").distinct().count() == 5
 
 
+@pytest.fixture
+def wavy(monthly):
+    """Rows of more values than there are thresholds, in two columns that matter and one that does not."""
+    rng = np.random.default_rng(11)
+    rows = monthly({f"P{i}": (40 + 20 * np.sin(np.arange(20) + i) + rng.normal(0, 3, 20)).tolist() for i in range(30)})
+    rows = rows.selectExpr("product_id", "MONAT", "anz_produkt AS y", "month(MONAT) * 1.0 AS a")
+    return B.assembled(rows.selectExpr("*", "round(y * a, 2) + a AS b", "7.0 AS c"), ["a", "b", "c"])
+
+
+def test_forest_from_blocks_is_that_of_spark_where_nothing_is_drawn(wavy, monkeypatch):
+    drawn = {"numTrees": 1, "maxDepth": 6, "bootstrap": False, "featureSubsetStrategy": "all", "seed": 4, "minInstancesPerNode": 2}
+    columns = {"featuresCol": B.VECTOR, "labelCol": "y"}
+    want = regression.RandomForestRegressor(**drawn, **columns).fit(wavy)
+    monkeypatch.setattr(regression.RandomForestRegressor, "_fit", lambda *_: pytest.fail("rows and trees are held together"))
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(forest, "MOST_NODES", 3)
+    got = B.RandomForestRegressor(**drawn, **columns).fit(wavy)
+    shape = [t.toDebugString.split("\n", 1)[1] for m in (want, got) for t in m.trees]
+    numbers = [[float(x) for x in re.findall(r"-?\d+\.\d+", text)] for text in shape]
+    assert re.sub(r"-?\d+\.\d+", "#", shape[0]) == re.sub(r"-?\d+\.\d+", "#", shape[1])
+    assert numbers[0] == pytest.approx(numbers[1]) and want.totalNumNodes > 20
+    assert got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray())
+
+
+def test_forest_predicts_in_batches_what_its_transform_gives(wavy, monkeypatch, tmp_path):
+    model = B.fit_member(wavy, B.tree_estimators(B.TreeParameters(forest={"numTrees": 7, "maxDepth": 5, "seed": 1}))["forest"], ["a", "b", "c"], "m")
+    want = {(r.product_id, r.MONAT): r.m for r in model.stages[-1].transform(wavy).collect()}
+    monkeypatch.setattr(type(model.stages[-1]), "transform", lambda *_: pytest.fail("each row walks down all trees"))
+    monkeypatch.setattr(forest, "WALKED_ROWS", 5)
+    model.write().overwrite().save(f"{tmp_path}/m")
+    for m in (model, PipelineModel.load(f"{tmp_path}/m")):
+        assert {(r.product_id, r.MONAT): r.m for r in B.predict_member(m, wavy, "m").collect()} == want
+    assert len(set(want.values())) > 20
+
+
+def test_forest_refuses_what_it_cannot_add_up(wavy):
+    made = B.tree_estimators(B.TreeParameters(forest={"numTrees": 2, "maxDepth": 2, "seed": 1}))["forest"]
+    for label in ("CAST(NULL AS DOUBLE)", "CAST('NaN' AS DOUBLE)"):
+        with pytest.raises(Exception):
+            B.fit_member(wavy.withColumn("y", F.expr(f"IF(a = 3, {label}, y)")), made, ["a", "b", "c"], "m")
+    with pytest.raises(Exception):
+        B.fit_member(wavy.where("a < 0"), made, ["a", "b", "c"], "m")
+
+
+def test_weights_and_columns_are_drawn_as_stated(wavy):
+    draws = forest.weights_by_draw(1.0, True)
+    assert draws.mean() == pytest.approx(1, abs=1e-3) and draws.var() == pytest.approx(1, abs=5e-3)
+    assert forest.weights_by_draw(0.25, False).mean() == 0.25 and forest.weights_by_draw(1.0, False).min() == 1
+    shares = {"all": 13, "onethird": 5, "sqrt": 4, "log2": 4, "auto": 5, "6": 6, "0.5": 7}
+    assert {s: B.RandomForestRegressor(numTrees=3, featureSubsetStrategy=s).columns_a_node(13) for s in shares} == shares
+
+
 def test_predictions_write_their_rows_once(spark, monthly, monkeypatch):
     """No copy of the rows per level and key is written for the errors and lines behind a prediction."""
     fact = monthly({f"P{i}": [float(i + j % 7) for j in range(15)] for i in range(12)})
