@@ -16,6 +16,7 @@ from monthcast.operators import folds, forest
 from monthcast.operators import members as B
 from monthcast.operators.folds import fold_columns, fold_ranges, level_rows, time_rank, with_folds, with_level_keys
 from monthcast.operators.calendar_member import CalendarMeans
+from monthcast.plans import training
 from monthcast.plans.training import HierarchicalModel, fit_hierarchy
 from monthcast.sources.models import changed_nodes, load_models, save_models, tree_nodes
 
@@ -136,6 +137,36 @@ def test_linear_models_equal_least_squares_on_the_rows(spark):
         assert np.allclose(ours, fitted, atol=1e-5), p
 
 
+def test_linear_models_in_batches_are_those_of_one_aggregation(monthly, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = monthly({f"P{i}": rng.integers(5, 50, 8 + i % 17).tolist() for i in range(40)}, category="C")
+    names = ["a", "b", "c"]
+    rows = rows.withColumn("y", F.when(F.col("anz_produkt") != 7, F.col("anz_produkt"))).selectExpr(
+        "*", "anz_produkt * 0.5 + month(MONAT) AS a", "hash(product_id, MONAT) % 7 * 1.0 AS b", "3.0 AS c"
+    )
+    table = fold_columns(rows)
+    monkeypatch.setattr(B, "ROWS_MULTIPLIED", 5, raising=False)
+    monkeypatch.setattr(B, "SUMS_HELD", 1, raising=False)
+    models = B.linear_fold_models(table, names)
+    for level in ("product", "category", "global"):
+        want = {(r.key, r.fold): r.coefficients for r in B.linear_models(level_rows(table, [level]), names).collect()}
+        got = {(r.key, f): m.coefficients for r in models[level].collect() for f, m in r.models.items()}
+        assert got.keys() == want.keys() and len(got) >= 4
+        assert all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6) for k in want), level
+
+
+def test_scored_rows_are_written_once_for_the_fits(monthly, monkeypatch):
+    """Fits and errors read one written table, and no row of it is joined with models again."""
+    read = []
+    keep = training.fit_member
+    monkeypatch.setattr(training, "fit_member", lambda rows, *rest: (read.append(rows), keep(rows, *rest))[1])
+    rng = np.random.default_rng(8)
+    rows = T.complete_rows(T.create_features(monthly({f"P{i}": rng.integers(5, 50, 24).tolist() for i in range(5)})))
+    fit_hierarchy(rows, estimators={"linear_all": B.global_linear()})
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in read]
+    assert len(plans) == 4 and not any("Join" in plan or "Subquery" in plan for plan in plans)
+
+
 def test_features_are_safe_from_their_own_month(monthly):
     base = [5, 9, 2, 8, 4, 7, 1, 6, 3, 9, 2, 5, 8, 4, 6]
     one = T.create_features(monthly({"P": base})).orderBy("MONAT").collect()
